@@ -277,6 +277,12 @@ def label_kind(trusted: Column) -> Column:
     )
 
 
+def is_account_label(trusted: Column) -> Column:
+    """Does the label stand for an account number, i.e. is ACCOUNT its first matching kind?"""
+    earlier = "|".join(f"{whole_words(words)}" for _, words in LABEL_WORDS) + "|" + CARD_LABEL
+    return trusted.rlike(ACCOUNT_LABEL) & ~trusted.rlike(earlier)
+
+
 def is_secret(trusted: Column, type_: Column) -> Column:
     hint = F.concat(trusted, F.lit(" "), type_)
     return (F.lower(type_) == "password") | hint.rlike(SECRET_LABEL)
@@ -322,9 +328,11 @@ def text_match_ok(kind: str, match: Column) -> Column:
     return ok & ~is_empty_like(v)
 
 
-def norm_key(kind: Column, raw: Column) -> Column:
+def norm_key(kind: Column | str, raw: Column) -> Column:
     """Identity of a value within its kind: digits only, or lower case."""
     v = trim(raw)
+    if isinstance(kind, str):
+        return digits_of(v) if kind in DIGIT_KINDS else F.lower(v)
     return F.when(kind.isin(*DIGIT_KINDS), digits_of(v)).otherwise(F.lower(v))
 
 

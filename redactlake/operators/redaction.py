@@ -162,10 +162,6 @@ class _Style:
         return self.token(None, F.lit("PERSON"), key)
 
 
-def _is_detail(h: Column) -> Column:
-    return h["kind"].isNotNull() & ~h["kind"].isin(*R.SECRET_KINDS)
-
-
 def _apply(s: Column, hits: Column, phase: int, how: _Style, rebuild) -> Column:
     """Next state: tokens for the hits of this phase, rewritten text, entities.
 
@@ -173,12 +169,18 @@ def _apply(s: Column, hits: Column, phase: int, how: _Style, rebuild) -> Column:
     matches that stay as they are.  ``rebuild`` turns hits with tokens into text.
     """
     has_people = phase in (PHASE_LABEL, PHASE_GREETING)
+    has_secrets = phase == PHASE_LABEL
+    fixed = {PHASE_ACCOUNT: "ACCOUNT", PHASE_GREETING: "PERSON", **{p: k for k, p in PHASE_OF_KIND.items()}}.get(phase)
+
+    def is_detail(h: Column) -> Column:
+        real = h["kind"].isNotNull()
+        return real & ~h["kind"].isin(*R.SECRET_KINDS) if has_secrets else real
 
     def number(h: Column) -> Column:
         keys, people = s["keys"], s["people"]
         if how.numbers_here:
             fresh = F.transform(
-                F.filter(h, lambda x: _is_detail(x) & (x["kind"] != "PERSON")),
+                F.filter(h, lambda x: is_detail(x) & (x["kind"] != "PERSON") if has_people else is_detail(x)),
                 lambda x: F.concat_ws(":", x["kind"], x["key"]),
             )
             keys = F.array_distinct(F.concat(keys, fresh))
@@ -189,7 +191,9 @@ def _apply(s: Column, hits: Column, phase: int, how: _Style, rebuild) -> Column:
 
     def spell(b: Column) -> Column:
         def token(x: Column) -> Column:
-            out = F.when(x["kind"].isNull(), x["raw"]).when(x["kind"].isin(*R.SECRET_KINDS), F.lit(R.HIDDEN))
+            out = F.when(x["kind"].isNull(), x["raw"])
+            if has_secrets:
+                out = out.when(x["kind"].isin(*R.SECRET_KINDS), F.lit(R.HIDDEN))
             if has_people:
                 met = F.filter(b["people"]["names"], lambda p: p["key"] == x["key"])
                 out = out.when(x["kind"] == "PERSON", F.get(met, F.lit(0))["token"])
@@ -197,7 +201,7 @@ def _apply(s: Column, hits: Column, phase: int, how: _Style, rebuild) -> Column:
 
         def state(h: Column) -> Column:
             entities = F.transform(
-                F.filter(h, _is_detail),
+                F.filter(h, is_detail),
                 lambda x, i: F.struct(
                     F.lit(phase).alias("phase"),
                     i.alias("pos"),
@@ -216,7 +220,7 @@ def _apply(s: Column, hits: Column, phase: int, how: _Style, rebuild) -> Column:
 
         return let(F.transform(b["h"], lambda x: x.withField("token", token(x))), state)
 
-    keyed = F.transform(hits, lambda x: x.withField("key", R.norm_key(x["kind"], x["raw"])))
+    keyed = F.transform(hits, lambda x: x.withField("key", R.norm_key(fixed or x["kind"], x["raw"])))
     return F.when(F.size(hits) > 0, let(keyed, number)).otherwise(s)
 
 
@@ -240,13 +244,8 @@ def _is_account(label: Column, value: Column) -> Column:
     """Would this label and value be classified as an account number?"""
 
     def test(x: Column) -> Column:
-        v = R.trim(value)
-        return (
-            ~R.is_secret(x, F.lit(""))
-            & ~R.amount_context(x, value, F.lit(""))
-            & R.label_kind(x).eqNullSafe(F.lit("ACCOUNT"))
-            & R.valid_kind(F.lit("ACCOUNT"), v)
-        )
+        none = F.lit("")
+        return R.is_account_label(x) & ~R.is_secret(x, none) & ~R.amount_context(x, value, none)
 
     # Cheapest test first: most lines do not hold an account-like number at all.
     return F.when(R.valid_account(R.trim(value)), let(R.trusted_label(label), test)).otherwise(F.lit(False))

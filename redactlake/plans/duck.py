@@ -151,25 +151,31 @@ def norm_key(kind: str, raw: str) -> str:
 
 
 # --- text patterns ----------------------------------------------------------
-_SEP = "[" + SP_IN + r"().\x01\x02-]"
+_SEP = "[" + SP_IN + r"().\x01\x02\x03-]"
 SHAPES = {
     "MOBILE": (True, rf"\+?\x01(?:91{_SEP}*|0{_SEP}*)?[6-9](?:{_SEP}*[0-9]){{9}}\x02"),
     "EMAIL": (False, r"(?i)\b[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}\b"),
     "PAN": (False, r"(?i)\b[a-z]{5}[0-9]{4}[a-z]\b"),
     "AADHAAR": (
         True,
-        r"\x01[2-9][0-9]{3}(?:\x02[ -]\x01)?[0-9]{4}(?:\x02[ -]\x01)?[0-9]{4}\x02",
+        r"\x01[2-9][0-9]{3}(?:\x02\x03[ -]\x01)?[0-9]{4}(?:\x02\x03[ -]\x01)?[0-9]{4}\x02",
     ),
     "IFSC": (False, r"(?i)\b[a-z]{4}0[a-z0-9]{6}\b"),
     "UPI": (False, r"(?i)\b[a-z0-9._-]{2,}@[a-z][a-z0-9.-]+\b"),
-    "CARD": (True, r"\x01(?:[0-9](?:\x02[ -]\x01)?){12,18}[0-9]\x02[ -]?"),
+    "CARD": (True, r"\x01(?:[0-9](?:\x02\x03[ -]\x01)?){12,18}[0-9]\x02[ -]?"),
     "DOB": (False, r"\b(?:0?[1-9]|[12][0-9]|3[01])[/-](?:0?[1-9]|1[0-2])[/-](?:19|20)[0-9]{2}\b"),
 }
 TEXT_KINDS = tuple(SHAPES)
 
 
 def _unmark(v: str) -> str:
-    return f"replace(replace({v}, chr(1), ''), chr(2), '')"
+    return f"replace(replace(replace({v}, chr(1), ''), chr(2), ''), chr(3), '')"
+
+
+def _mark(v: str) -> str:
+    """Mark digit runs with 1 and 2, and a separator right before a run with 3."""
+    runs = f"regexp_replace({v}, '([0-9]+)', chr(1) || '\\1' || chr(2), 'g')"
+    return f"regexp_replace({runs}, '([ -])\\x01', chr(3) || '\\1' || chr(1), 'g')"
 
 
 def pattern_passes(source: str, style: str = "numbered", kinds: tuple[str, ...] = TEXT_KINDS) -> str:
@@ -180,7 +186,7 @@ def pattern_passes(source: str, style: str = "numbered", kinds: tuple[str, ...]
     ctes, prev = [], source
     for kind in kinds:
         marked, shape = SHAPES[kind]
-        base = "regexp_replace(t, '([0-9]+)', chr(1) || '\\1' || chr(2), 'g')" if marked else "t"
+        base = _mark("t") if marked else "t"
         ok = f"{valid(kind, 'v')} AND NOT {prompt_like('v')}"
         if kind == "AADHAAR":
             ok += f" AND NOT {valid('MOBILE', 'v')}"
