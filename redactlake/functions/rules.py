@@ -311,6 +311,32 @@ def decide_kind(trusted: Column, by_label: Column, value: Column, trimmed: Colum
     )
 
 
+def let(value: Column, body) -> Column:
+    """Bind a value to a lambda variable, so that it is computed once.
+
+    Unlike an extra projection this survives optimizer rules that move filters:
+    whoever copies the expression copies it once, not once per mention.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def classify(label: Column, value: Column, type_: Column) -> Column:
+    """Kind of a labelled value, or null."""
+
+    def with_trusted(a: Column) -> Column:
+        more = F.struct(
+            a["t"].alias("t"), a["v"].alias("v"), a["ty"].alias("ty"),
+            label_kind(a["t"]).alias("by_label"), trim(a["v"]).alias("trimmed"),
+        )
+        return let(more, lambda b: decide_kind(b["t"], b["by_label"], b["v"], b["trimmed"], b["ty"]))
+
+    blank = F.lit("")
+    given = F.struct(
+        trusted_label(label).alias("t"), F.coalesce(value, blank).alias("v"), F.coalesce(type_, blank).alias("ty")
+    )
+    return let(given, with_trusted)
+
+
 def text_match_ok(kind: str, match: Column) -> Column:
     """Does a text match of this shape count, i.e. is it classified as ``kind`` on its own?
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from redactlake.functions import rules as R
@@ -23,38 +23,28 @@ RAW_PHONE = rf"\+?[0-9][0-9{_S}().\-]{{6,}}[0-9]"
 
 
 def classify_values(df: DataFrame, label: str = "label", value: str = "value", type_: str = "type") -> DataFrame:
-    """Add ``kind``, ``confidence`` and ``never_read`` for labelled values.
-
-    A plain projection chain: trusted label, then its kind, then the decision.
-    """
-    cols = df.columns
-    out = df.withColumns(
-        {
-            "_trusted": R.trusted_label(F.col(label)),
-            "_type": F.coalesce(F.col(type_), F.lit("")),
-            "_value": F.coalesce(F.col(value), F.lit("")),
-        }
-    )
-    out = out.withColumns({"_by_label": R.label_kind(F.col("_trusted")), "_trim": R.trim(F.col("_value"))})
-    kind = R.decide_kind(*[F.col(c) for c in ("_trusted", "_by_label", "_value", "_trim", "_type")])
-    out = out.withColumn("kind", kind)
-    return out.select(
-        *cols, "kind",
-        F.when(F.col("kind").isNotNull(), F.lit("High")).alias("confidence"),
-        F.coalesce(F.col("kind").isin(*R.SECRET_KINDS), F.lit(False)).alias("never_read"),
+    """Add ``kind``, ``confidence`` and ``never_read`` for labelled values."""
+    kind = R.classify(F.col(label), F.col(value), F.col(type_))
+    judged = R.let(
+        kind,
+        lambda k: F.struct(
+            k.alias("kind"),
+            F.when(k.isNotNull(), F.lit("High")).alias("confidence"),
+            F.coalesce(k.isin(*R.SECRET_KINDS), F.lit(False)).alias("never_read"),
+        ),
     )
+    return df.withColumn("_judged", judged).select(*df.columns, "_judged.*")
 
 
 def label_kinds(df: DataFrame, label: str = "label") -> DataFrame:
     """Kind suggested by the label alone (null when no rule matches)."""
-    trusted = df.withColumn("_trusted", R.trusted_label(F.col(label)))
-    return trusted.withColumn("label_kind", R.label_kind(F.col("_trusted"))).drop("_trusted")
+    return df.withColumn("label_kind", R.let(R.trusted_label(F.col(label)), R.label_kind))
 
 
 def validate_values(df: DataFrame, kind: str = "kind", value: str = "value") -> DataFrame:
     """Add ``is_valid``: is the value acceptable for the stated kind?"""
-    trimmed = df.withColumn("_trim", R.trim(F.coalesce(F.col(value), F.lit(""))))
-    return trimmed.withColumn("is_valid", R.valid_kind(F.col(kind), F.col("_trim"))).drop("_trim")
+    trimmed = R.trim(F.coalesce(F.col(value), F.lit("")))
+    return df.withColumn("is_valid", R.let(trimmed, lambda v: R.valid_kind(F.col(kind), v)))
 
 
 def with_norm_key(df: DataFrame, kind: str = "kind", raw: str = "raw") -> DataFrame:
@@ -172,29 +162,13 @@ def ocr_candidates(lines: DataFrame, scale: float = 1.0) -> DataFrame:
     A line with a colon is read as label and value, one without as both; if that
     gives nothing, the whole line is tried as a bare value.
     """
-    raw = F.coalesce(F.col("raw"), F.lit(""))
+    blank = F.lit("")
+    raw = F.coalesce(F.col("raw"), blank)
     colon = F.instr(raw, ":")
-    first = classify_values(
-        lines.withColumns(
-            {
-                "_label": F.when(colon > 0, F.substring(raw, F.lit(1), colon - 1)).otherwise(raw),
-                "_val": F.when(colon > 0, R.trim(F.substring(raw, colon + 1, F.length(raw)))).otherwise(raw),
-                "_none": F.lit(""),
-            }
-        ),
-        "_label", "_val", "_none",
-    )
-    kind = F.coalesce("kind", "bare")
-    out = first.withColumn("_trim2", R.trim(raw)).withColumn(
-        "bare", F.when(~R.amount_context(F.lit(""), raw, F.lit("")), R.unlabelled_kind(F.col("_trim2")))
-    )
-    return out.filter(kind.isNotNull()).select(
-        *[c for c in lines.columns if c != "bbox"],
-        kind.alias("kind"),
+    label = F.when(colon > 0, F.substring(raw, F.lit(1), colon - 1)).otherwise(raw)
+    value = F.when(colon > 0, R.trim(F.substring(raw, colon + 1, F.length(raw)))).otherwise(raw)
+    kind = F.coalesce(R.classify(label, value, blank), R.classify(blank, raw, blank))
+    return lines.withColumn("kind", kind).filter(F.col("kind").isNotNull()).select(
+        *[c for c in lines.columns if c != "bbox"], "kind",
         *[(F.col(f"bbox.{c}") * F.lit(scale)).alias(c) for c in ("x", "y", "width", "height")],
     )
-
-
-def first_wins(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
-    w = Window.partitionBy(*key).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")

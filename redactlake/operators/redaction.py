@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from redactlake.functions import rules as R
+from redactlake.functions.rules import let
 
 STYLES = ("numbered", "kind_only", "hash")
 PHASE_ACCOUNT, PHASE_LABEL, PHASE_GREETING = 1, 2, 3
@@ -54,11 +55,6 @@ _GREETING = (
 _NAME_PART = r"\p{L}[\p{L}'’\-]*"
 
 
-def let(value: Column, body) -> Column:
-    """Bind a value to a lambda variable so that it is computed once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 # --- tokens -----------------------------------------------------------------
 def hashed_token(kind: Column, key: Column, salt: str) -> Column:
     """Keyed token that needs no numbering; letters only, so no pattern can match it."""

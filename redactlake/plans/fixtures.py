@@ -168,4 +168,4 @@ FORMS = """SELECT DISTINCT CAST(c_custkey - c_custkey % 4 AS BIGINT) AS form_id,
  CASE WHEN (c_custkey - c_custkey % 4) % 11 = 0 THEN 'signIn' ELSE 'f' END AS name, '' AS aria_label,
  CASE WHEN (c_custkey - c_custkey % 4) % 7 = 0 THEN 'Log in' ELSE 'Profile' END AS heading, 'Save' AS submit_text FROM customer"""
 
-REVISIONS = """SELECT event_id % 997 AS page_id, event_id AS request, CAST(value * 10 AS BIGINT) % 50 AS rev, user_id AS reply FROM events"""
+REVISIONS = """SELECT event_id % 997 AS page_id, event_id AS request, CAST(floor(value * 10) AS BIGINT) % 50 AS rev, user_id AS reply FROM events"""
