@@ -169,3 +169,29 @@ FORMS = """SELECT DISTINCT CAST(c_custkey - c_custkey % 4 AS BIGINT) AS form_id,
  CASE WHEN (c_custkey - c_custkey % 4) % 7 = 0 THEN 'Log in' ELSE 'Profile' END AS heading, 'Save' AS submit_text FROM customer"""
 
 REVISIONS = """SELECT event_id % 997 AS page_id, event_id AS request, CAST(floor(value * 10) AS BIGINT) % 50 AS rev, user_id AS reply FROM events"""
+
+# Children of page elements: a label element, the value element after it, and their texts.
+_SPAGE = "CAST(c_custkey - c_custkey % 10 AS BIGINT)"
+_SLABEL = _case(f"{_K} % {len(LABELS)}", [_text(x) for x in LABELS])
+_STAG = f"CASE {_K} % 4 WHEN 0 THEN 'label' WHEN 1 THEN 'td' WHEN 2 THEN 'b' ELSE 'dt' END"
+_SCONTENT = f"({_SLABEL} || CASE WHEN {_K} % 3 = 0 THEN ':' ELSE '' END)"
+SIBLINGS = f"""SELECT {_SPAGE} AS page_id, CAST(0 AS BIGINT) AS parent_ord, 'tr' AS parent_tag, CAST(2 * ({_K} % 10) AS INT) AS sib_ord,
+ 10 * {_K} + 1 AS node_ord, 'element' AS node_type, {_STAG} AS tag, {_SCONTENT} AS content, {_K} % 13 = 0 AS has_control FROM customer
+ UNION ALL SELECT {_SPAGE}, 0, 'tr', CAST(2 * ({_K} % 10) + 1 AS INT), 10 * {_K} + 3, 'element', CASE WHEN {_K} % 2 = 1 THEN 'td' ELSE 'div' END, {value(_K)}, false FROM customer
+ UNION ALL SELECT {_SPAGE}, 10 * {_K} + 3, CASE WHEN {_K} % 2 = 1 THEN 'td' ELSE 'div' END, 2, 10 * {_K} + 6, 'text', NULL, {value(_K)}, false FROM customer
+ UNION ALL SELECT {_SPAGE}, 10 * {_K} + 3, CASE WHEN {_K} % 2 = 1 THEN 'td' ELSE 'div' END, 1, 10 * {_K} + 5, 'text', NULL, '  ', false FROM customer
+ UNION ALL SELECT {_SPAGE}, 10 * {_K} + 3, CASE WHEN {_K} % 2 = 1 THEN 'td' ELSE 'div' END, 0, 10 * {_K} + 4, 'text', NULL, 'SB A/c No.', false FROM customer WHERE {_K} % 7 = 2"""
+
+_ANY = lambda step: _case(f"({_K} * {step}) % {len(LABELS)}", [_text(x) for x in LABELS])
+CANDIDATES = f"""SELECT c_custkey AS field_id, CASE WHEN {_K} % 2 = 0 THEN {_ANY(5)} END AS c_own, CASE WHEN {_K} % 3 = 0 THEN {_ANY(7)} END AS c_wrap,
+ CASE WHEN {_K} % 5 = 0 THEN '  ' WHEN {_K} % 5 = 1 THEN {_ANY(11)} END AS c_aria, CASE WHEN {_K} % 7 = 0 THEN {_ANY(13)} END AS c_table,
+ CASE WHEN {_K} % 11 = 0 THEN ' one two three four five six ' END AS c_placeholder, CASE WHEN {_K} % 13 = 0 THEN 'City: ' END AS c_adjacent FROM customer"""
+
+# Small HTML pages with forms, tables and label pairs around derived values.
+HTML_PAGES = f"""SELECT c_custkey AS page_id, CASE {_K} % 4
+ WHEN 0 THEN '<html><head><title>t</title></head><body><main><h1>Overview</h1><table><tr><th>Customer name</th><td>' || {full_name(_K)} || '</td></tr><tr><th>Account No</th><td>' || {account(_K)}
+   || '</td></tr></table><label>Email <input type=email value="' || {email(_K)} || '"></label><label>Mobile <input value="' || {phone(_K)} || '"></label><iframe srcdoc="<p>UPI ID: u' || CAST({_K} AS STRING) || '@okbank</p>"></iframe></main></body></html>'
+ WHEN 1 THEN '<main><form action="/session"><label>Email <input name=email type=email value="' || {email(_K)} || '"></label><label>Password <input type=password value=hunter></label><button type=submit>Sign in</button></form><p>Name: ' || {full_name(_K)} || '<p>Call ' || {phone(_K)} || '</main>'
+ WHEN 2 THEN '<table><tr><td>Account Name</td><td>Account Number</td><td>Balance</td></tr><tr><td><a href=x>' || {full_name(_K)} || '</a></td><td>' || {account(_K)} || '</td><td>5000.00</td></tr></table><nav>Hello ' || {full_name(_K)} || '</nav><div hidden>' || {phone(_K)} || '</div>'
+ ELSE '<div><b>Name:</b><div>' || {full_name(_K)} || '</div></div><div><b>Primary mobile number:</b><div>' || {phone(_K)} || '</div></div><label>Full name <input value="' || {full_name(_K + ' + 1')} || '"></label><label>OTP <input autocomplete=one-time-code value=654321></label><p>' || {full_name(_K + ' + 1')} || ' was here</p>'
+ END AS html FROM customer"""
