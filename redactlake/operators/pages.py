@@ -318,7 +318,10 @@ def authentication_fields(fields: DataFrame, forms: DataFrame) -> DataFrame:
 
 
 def page_fields(nodes: DataFrame, cap: int = MAX_FIELDS) -> DataFrame:
-    """Form fields with label, value, type, flags; values of secrets and sign-in fields are blank."""
+    """Form fields with label, value, type, flags; values of secrets and sign-in fields are blank.
+
+    ``nodes`` is read many times here: pass a stored or checkpointed node table.
+    """
     shown = visible(nodes)
     is_control = F.col("tag").isin(*_CONTROLS)
     base = shown.filter((F.col("node_type") == "element") & is_control).select(
@@ -352,6 +355,8 @@ def page_fields(nodes: DataFrame, cap: int = MAX_FIELDS) -> DataFrame:
     sibling = F.coalesce("_b0", "_b1")
     fields = fields.withColumns({"_sib": sibling["ord"], "_sib_tag": sibling["tag"], "_cell2": F.col("_b2")["ord"], "_cell2_tag": F.col("_b2")["tag"]})
 
+    fields = checkpointed(fields.drop("path", "_b0", "_b1", "_b2", "_form", "_box"))
+
     refs = fields.select("page_id", "doc_ord", "node_ord", F.posexplode(F.split(_attr("aria-labelledby"), rf"[{R.SPACE}]+")).alias("at", "ref")).filter("ref <> ''")
     ids = elements.filter(_attr("id") != "").groupBy("page_id", "doc_ord", _attr("id").alias("ref")).agg(F.min("node_ord").alias("_r"))
     refs = refs.join(ids, ["page_id", "doc_ord", "ref"])
@@ -377,8 +382,14 @@ def page_fields(nodes: DataFrame, cap: int = MAX_FIELDS) -> DataFrame:
         "c_table": F.col("heading"), "c_placeholder": _attr("placeholder"),
         "c_adjacent": F.when(semantic | delimited, F.col("sib_text")).when(cell_ok, F.col("cell_text")),
     })
+    fields = checkpointed(
+        fields.select(
+            "page_id", "node_ord", "form_id", "html_id", "name", "autocomplete", "type", "attrs",
+            "c_own", "c_wrap", "c_aria", "c_table", "c_placeholder", "c_adjacent",
+        )
+    )
     fields = pick_label(fields, ("c_own", "c_wrap", "c_aria", "c_table", "c_placeholder", "c_adjacent"))
-    fields = never_read(fields)
+    fields = checkpointed(never_read(fields))
 
     forms = page_forms(nodes, fields)
     fields = authentication_fields(fields, forms)

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from redactlake.functions import rules as R
@@ -26,7 +26,10 @@ _CORE = rf"^[^\p{{L}}\p{{N}}_]*({_RUN}(?:.*{_RUN})?)[^\p{{L}}\p{{N}}_]*\z"
 
 def item_entities(items: DataFrame, scope: Sequence[str], ord_col: str, text: str, **options) -> DataFrame:
     """Entities of every item with the order columns the numbering needs."""
-    rows = redact_rows(items.select(*scope, ord_col, text), text, own_names=False, **options)
+    allow = options.pop("allow_labels", True)
+    allow = allow if isinstance(allow, Column) else F.lit(allow)
+    rows = items.select(*scope, ord_col, text, allow.alias("_labels_ok"))
+    rows = redact_rows(rows, text, own_names=False, allow_labels=F.col("_labels_ok"), **options)
     return (
         rows.select(*scope, F.col(ord_col).alias("item_ord"), F.inline_outer("entities"))
         .filter(F.col("kind").isNotNull())

@@ -83,6 +83,7 @@ def resolve_person_aliases(
         F.split("norm_key", rf"[{R.SPACE}]+").alias("words"),
         name_parts(F.col("norm_key")).alias("parts"),
     )
+    seen = checkpointed(seen)  # read by both sides below
     firsts = seen.groupBy(*scope, "norm_key").agg(
         F.min(_seq()).alias("s"), F.first("words").alias("words")
     )

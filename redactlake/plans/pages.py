@@ -12,14 +12,15 @@ from redactlake.plans import duck as D
 from redactlake.plans import fixtures as fx
 from redactlake.plans.registry import query
 from redactlake.plans.tables import derive, table
+from redactlake.session import checkpointed
 from redactlake.sources import html as H
 
 _BODY = "regexp_replace(html, '(?s)<!--.*?-->', '', 'g')"
 for _t in ("head", *H.SKIPPED):
     _BODY = f"regexp_replace({_BODY}, '(?is)<{_t}([ \\t\\r\\n/][^>]*)?>.*?</{_t}[ \\t\\r\\n]*>', '', 'g')"
 _UNESC = "c"
-for _n, _c in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "''"), ("nbsp", " "), ("amp", "&")):
-    _UNESC = f"replace({_UNESC}, '&{_n};', '{_c}')"
+for _n, _c in H.ENTITIES:
+    _UNESC = f"replace({_UNESC}, '&{_n};', {D.q(_c)})"
 
 
 def _chunks_of(html: str) -> str:
@@ -195,19 +196,19 @@ def field_summary(spark, folder):
 # --- whole pages --------------------------------------------------------------
 @query()
 def page_fields(spark, folder):
-    nodes = H.page_nodes(derive(spark, folder, fx.HTML_PAGES))
+    nodes = checkpointed(H.page_nodes(derive(spark, folder, fx.HTML_PAGES)))
     return P.page_fields(nodes)
 
 
 def _whole_pages(spark, folder):
-    nodes = H.page_nodes(derive(spark, folder, fx.HTML_PAGES))
+    nodes = checkpointed(H.page_nodes(derive(spark, folder, fx.HTML_PAGES)))
     return P.redact_nodes(nodes, P.page_fields(nodes))
 
 
 @query()
 def page_redacted_nodes(spark, folder):
     """Driver pages: every visible text node with its redacted text."""
-    texts, _, _ = P.redact_nodes(H.page_nodes(_pages(spark, folder)))
+    texts, _, _ = P.redact_nodes(checkpointed(H.page_nodes(_pages(spark, folder))))
     return texts.select("page_id", "node_ord", "redacted")
 
 

@@ -21,6 +21,12 @@ from redactlake.functions import rules as R
 SKIPPED = ("script", "style", "noscript", "template", "svg", "canvas")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 MAX_TEXT = 50000
+# Character references decoded in text chunks; the ampersand comes last.
+ENTITIES = (
+    ("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "'"), ("apos", "'"), ("nbsp", "\u00a0"), ("copy", "©"),
+    ("reg", "®"), ("middot", "·"), ("hellip", "…"), ("ndash", "–"), ("mdash", "—"), ("laquo", "«"),
+    ("raquo", "»"), ("euro", "€"), ("amp", "&"),
+)
 # ----------------------------------------------------------------------------
 # An opening tag ends these open elements, up to the given boundary.
 _ITEM = {"li": ({"li"}, {"ul", "ol", "menu"}), "option": ({"option"}, {"select"})}
@@ -177,7 +183,7 @@ _TAGS = r"(?s)<[!/?A-Za-z][^>]*>"
 
 
 def _unescape(c: Column) -> Column:
-    for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "'"), ("nbsp", " "), ("amp", "&")):
+    for name, char in ENTITIES:
         c = F.replace(c, F.lit(f"&{name};"), F.lit(char))
     return c
 
