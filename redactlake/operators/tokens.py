@@ -41,7 +41,9 @@ def assign_tokens(
     first appearance.  Names that are aliases of one earlier person share a token.
     """
     scope = list(scope)
-    keys = first_mentions(entities, scope)
+    # Stored once: the ranking reads the distinct values twice, and a second read
+    # would repeat the whole detection.
+    keys = checkpointed(first_mentions(entities, scope))
     if aliases:
         leaders = resolve_person_aliases(entities.filter(F.col("kind") == "PERSON"), scope)
         keys = keys.join(
