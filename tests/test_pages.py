@@ -7,15 +7,15 @@ from redactlake.session import checkpointed
 from redactlake.sources import html as H
 
 PAGES = [
-    (1, "<main><h1>Login</h1><div><b>Name:</b><div>Tapan Patidar</div></div><div><b>Primary mobile number:</b><div>+91 98765 43210</div></div>"
-        "<label>Verification code: <input id=otp autocomplete=one-time-code value=654321></label><p>Tapan was here</main>"),
-    (2, "<main><table><tr><th>Customer name</th><td>Riya Banerjee</td></tr><tr><th>Account No</th><td>102938475610</td></tr></table>"
-        "<label>Email <input type=email value='riya.b@example.test'></label><iframe srcdoc=\"<p>UPI ID: riya@okaxis</p>\"></iframe></main>"),
-    (3, "<form action=/session><label>Email <input id=mail type=email value=jordan@example.test></label><label>Password <input type=password value=x></label></form>"
+    (1, "<main><h1>Login</h1><div><b>Name:</b><div>Ilan Okoro</div></div><div><b>Primary mobile number:</b><div>+91 98765 43210</div></div>"
+        "<label>Verification code: <input id=otp autocomplete=one-time-code value=654321></label><p>Ilan was here</main>"),
+    (2, "<main><table><tr><th>Customer name</th><td>Zoya Lim</td></tr><tr><th>Account No</th><td>220011334455</td></tr></table>"
+        "<label>Email <input type=email value='zoya.l@example.test'></label><iframe srcdoc=\"<p>UPI ID: zoya@okbank</p>\"></iframe></main>"),
+    (3, "<form action=/session><label>Email <input id=mail type=email value=noor@example.test></label><label>Password <input type=password value=x></label></form>"
         "<div style='display: none'>9876543210</div><script>var a = '9876543210'</script><svg><text>9876543210</text></svg>"),
-    (4, "<table><tr><td>Account Name<td>Account Number<td>Balance<tr><td><a href=x>Riya Banerjee</a><td>102938475610<td>5000.00</table><nav>Riya Banerjee</nav>"),
+    (4, "<table><tr><td>Account Name<td>Account Number<td>Balance<tr><td><a href=x>Zoya Lim</a><td>220011334455<td>5000.00</table><nav>Zoya Lim</nav>"),
     (5, "<dl><dt>Mobile</dt><dd>98765-43210</dd></dl><table><tr><td>Account number</td><td><input id=acc value=123456789012></td></tr></table>"
-        "<label for=n>Full name</label><input id=n value='Anaya K'><input id=ph placeholder='Mobile number' value=9123456789>"),
+        "<label for=n>Full name</label><input id=n value='Asha K'><input id=ph placeholder='Mobile number' value=9123456789>"),
 ]
 
 
@@ -59,5 +59,5 @@ def test_fields(redacted):
 def test_safe_context(redacted):
     texts, _, judged = redacted
     out = {r.page_id: r.safe_context for r in P.page_contexts(texts, judged).collect()}
-    assert "Verification code: [HIDDEN]" in out[1] and "Tapan" not in out[1]
-    assert "riya.b@example.test" not in out[2]
+    assert "Verification code: [HIDDEN]" in out[1] and "Ilan" not in out[1]
+    assert "zoya.l@example.test" not in out[2]

@@ -3,15 +3,15 @@
 from redactlake.operators import records as V
 
 CASES = [
-    ("Email", "a.person@example.in", "", "EMAIL"), ("Mobile", "+91 98765 43210", "", "MOBILE"),
+    ("Email", "some.one@example.org", "", "EMAIL"), ("Mobile", "+91 98765 43210", "", "MOBILE"),
     ("Mobile", "not a phone", "", None), ("PAN", "ABCDE1234F", "", "PAN"), ("PAN", "ABCDE123XF", "", None),
     ("Aadhaar", "2000 0000 0009", "", "AADHAAR"), ("Aadhaar", "432187651098", "", None), ("", "200000000009", "", "AADHAAR"),
     ("IFSC", "HDFC0001234", "", "IFSC"), ("Card number", "4111 1111 1111 1111", "", "CARD"), ("", "4111111111111112", "", None),
-    ("UPI ID", "riya@okaxis", "", "UPI"), ("PIN code", "560001", "", "PIN"), ("PIN code", "12345", "", None),
+    ("UPI ID", "zoya@okbank", "", "UPI"), ("PIN code", "560001", "", "PIN"), ("PIN code", "12345", "", None),
     ("Date of birth", "12/04/1995", "", "DOB"), ("Date of birth", "31/02/1990", "", None), ("Name", "Mira S", "", "PERSON"),
     ("Address", "42 Lake Road", "", "ADDRESS"), ("Order reference", "123456789012", "", None), ("", "₹9876543210", "", None),
     ("Price", "₹123456789", "", None), ("Password", "", "password", "PASSWORD"), ("One-time code", "", "", "OTP"),
-    ("CVV", "", "", "PASSWORD"), ("Card PIN", "1234", "", "PASSWORD"), ("Account holder name", "Tapan P", "", "PERSON"),
+    ("CVV", "", "", "PASSWORD"), ("Card PIN", "1234", "", "PASSWORD"), ("Account holder name", "Ilan P", "", "PERSON"),
     ("Unknown field", "123456789012", "", None), ("E-mail", "add your email", "", None), ("Expand", "ordinary value", "", None),
     ("Account balance", "123456789012", "", None), ("Account & Lists", "123456789012", "", None),
     ("Savings Account", "12345678", "", None), ("Savings Account", "1234567890123456789", "", None),

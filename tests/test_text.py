@@ -14,11 +14,11 @@ FIXED = [
      "Savings Account ACCOUNT_1\nSavings Account:\nACCOUNT_1\nSB A/c No.: ACCOUNT_2\nAccount balance: ₹123456789012"),
     ("Password: hidden-secret\nOTP: 123456", "Password: [HIDDEN]\nOTP: [HIDDEN]"),
     ("Order ORD-123456789 cost ₹900 in 2024", "Order ORD-123456789 cost ₹900 in 2024"),
-    ("Hello, Tapan", "Hello, Tapan"), ("hello, Tapan", "hello, PERSON_1"),
+    ("Hello, Ilan", "Hello, Ilan"), ("hello, Ilan", "hello, PERSON_1"),
     ("near the border 9876543210", "near the border 9876543210"),
 ]
 WORDS = [
-    "9876543210", "98765 43210", "+91 (98765) 43210", "a.b@x.org", "a.b@X.org", "riya@okaxis", "4111 1111 1111 1111", "4111111111111111",
+    "9876543210", "98765 43210", "+91 (98765) 43210", "a.b@x.org", "a.b@X.org", "zoya@okbank", "4111 1111 1111 1111", "4111111111111111",
     "4111111111111112", "200000000009", "2000-0000-0009", "ABCDE1234F", "enter1234F", "HDFC0001234", "12/04/1995", "31/02/1990", "INR", "₹", "border", "price",
     "Name:", "Mobile -", "Account no", "A/c", "Savings Account", "Password:", "City:", "Asha Rao", "Rao", "asha", "Vik Rao", "hello Asha", "hi, Mira Lim Rao",
     "welcome Home", "éABCDE1234F", "x", "and", "\n", "\n", "\n", "123456789", "1234 5678 9012", ".", "-", ",", "EMAIL_1", "560001", "Vik", "Mira",
