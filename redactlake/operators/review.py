@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from redactlake.functions import rules as R
 from redactlake.operators.redaction import redact_rows
+from redactlake.operators.tokens import assign_tokens
 
 # --- fixed values: how kinds are shown to people ----------------------------
 KIND_NAMES = {
@@ -76,8 +77,10 @@ def apply_overrides(detections: DataFrame, overrides: DataFrame) -> DataFrame:
     ``detections``: item_id, kind, original, redacted, current, locked,
     authentication.  Locked and sign-in items refuse; an item whose current text
     is neither its original nor its redacted text has changed, which voids the
-    override.  A marked item without a detection becomes PRIVATE.
+    override.  A marked item without a detection becomes PRIVATE; its token is taken
+    from an optional column ``mark_token`` (see :func:`mark_tokens`).
     """
+    spare = F.col("mark_token") if "mark_token" in detections.columns else F.lit(None).cast("string")
     d = detections.join(latest_overrides(overrides), "item_id", "left")
     asked = F.col("is_marked").isNotNull()
     refused = F.col("locked") | F.col("authentication")
@@ -91,12 +94,30 @@ def apply_overrides(detections: DataFrame, overrides: DataFrame) -> DataFrame:
         private.alias("is_private"),
         F.when(private & F.col("kind").isNull(), F.lit("PRIVATE")).otherwise(F.col("kind")).alias("shown_kind"),
         F.when(applied & ~F.col("is_marked"), F.col("original"))
-        .when(applied & F.col("is_marked"), F.coalesce("redacted", F.lit("PRIVATE_0")))
+        .when(applied & F.col("is_marked"), F.coalesce(F.col("redacted"), spare, F.lit("PRIVATE_0")))
         .otherwise(F.col("current"))
         .alias("shown"),
     )
 
 
+def mark_tokens(
+    marked: DataFrame, scope: Sequence[str], item: str = "item_id", ord_col: str = "item_ord", value: str = "value"
+) -> DataFrame:
+    """Numbered PRIVATE tokens for marked items that carry no detection: ``item, mark_token``.
+
+    Equal values of a scope share a token; numbers follow ``ord_col``.
+    """
+    keyed = marked.filter(R.trim(F.col(value)) != "").withColumns(
+        {"_kind": F.lit("PRIVATE"), "norm_key": R.norm_key("PRIVATE", F.col(value))}
+    )
+    mentions = keyed.select(
+        *scope, F.col(ord_col).alias("item_ord"), F.lit(0).alias("phase"), F.lit(0).alias("pos"),
+        F.col("_kind").alias("kind"), F.col(value).alias("raw"), "norm_key",
+    )
+    tokens = assign_tokens(mentions, scope, aliases=False).select(*scope, "norm_key", F.col("token").alias("mark_token"))
+    return keyed.join(tokens, [*scope, "norm_key"]).select(*scope, item, "mark_token")
+
+
 def display_kinds(reviewed: DataFrame) -> DataFrame:
     """Kind names for people; unknown kinds show their label."""
     names = F.create_map(*[F.lit(x) for pair in KIND_NAMES.items() for x in pair])  # 15 fixed entries

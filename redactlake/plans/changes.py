@@ -119,6 +119,17 @@ def apply_overrides(spark, folder):
     return W.apply_overrides(d.drop("field_id"), overrides)
 
 
+@query(
+    f"""WITH {_FIELDS}, m AS (SELECT page_id, field_id, lower({D.trim('value')}) k FROM fk WHERE kind IS NULL AND field_id % 3 <> 0 AND {D.trim('value')} <> ''),
+    n AS (SELECT page_id, k, row_number() OVER (PARTITION BY page_id ORDER BY min(field_id)) n FROM m GROUP BY page_id, k)
+    SELECT page_id, field_id, 'PRIVATE_' || n AS mark_token FROM m JOIN n USING (page_id, k)"""
+)
+def manual_marks(spark, folder):
+    """Fields without a detection that someone marked: numbered per page."""
+    f = V.classify_values(derive(spark, folder, fx.FIELDS)).filter(F.col("kind").isNull() & (F.col("field_id") % 3 != 0))
+    return W.mark_tokens(f, ["page_id"], "field_id", "field_id")
+
+
 # --- two scans of the documents: thirds dropped, changed and kept -------------
 _STATE = f"{_NUMBERED}, st AS (SELECT d.doc_id, d.text AS original, r.t AS redacted FROM documents d JOIN t_DOB r ON r.id = d.doc_id WHERE d.text <> r.t)"
 _NEXT = "nx AS (SELECT doc_id, CASE WHEN doc_id % 3 = 1 THEN original || chr(10) || 'call 9876543210' ELSE redacted END AS current FROM st WHERE doc_id % 3 <> 0)"
