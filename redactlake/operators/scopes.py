@@ -14,7 +14,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from redactlake.functions import rules as R
 from redactlake.operators.ordered import DENSE, carry_last
 from redactlake.operators.redaction import name_parts, redact_rows, replace_names
 from redactlake.operators.tokens import assign_tokens, known_tokens

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from redactlake.operators import scopes as C
 from redactlake.operators import tokens as T
