@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redactlake.llm import bpe, exact, toxicity
+from redactlake.llm import bpe, exact, mixing, near, sharding, toxicity
 from redactlake.llm.tables import documents
 
 QUERIES: dict = {}
@@ -30,6 +30,18 @@ def op1_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.bpe_columns(docs, public_tokenizers.path("byte_bpe_50k.json"), want=want).select("doc_id", *want)
 
 
+@query()
+def op2_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    rows = documents(spark, folder).select(
+        "doc_id", "source", (F.octet_length(text) + 16).cast("bigint").alias("size"), F.crc32(text).alias("text_crc32")
+    )
+    placed = sharding.stratified_shards(rows, 40, F.struct("doc_id", "text_crc32", "size"))
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source"
+    )
+
+
 @query(
     r"""WITH d AS (SELECT doc_id, coalesce(text, '') t, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') norm FROM documents)
     SELECT doc_id, first_value(doc_id) OVER w keep_id, count(*) OVER (PARTITION BY norm) group_size,
@@ -46,3 +58,19 @@ def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     grammar = toxicity.learn(docs, spark.read.parquet(f"{folder}/labels.parquet"))
     scored = toxicity.score_toxicity(docs, grammar)
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+#: Target weights of the mixture; every other source weighs OTHER_WEIGHT.
+WEIGHTS, OTHER_WEIGHT = {"src0": 4.0, "src1": 2.0, "src2": 0.5}, 1.0
+
+
+@query()
+def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    rows = documents(spark, folder).select("doc_id", "source", F.xxhash64("text").alias("_text"))
+    mixed = mixing.mix_to_weights(rows, WEIGHTS, F.struct("doc_id", "_text"), other=OTHER_WEIGHT)
+    return mixed.select("doc_id", "source", "block", "slot", "position")
+
+
+@query()
+def op10_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return near.near_groups(documents(spark, folder).select("doc_id", "text")).select("doc_id", "n_shingles", "component_id", "class_id")

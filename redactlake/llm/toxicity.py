@@ -273,3 +273,16 @@ def score_toxicity(df: DataFrame, grammar: Grammar, text: str = "text") -> DataF
     """``df`` with ``score`` (0 to 1) and ``predicted``."""
     scored = _apply(df.select(*[f"`{c}`" for c in replace_columns(df, ["predicted"])]), grammar, text, {"score": None})
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def keep_clean(df: DataFrame, grammar: Grammar, text: str = "text") -> DataFrame:
+    """The rows of ``df`` with a score below one half, with their columns."""
+    at = df.columns.index(text)
+    shared = df.sparkSession.sparkContext.broadcast(grammar)
+
+    def work(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = Automaton(shared.value)
+        for batch in source:
+            yield batch.filter(pa.array([automaton.score(t) < 0.5 for t in batch.column(at).to_pylist()], pa.bool_()))
+
+    return df.mapInArrow(work, df.schema)
