@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redactlake.llm import bpe, exact, mixing, near, sharding, toxicity
+from redactlake.llm import bpe, exact, mixing, near, private, sharding, toxicity
 from redactlake.llm.tables import documents
 
 QUERIES: dict = {}
@@ -74,3 +74,11 @@ def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op10_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return near.near_groups(documents(spark, folder).select("doc_id", "text")).select("doc_id", "n_shingles", "component_id", "class_id")
+
+
+@query()
+def op4_private_data(spark: SparkSession, folder: str) -> DataFrame:
+    found = private.find_spans(documents(spark, folder).select("doc_id", "text")).select("doc_id", F.col("spans").alias("s"))
+    count = lambda kind: F.size(F.filter("s", lambda x: x["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+    base = F.filter("s", lambda x: x["kind"].isin(*private.BASE))
+    return found.select("doc_id", *map(count, private.BASE), F.sha2(private.listed(base), 256).alias("base_sha256"), private.listed(F.col("s")).alias("spans"))
