@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redactlake.llm import bpe, exact, mixing, near, private, sharding, toxicity
+from redactlake.llm import bpe, exact, mixing, near, packing, private, sharding, toxicity
 from redactlake.llm.tables import documents
 
 QUERIES: dict = {}
@@ -82,3 +82,9 @@ def op4_private_data(spark: SparkSession, folder: str) -> DataFrame:
     count = lambda kind: F.size(F.filter("s", lambda x: x["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
     base = F.filter("s", lambda x: x["kind"].isin(*private.BASE))
     return found.select("doc_id", *map(count, private.BASE), F.sha2(private.listed(base), 256).alias("base_sha256"), private.listed(F.col("s")).alias("spans"))
+
+
+@query()
+def op8_packed_ids(spark: SparkSession, folder: str) -> DataFrame:
+    packs = packing.packed(documents(spark, folder), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return packing.read_packs(packs).select("doc_id", "start", "n_tokens", "ids_crc32")
