@@ -46,8 +46,9 @@ from redactlake.llm.tables import replace_columns
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _WORDS = regex.compile(PATTERN)
 _BLANK_BEFORE_SPACE = regex.compile(r" (?=[\s\x1c-\x1f]|\Z)")
+_MARKS = ".,;:!?"
 _FAR = np.int64(1) << 40
-_CACHED = 150_000  # entries of one cache generation
+_CACHED = 400_000  # entries of one cache generation
 _LONGEST_CACHED = 64  # characters of a cached piece
 
 
@@ -229,6 +230,7 @@ class Coder:
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.vocabulary.special, key=len, reverse=True))) + ")") if self.vocabulary.special else None
+        self.mark = dict(zip(_MARKS, self.vocabulary.encode_words([m.encode() for m in _MARKS]), strict=True))
         self.decimal = [str(i) for i in range(self.vocabulary.size)]
 
     def _pieces(self, text: str) -> list[str]:
@@ -244,20 +246,31 @@ class Coder:
         return pieces
 
     def _learn(self, keys: set[str]) -> dict[str, bytes]:
-        found, fresh = {}, []
+        found, old, new = {}, self.old.get, self.new.get
+        fresh: list[tuple[str, list[str]]] = []
+        heads: list[tuple[str, str]] = []  # a word and one mark after it, which are always apart
         for p in keys:
-            if (known := self.old.get(p)) is not None:
+            if (known := old(p)) is not None:
                 found[p] = known
+            elif p.isalpha():
+                fresh.append((p, [" " + p]))
+            elif p[-1] in _MARKS and (head := p[:-1]).isalpha():
+                if (known := new(head) or old(head)) is not None:
+                    found[p] = known + self.mark[p[-1]]
+                else:
+                    heads.append((p, head))
+                    fresh.append((head, [" " + head]))
             else:
-                fresh.append(p)
-        words = [_WORDS.findall(p[1:] if p[0] == " " else " " + p) for p in fresh]
-        distinct = list(dict.fromkeys(chain.from_iterable(words)))
+                fresh.append((p, _WORDS.findall(p[1:] if p[0] == " " else " " + p)))
+        distinct = list(dict.fromkeys(chain.from_iterable([ws for _, ws in fresh])))
         ids = dict(zip(distinct, self.vocabulary.encode_words([w.encode() for w in distinct]), strict=True))
-        for p, ws in zip(fresh, words, strict=True):
-            found[p] = b"".join([ids[w] for w in ws])
+        for p, ws in fresh:
+            found[p] = ids[ws[0]] if len(ws) == 1 else b"".join([ids[w] for w in ws])
+        for p, head in heads:
+            found[p] = found[head] + self.mark[p[-1]]
         if len(self.new) + len(found) > _CACHED:
             self.old, self.new = self.new, {}
-        self.new.update((p, e) for p, e in found.items() if len(p) <= _LONGEST_CACHED)
+        self.new.update(found if max(map(len, found)) <= _LONGEST_CACHED else {p: e for p, e in found.items() if len(p) <= _LONGEST_CACHED})
         return found
 
     def encode(self, texts: Sequence[str | None]) -> list[np.ndarray]:
