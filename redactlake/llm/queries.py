@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redactlake.llm import bpe, exact, mixing, near, packing, private, sharding, sketch, toxicity
+from redactlake.llm import backoff, bpe, exact, mixing, near, packing, private, sharding, sketch, toxicity
 from redactlake.llm.tables import documents
 
 QUERIES: dict = {}
@@ -89,6 +89,11 @@ def op6_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return sketch.edited_neighbours(documents(spark, folder).select("doc_id", "text"))
 
 
+@query()
+def op7_backoff_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return backoff.backoff_scores(documents(spark, folder).select("doc_id", "text"))
+
+
 @query()
 def op8_packed_ids(spark: SparkSession, folder: str) -> DataFrame:
     packs = packing.packed(documents(spark, folder), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
