@@ -1,31 +1,52 @@
-"""Rule tables: labels, values and expected kinds in one Spark job."""
+"""Rules for labelled values: made values per kind, what labels allow, and check-digit properties."""
 
 from redactlake.operators import records as V
+from tests.made import Maker
 
-CASES = [
-    ("Email", "some.one@example.org", "", "EMAIL"), ("Mobile", "+91 98765 43210", "", "MOBILE"),
-    ("Mobile", "not a phone", "", None), ("PAN", "ABCDE1234F", "", "PAN"), ("PAN", "ABCDE123XF", "", None),
-    ("Aadhaar", "2000 0000 0009", "", "AADHAAR"), ("Aadhaar", "432187651098", "", None), ("", "200000000009", "", "AADHAAR"),
-    ("IFSC", "HDFC0001234", "", "IFSC"), ("Card number", "4111 1111 1111 1111", "", "CARD"), ("", "4111111111111112", "", None),
-    ("UPI ID", "zoya@okbank", "", "UPI"), ("PIN code", "560001", "", "PIN"), ("PIN code", "12345", "", None),
-    ("Date of birth", "12/04/1995", "", "DOB"), ("Date of birth", "31/02/1990", "", None), ("Name", "Mira S", "", "PERSON"),
-    ("Address", "42 Lake Road", "", "ADDRESS"), ("Order reference", "123456789012", "", None), ("", "₹9876543210", "", None),
-    ("Price", "₹123456789", "", None), ("Password", "", "password", "PASSWORD"), ("One-time code", "", "", "OTP"),
-    ("CVV", "", "", "PASSWORD"), ("Card PIN", "1234", "", "PASSWORD"), ("Account holder name", "Ilan P", "", "PERSON"),
-    ("Unknown field", "123456789012", "", None), ("E-mail", "add your email", "", None), ("Expand", "ordinary value", "", None),
-    ("Account balance", "123456789012", "", None), ("Account & Lists", "123456789012", "", None),
-    ("Savings Account", "12345678", "", None), ("Savings Account", "1234567890123456789", "", None),
-    ("Name", "Addison Reed", "", None), ("one two three four five name", "Mira", "", None),
+KINDS = ("MOBILE", "EMAIL", "PAN", "IFSC", "CARD", "DOB")
+#: label, then the kinds of made values that it accepts under its own kind
+LABELS = {
+    "Telephone": "MOBILE", "Contact cell": "MOBILE", "Mail ID": "EMAIL", "PAN": "PAN", "Branch IFSC": "IFSC", "Debit card": "CARD", "Birth date": "DOB",
+}
+OTHERS = [
+    ("Nickname of pet", "Tulip", "", None), ("Holder's name", "Oona Pell", "", "PERSON"), ("Home address", "9 Birch Row, Norvale", "", "ADDRESS"),
+    ("City", "Norvale", "", "ADDRESS"), ("Postal code", "700014", "", "PIN"), ("Zip code", "70001", "", None), ("Zip code", "7000145", "", None),
+    ("Passphrase", "tulip", "", None), ("Passcode", "tulip", "", "PASSWORD"), ("Anything", "tulip", "password", "PASSWORD"),
+    ("CVC", "", "", "PASSWORD"), ("Verification code", "88", "", "OTP"), ("Shipment tracking", "7012345678", "", None),
+    ("", "INR 7012345678", "", None), ("Telephone", "type your number", "", None), ("Telephone", "5012345678", "", None),
+    ("VPA", "oona.pell@quaybank", "", "UPI"), ("VPA", "o@quaybank", "", None), ("Day of birth", "30/02/2001", "", None),
+    ("Birth date", "29/02/2001", "", None), ("Birth date", "29/02/2004", "", "DOB"), ("the full name as it stands here", "Oona", "", None),
 ]
-ACCOUNT_LABELS = [
-    "Account", "Savings Account", "Saving Account Number", "Savings Account No.", "Current Account", "Salary Account",
-    "SB A/c No.", "A / C Number", "Acc.No.", "Acct No.", "Account #", "Demo account number", "Account a/c",
-]
-CASES += [(label, v, "", "ACCOUNT") for label in ACCOUNT_LABELS for v in ("123456789012", "1234 5678 9012", "919876543210")]
+LENGTHS = [(n, 9 <= n <= 18) for n in (8, 9, 12, 18, 19)]
+
+
+def test_made_values_under_their_labels(spark):
+    make = Maker(1)
+    rows = [(label, make.value(kind), "", kind) for label, kind in LABELS.items() for _ in range(5)]
+    rows += [(label, make.value(other), "", None) for label, kind in LABELS.items() for other in KINDS if other != kind]
+    rows += [("", make.value(kind), "", kind) for kind in KINDS for _ in range(5)]
+    rows += OTHERS
+    rows += [(label, "7" * n, "", "ACCOUNT" if fits else None) for label in ("IBAN", "A/c", "Salary account no") for n, fits in LENGTHS]
+    df = spark.createDataFrame(rows, "label string, value string, type string, want string")
+    found = V.classify_values(df).collect()
+    assert [(r.label, r.value, r.kind, r.want) for r in found if r.kind != r.want] == []
+    assert all(r.never_read == (r.kind in ("PASSWORD", "OTP")) for r in found)
 
 
-def test_classify(spark):
-    df = spark.createDataFrame([(i, *c) for i, c in enumerate(CASES)], "i int, label string, value string, type string, want string")
-    rows = V.classify_values(df).collect()
-    assert [(r.label, r.value, r.kind) for r in rows if r.kind != r.want] == []
-    assert all(r.never_read == (r.kind in ("PASSWORD", "OTP")) for r in rows)
+def test_check_digits_find_every_wrong_digit(spark):
+    """Of ten last digits one is right, and no change of one digit stays right."""
+    make = Maker(2)
+    bodies = [(make.rng.choice("23456789") + make.digits(10), "5" + make.digits(14)) for _ in range(12)]
+    rows = [(i, "AADHAAR", 11, a + str(d)) for i, (a, _) in enumerate(bodies) for d in range(10)]
+    rows += [(i, "CARD", 15, c + str(d)) for i, (_, c) in enumerate(bodies) for d in range(10)]
+    df = spark.createDataFrame(rows, "i int, kind string, at int, value string")
+    labelled = df.selectExpr("i", "kind", "value", "CASE kind WHEN 'CARD' THEN 'Debit card' ELSE 'UID' END AS label", "'' AS type")
+    right = [r for r in V.classify_values(labelled.withColumnRenamed("kind", "of")).collect() if r.kind == r.of]
+    assert sorted((r.of, r.i) for r in right) == sorted((k, i) for k in ("AADHAAR", "CARD") for i in range(12))
+    changed = []
+    for r in right:
+        for at in range(1, len(r.value)):
+            digit = str((int(r.value[at]) + make.rng.randint(1, 9)) % 10)
+            changed.append((r.of, r.label, r.value[:at] + digit + r.value[at + 1 :], ""))
+    df = spark.createDataFrame(changed, "of string, label string, value string, type string")
+    assert [r.value for r in V.classify_values(df).collect() if r.kind == r.of] == []
