@@ -17,6 +17,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from redactlake.operators.joins import null_safe_join
+
 DENSE = (16,)
 SPARSE = (16, 32, 48)
 
@@ -49,13 +51,12 @@ def ordered_rank(
             *by, *spans[i:],
             F.coalesce(F.sum("_c").over(_earlier(by + upper, spans[i])), F.lit(0)).alias(f"_o{i}"),
         )
-        counts = counts.join(level, by + spans[i:]) if len(radix) > 1 else level
+        counts = null_safe_join(counts, level, by + spans[i:]) if len(radix) > 1 else level
         offset = offset + F.col(f"_o{i}")
     offsets = counts.select(*by, *spans, offset.alias("_before"))
     inside = Window.partitionBy(*by, *spans).orderBy(*order)
     return (
-        cut.withColumn("_rn", F.row_number().over(inside))
-        .join(offsets, by + spans)
+        null_safe_join(cut.withColumn("_rn", F.row_number().over(inside)), offsets, by + spans)
         .withColumn(name, (F.col("_rn") + F.col("_before")).cast("bigint"))
         .drop("_rn", "_before", *spans)
     )
@@ -75,7 +76,7 @@ def carry_last(
         .groupBy(*by, *spans)
         .agg(F.max_by(value, seq).alias("_v"))
     )
-    carried = cut.select(*by, *spans).distinct().join(summary, by + spans, "left")
+    carried = null_safe_join(cut.select(*by, *spans).distinct(), summary, by + spans, "left")
     # innermost level first: last value of an earlier sibling span, else of an earlier parent span
     found = None
     for i in range(len(radix)):
@@ -85,12 +86,13 @@ def carry_last(
             *by, *spans[i:],
             F.last("_lv", ignorenulls=True).over(_earlier(by + upper, spans[i])).alias(f"_c{i}"),
         )
-        found = carried.select(*by, *spans).join(level, by + spans[i:]) if found is None else found.join(level, by + spans[i:])
+        found = null_safe_join(carried.select(*by, *spans) if found is None else found, level, by + spans[i:])
     before = F.coalesce(*[F.col(f"_c{i}") for i in range(len(radix))])
     inside = Window.partitionBy(*by, *spans).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return (
-        cut.withColumn("_in", F.last(value, ignorenulls=True).over(inside))
-        .join(found.select(*by, *spans, before.alias("_before")), by + spans)
+        null_safe_join(
+            cut.withColumn("_in", F.last(value, ignorenulls=True).over(inside)), found.select(*by, *spans, before.alias("_before")), by + spans
+        )
         .withColumn(name, F.coalesce("_in", "_before"))
         .drop("_in", "_before", *spans)
     )

@@ -19,7 +19,6 @@ from redactlake.operators.scopes import redact_scopes
 from redactlake.session import checkpointed
 
 # --- fixed values -----------------------------------------------------------
-MAX_FIELDS, MAX_VALUE, MAX_SAFE_CONTEXT = 250, 1000, 14000
 HEADER_WORDS = (
     "name|number|no|account|type|balance|withdrawable|currency|email|phone|mobile|address|ifsc|date|status"
 )
@@ -317,9 +316,11 @@ def authentication_fields(fields: DataFrame, forms: DataFrame) -> DataFrame:
     )
 
 
-def page_fields(nodes: DataFrame, cap: int = MAX_FIELDS) -> DataFrame:
+def page_fields(nodes: DataFrame, cap: int | None = None, cap_value: int | None = None) -> DataFrame:
     """Form fields with label, value, type, flags; values of secrets and sign-in fields are blank.
 
+    All fields and whole values, unless caps are asked for.
+
     ``nodes`` is read many times here: pass a stored or checkpointed node table.
     """
     shown = visible(nodes)
@@ -396,11 +397,14 @@ def page_fields(nodes: DataFrame, cap: int = MAX_FIELDS) -> DataFrame:
     fields = fields.withColumn("authentication", F.col("authentication") & ~F.col("locked"))
     secret = F.col("locked") | F.col("authentication")
     raw = F.coalesce(F.try_element_at(F.col("attrs"), F.lit("value")), F.when(F.col("type").isin("checkbox", "radio"), F.lit("on")), F.lit(""))
-    value = F.when(secret, F.lit("")).otherwise(F.substring(R.trim(raw), 1, MAX_VALUE))
+    whole = R.trim(raw)
+    value = F.when(secret, F.lit("")).otherwise(whole if cap_value is None else F.substring(whole, 1, cap_value))
     out = fields.select(
         "page_id", "node_ord", F.coalesce(F.nullif("html_id", F.lit("")), F.concat_ws(":", "page_id", "node_ord")).alias("field_id"),
         "label", value.alias("value"), "type", "locked", "authentication",
     ).filter((F.col("value") != "") | (F.col("label") != NO_LABEL) | F.col("locked") | F.col("authentication"))
+    if cap is None:
+        return out
     w = Window.partitionBy("page_id").orderBy("node_ord")
     return out.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= cap).drop("_rn")
 
@@ -518,7 +522,7 @@ def redact_nodes(nodes: DataFrame, fields: DataFrame | None = None) -> tuple[Dat
 
 
 def page_contexts(
-    texts: DataFrame, fields: DataFrame, cap: int = MAX_SAFE_CONTEXT
+    texts: DataFrame, fields: DataFrame, cap: int | None = None
 ) -> DataFrame:
     """Per page the outgoing text: redacted nodes, then ``label: token`` per field, redacted once more.
 
@@ -534,15 +538,15 @@ def page_contexts(
         ).alias("context")
     )
     again = redact_rows(joined, "context", style="kind_only", own_names=False)
-    return again.select("page_id", F.substring("redacted", 1, cap).alias("safe_context"))
+    context = F.col("redacted") if cap is None else F.substring("redacted", 1, cap)
+    return again.select("page_id", context.alias("safe_context"))
 
 
-def original_contexts(texts: DataFrame, fields: DataFrame, cap: int = 50000) -> DataFrame:
+def original_contexts(texts: DataFrame, fields: DataFrame, cap: int | None = None) -> DataFrame:
     """The same with originals, for the vault side only."""
     lines = texts.select("page_id", F.lit(0).alias("part"), "node_ord", F.col("text").alias("line")).unionByName(
         fields.select("page_id", F.lit(1).alias("part"), "node_ord", F.concat_ws(": ", "label", "value").alias("line"))
     )
     ordered = F.array_sort(F.collect_list(F.struct("part", "node_ord", "line")))
-    return lines.groupBy("page_id").agg(
-        F.substring(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n"), 1, cap).alias("original_context")
-    )
+    whole = F.array_join(F.transform(ordered, lambda x: x["line"]), "\n")
+    return lines.groupBy("page_id").agg((whole if cap is None else F.substring(whole, 1, cap)).alias("original_context"))

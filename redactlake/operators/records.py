@@ -149,9 +149,18 @@ def valid_actions(actions: DataFrame) -> DataFrame:
     return actions.filter(ok).withColumn("value", value)
 
 
+def origin(url: str) -> Column:
+    """Scheme, host and port of an http(s) address, without user, case and default port; else ''."""
+    pattern = r"^(?i)(https?)://(?:[^/?#]*@)?(\[[^\]/?#]*\]|[^/?#:@]+)(?::([0-9]*))?(?=[/?#]|$)"
+    scheme, host, port = (F.lower(F.regexp_extract(url, pattern, i)) for i in (1, 2, 3))
+    usual = F.when(scheme == "https", F.lit("443")).otherwise(F.lit("80"))
+    shown = F.when((port == "") | (port == usual), F.lit("")).otherwise(F.concat(F.lit(":"), port))
+    return F.when(scheme != "", F.concat(scheme, F.lit("://"), host, shown)).otherwise(F.lit(""))
+
+
 def eligible_pages(pages: DataFrame, grants: DataFrame, url: str = "url") -> DataFrame:
     """Pages on http(s) whose origin was granted (semi join on the origin)."""
-    parts = pages.withColumn("origin", F.lower(F.regexp_extract(url, r"^(?i)(https?://[^/?#]+)", 1)))
+    parts = pages.withColumn("origin", origin(url))
     return parts.filter(F.col("origin") != "").join(grants.select("origin").distinct(), "origin", "left_semi")
 
 

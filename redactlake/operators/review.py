@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from redactlake.functions import rules as R
+from redactlake.operators.joins import null_safe_join
 from redactlake.operators.redaction import redact_rows
 from redactlake.operators.tokens import assign_tokens
 
@@ -18,7 +19,6 @@ KIND_NAMES = {
     "CARD": "Card number", "UPI": "UPI ID", "IFSC": "IFSC", "PASSWORD": "Password", "OTP": "One-time code",
     "PRIVATE": "Private detail",
 }
-SHOWN_VALUE = 300
 AUDIT_RING = 40
 _TOKEN = rf"(?<![{R.WORD}])[A-Z]+_[0-9]+(?![{R.WORD}])"
 
@@ -118,8 +118,8 @@ def mark_tokens(
     return keyed.join(tokens, [*scope, "norm_key"]).select(*scope, item, "mark_token")
 
 
-def display_kinds(reviewed: DataFrame) -> DataFrame:
-    """Kind names for people; unknown kinds show their label."""
+def display_kinds(reviewed: DataFrame, shown: int | None = None) -> DataFrame:
+    """Kind names for people; unknown kinds show their label.  ``shown`` cuts long values for a display."""
     names = F.create_map(*[F.lit(x) for pair in KIND_NAMES.items() for x in pair])  # 15 fixed entries
     return reviewed.withColumns(
         {
@@ -127,7 +127,7 @@ def display_kinds(reviewed: DataFrame) -> DataFrame:
                 F.try_element_at(names, F.col("kind")), F.nullif("label", F.lit("")), F.lit("Private detail")
             ),
             "shown_value": F.when(
-                F.coalesce(F.length("value"), F.lit(0)) > 0, F.substring("value", 1, SHOWN_VALUE)
+                F.coalesce(F.length("value"), F.lit(0)) > 0, F.col("value") if shown is None else F.substring("value", 1, shown)
             )
             .when(F.col("is_private"), F.lit("Hidden on the page"))
             .otherwise(F.lit("Visible on the page")),
@@ -225,8 +225,7 @@ def debounce(events: DataFrame, key: Sequence[str], ts: str, tie: str, gap: str,
     heads = heads.withColumn("_next_head", F.lead("_head").over(Window.partitionBy(*key).orderBy("_day")))
     nxt = F.coalesce(F.col("_in"), F.col("_next_head"))
     return (
-        cut.withColumn("_in", F.lead(ts).over(inside))
-        .join(heads.select(*key, "_day", "_next_head"), [*key, "_day"])
+        null_safe_join(cut.withColumn("_in", F.lead(ts).over(inside)), heads.select(*key, "_day", "_next_head"), [*key, "_day"])
         .filter(nxt.isNull() | (nxt >= F.col(ts) + F.expr(f"INTERVAL {gap}")))
         .select(*events.columns)
     )

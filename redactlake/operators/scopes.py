@@ -14,6 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from redactlake.operators.joins import null_safe_join
 from redactlake.operators.ordered import DENSE, carry_last
 from redactlake.operators.redaction import name_parts, redact_rows, replace_names
 from redactlake.operators.tokens import assign_tokens, known_tokens
@@ -59,7 +60,7 @@ def redact_scopes(
     found = checkpointed(found)
     tokens = checkpointed(assign_tokens(found, scope, radix=radix))
     known = known_tokens(found, tokens, scope, ["item_ord"]).withColumnRenamed("item_ord", ord_col)
-    joined = items.join(known, [*scope, ord_col], "left")
+    joined = null_safe_join(items, known, [*scope, ord_col], "left")
     done = redact_rows(
         joined.withColumn("known", F.coalesce("known", F.create_map().cast("map<string,string>"))),
         text, known=F.col("known"), own_names=False, **options,
@@ -100,7 +101,7 @@ def substitute_names(
     """
     scope = list(scope)
     person_tokens = tokens.filter(F.col("kind") == "PERSON").select(*scope, "norm_key", "token")
-    said = people.select(*scope, "item_ord", "phase", "pos", "norm_key").join(person_tokens, [*scope, "norm_key"])
+    said = null_safe_join(people.select(*scope, "item_ord", "phase", "pos", "norm_key"), person_tokens, [*scope, "norm_key"])
     full = said.groupBy(*scope, "norm_key", "token").agg(F.min(F.struct("item_ord", "phase", "pos")).alias("seq"))
     full = full.select(*scope, F.col("norm_key").alias("entry"), "token", "seq", F.lit(0).alias("rank"))
     part_uses = said.select(
@@ -121,14 +122,14 @@ def substitute_names(
     sizes = entries.groupBy(*scope).agg(F.collect_set("words").alias("_sizes"))  # distinct small integers
     lower = F.lower(F.col("redacted"))
     pieces = (
-        items.select(*scope, ord_col, "redacted").join(sizes, scope)
+        null_safe_join(items.select(*scope, ord_col, "redacted"), sizes, scope)
         .withColumns({"_runs": F.regexp_extract_all(lower, F.lit(_RUN), 0), "_gaps": F.split(lower, _RUN, -1)})
         .select(
             *scope, ord_col,
             F.explode(F.array_distinct(F.flatten(F.transform("_sizes", _word_sequences)))).alias("core"),
         )
     )
-    hits = pieces.join(entries, [*scope, "core"]).drop("core", "words")
+    hits = null_safe_join(pieces, entries, [*scope, "core"]).drop("core", "words")
     # the token a part had when this item was read: its last use so far
     history = part_uses.select(
         *scope, "entry", F.col("item_ord").alias("_o"), "phase", "pos", F.lit(None).cast("bigint").alias("_item"),
@@ -143,7 +144,7 @@ def substitute_names(
         .filter(F.col("_item").isNotNull())
         .select(*scope, F.col("_item").alias(ord_col), "entry", "then")
     )
-    hits = hits.join(then, [*scope, ord_col, "entry"], "left")
+    hits = null_safe_join(hits, then, [*scope, ord_col, "entry"], "left")
     early = F.col("seq.item_ord") <= F.col(ord_col)
     token_then = F.when(F.col("rank") > 0, F.col("then")).otherwise(F.col("token"))
     entry = lambda tok: F.struct("seq", "rank", F.col("entry").alias("e"), tok.alias("token"))
@@ -157,7 +158,7 @@ def substitute_names(
         F.transform(c, lambda x: F.struct(x["e"].alias(f), x["token"].alias("token"))),
         F.array().cast(f"array<struct<{f}:string,token:string>>"),
     )
-    out = items.join(per_item, [*scope, ord_col], "left").withColumn(
+    out = null_safe_join(items, per_item, [*scope, ord_col], "left").withColumn(
         "_pass1", replace_names(F.col("redacted"), shape("_n1", "key"), shape("_p1", "part"))
     )
     final = F.col("_pass1")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from redactlake.functions import rules as R
+from redactlake.operators.joins import null_safe_join
 from redactlake.operators.ordered import DENSE, carry_last, ordered_rank
 from redactlake.operators.redaction import name_parts
 from redactlake.session import checkpointed
@@ -46,10 +47,8 @@ def assign_tokens(
     keys = checkpointed(first_mentions(entities, scope))
     if aliases:
         leaders = resolve_person_aliases(entities.filter(F.col("kind") == "PERSON"), scope)
-        keys = keys.join(
-            leaders.select(*scope, F.lit("PERSON").alias("kind"), "norm_key", "leader"),
-            [*scope, "kind", "norm_key"],
-            "left",
+        keys = null_safe_join(
+            keys, leaders.select(*scope, F.lit("PERSON").alias("kind"), "norm_key", "leader"), [*scope, "kind", "norm_key"], "left"
         )
     else:
         keys = keys.withColumn("leader", F.lit(None).cast("string"))
@@ -61,7 +60,7 @@ def assign_tokens(
     )
     if aliases:
         numbers = numbered.select(*scope, "kind", F.col("norm_key").alias("leader"), "n")
-        numbered = keys.join(numbers, [*scope, "kind", "leader"])
+        numbered = null_safe_join(keys, numbers, [*scope, "kind", "leader"])
     return numbered.select(
         *scope, "kind", "norm_key", "n",
         F.concat_ws("_", "kind", F.col("n").cast("string")).alias("token"),
@@ -103,7 +102,7 @@ def resolve_person_aliases(
     points = answered.groupBy(*scope, F.col("asker").alias("norm_key")).agg(
         F.collect_set("points_to").alias("ptr")  # at most one per word of the name
     )
-    nodes = firsts.select(*scope, "norm_key").join(points, [*scope, "norm_key"], "left")
+    nodes = null_safe_join(firsts.select(*scope, "norm_key"), points, [*scope, "norm_key"], "left")
     nodes = nodes.select(
         *scope, "norm_key",
         F.coalesce("ptr", F.array().cast("array<string>")).alias("ptr"),
@@ -119,8 +118,7 @@ def resolve_person_aliases(
             F.when(F.col("leader").isNull() & (F.size("ptr") == 1), F.get("ptr", F.lit(0))).alias("p_next"),
         )
         step = (
-            open_.select(*scope, "norm_key", F.explode("ptr").alias("p"))
-            .join(target, [*scope, "p"])
+            null_safe_join(open_.select(*scope, "norm_key", F.explode("ptr").alias("p")), target, [*scope, "p"])
             .groupBy(*scope, "norm_key")
             .agg(
                 F.collect_set(F.coalesce("p_leader", "p_next", "p")).alias("ptr"),
@@ -143,7 +141,7 @@ def known_tokens(entities: DataFrame, tokens: DataFrame, scope: Sequence[str], i
     distinct = entities.select(*scope, *item, "kind", "norm_key").distinct()
     pair = F.struct(F.concat_ws(":", "kind", "norm_key").alias("k"), F.col("token").alias("v"))
     return (
-        distinct.join(tokens.select(*scope, "kind", "norm_key", "token"), [*scope, "kind", "norm_key"])
+        null_safe_join(distinct, tokens.select(*scope, "kind", "norm_key", "token"), [*scope, "kind", "norm_key"])
         .groupBy(*scope, *item)
         .agg(F.map_from_entries(F.collect_set(pair)).alias("known"))
     )
@@ -154,7 +152,7 @@ def restore(redacted: DataFrame, vault: DataFrame, item: Sequence[str], text: st
 
     ``vault`` holds ``item`` columns, ``original`` and ``shown`` (the text we wrote).
     """
-    joined = redacted.join(vault.select(*item, "original", "shown"), list(item), "left")
+    joined = null_safe_join(redacted, vault.select(*item, "original", "shown"), list(item), "left")
     same = F.col(text).eqNullSafe(F.col("shown")) & F.col("original").isNotNull()
     return joined.withColumn(
         "restored", F.when(same, F.col("original")).otherwise(F.col(text))

@@ -82,7 +82,7 @@ _NAMES = " ".join(f"WHEN '{k}' THEN {D.q(v)}" for k, v in W.KIND_NAMES.items())
 
 @query(
     f"""{_REVIEW} SELECT item_id, coalesce(CASE kind {_NAMES} END, nullif(label, ''), 'Private detail') AS display,
-    CASE WHEN length(value) > 0 THEN substr(value, 1, 300) WHEN is_private THEN 'Hidden on the page' ELSE 'Visible on the page' END AS shown_value,
+    CASE WHEN length(value) > 0 THEN value WHEN is_private THEN 'Hidden on the page' ELSE 'Visible on the page' END AS shown_value,
     CASE WHEN NOT can_unmark THEN 'Always hidden' WHEN is_private THEN 'Unmark' ELSE 'Mark private' END AS action FROM rv"""
 )
 def display_kinds(spark, folder):
@@ -199,11 +199,9 @@ def debounce_events(spark, folder):
     return W.debounce(events, ["user_id"], "ts", "event_id", "30 MINUTE").select("event_id", "user_id")
 
 
-@query(
-    f"""SELECT event_id, user_id FROM ({_QUIET}) WHERE event_id IN (SELECT event_id FROM events WHERE ts + INTERVAL 30 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE)"""
-)
+@query(_QUIET)
 def debounce_stream(spark, folder):
-    """The same over a stream; sessions still open at the watermark are not emitted yet."""
+    """The same over a stream."""
     return S.run_debounce(spark, f"{folder}/events.parquet", "30 minutes", "10 minutes")
 
 

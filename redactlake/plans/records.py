@@ -76,7 +76,9 @@ def valid_actions(spark, folder):
     return V.valid_actions(derive(spark, folder, fx.ACTIONS))
 
 
-_ORIGIN = "lower(regexp_extract(url, '(?i)^(https?://[^/?#]+)', 1))"
+_AUTHORITY = "regexp_replace(lower(regexp_extract(url, '(?i)^https?://([^/?#]*)', 1)), '^.*@', '')"
+_ORIGIN = f"""CASE WHEN regexp_matches(url, '(?i)^https?://[^/?#]+') THEN CASE WHEN url ILIKE 'https%' THEN 'https://' || regexp_replace({_AUTHORITY}, ':(443)?$', '')
+ ELSE 'http://' || regexp_replace({_AUTHORITY}, ':(80)?$', '') END ELSE '' END"""
 
 
 @query(
@@ -86,9 +88,7 @@ _ORIGIN = "lower(regexp_extract(url, '(?i)^(https?://[^/?#]+)', 1))"
 def eligible_pages(spark, folder):
     """Access was granted to the origins of every third page."""
     pages = table(spark, folder, "pages").select("page_id", "url")
-    grants = pages.filter("page_id % 3 = 0").select(
-        F.lower(F.regexp_extract("url", r"(?i)^(https?://[^/?#]+)", 1)).alias("origin")
-    )
+    grants = pages.filter("page_id % 3 = 0").select(V.origin("url").alias("origin"))
     return V.eligible_pages(pages, grants)
 
 

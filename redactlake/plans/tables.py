@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from zlib import crc32
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = (
@@ -16,7 +19,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def derive(spark: SparkSession, folder: str, sql: str) -> DataFrame:
     """Run a fixture query over the tables it names."""
-    used = {t: table(spark, folder, t) for t in TABLES if f" {t}" in sql}
-    for name in used:
-        used[name].createOrReplaceTempView(name)
-    return spark.sql(sql)
+    mark = f"{crc32(folder.encode()):08x}"  # views of different folders stay apart
+
+    def view(m: re.Match) -> str:
+        name = f"{m[2]}_{mark}"
+        table(spark, folder, m[2]).createOrReplaceTempView(name)
+        return f"{m[1]}{name}"
+
+    return spark.sql(re.sub(rf"(?i)(\b(?:FROM|JOIN)\s+)({'|'.join(TABLES)})\b", view, sql))

@@ -9,6 +9,8 @@ joins and windows.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
+from html.entities import html5
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -20,13 +22,6 @@ from redactlake.functions import rules as R
 # --- fixed values -----------------------------------------------------------
 SKIPPED = ("script", "style", "noscript", "template", "svg", "canvas")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-MAX_TEXT = 50000
-# Character references decoded in text chunks; the ampersand comes last.
-ENTITIES = (
-    ("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "'"), ("apos", "'"), ("nbsp", "\u00a0"), ("copy", "©"),
-    ("reg", "®"), ("middot", "·"), ("hellip", "…"), ("ndash", "–"), ("mdash", "—"), ("laquo", "«"),
-    ("raquo", "»"), ("euro", "€"), ("amp", "&"),
-)
 # ----------------------------------------------------------------------------
 # An opening tag ends these open elements, up to the given boundary.
 _ITEM = {"li": ({"li"}, {"ul", "ol", "menu"}), "option": ({"option"}, {"select"})}
@@ -182,10 +177,51 @@ _COMMENTS = r"(?s)<!--.*?-->"
 _TAGS = r"(?s)<[!/?A-Za-z][^>]*>"
 
 
+_REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]{1,31};?)"
+
+
+@lru_cache(maxsize=1)
+def _names() -> str:
+    """The named references of the HTML standard as one text for ``str_to_map``."""
+    return "\x02".join(f"{name}\x01{chars}" for name, chars in sorted(html5.items()))
+
+
+def _character(code: Column) -> Column:
+    """The character of a numeric reference; codes of no character as HTML reads them."""
+    old = "".join(bytes([b]).decode("cp1252", "replace") if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D) else chr(b) for b in range(128, 160))
+    char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    return (
+        F.when(code.isNull() | (code == 0) | code.between(0xD800, 0xDFFF) | (code > 0x10FFFF), F.lit("\ufffd"))
+        .when(code.between(128, 159), F.substring(F.lit(old), (code - 127).cast("int"), F.lit(1)))
+        .when(code.between(1, 8) | (code == 11) | code.between(14, 31) | (code == 127), F.lit(""))
+        .otherwise(char)
+    )
+
+
+def _decoded(m: Column) -> Column:
+    """One reference as text; what is none stays."""
+    body = F.rtrim(F.substring(m, 3, 40), F.lit(";"))
+    hexadecimal = F.lower(F.substring(body, 1, 1)) == "x"
+    digits = F.ltrim(F.when(hexadecimal, F.substring(body, 2, 40)).otherwise(body), F.lit("0"))
+    digits = F.when(digits == "", F.lit("0")).otherwise(digits)
+    # more digits than any character has would not fit a number
+    code = F.when(F.length(digits) <= 10, F.when(hexadecimal, F.conv(digits, 16, 10)).otherwise(F.conv(digits, 10, 10)).cast("bigint"))
+    names = F.str_to_map(F.lit(_names()), F.lit("\x02"), F.lit("\x01"))
+    word = F.substring(m, 2, 40)
+    # a name without its semicolon may be followed by more letters
+    sizes = F.sequence(F.length(word), F.lit(2), F.lit(-1))
+    known = F.get(F.filter(sizes, lambda n: F.map_contains_key(names, F.substring(word, F.lit(1), n))), F.lit(0))
+    named = F.when(
+        known.isNotNull(), F.concat(F.try_element_at(names, F.substring(word, F.lit(1), known)), F.substring(word, known + 1, F.lit(40)))
+    ).otherwise(m)
+    return F.when(F.substring(m, 2, 1) == "#", _character(code)).otherwise(named)
+
+
 def _unescape(c: Column) -> Column:
-    for name, char in ENTITIES:
-        c = F.replace(c, F.lit(f"&{name};"), F.lit(char))
-    return c
+    """Decodes decimal, hexadecimal and named character references."""
+    found, pieces = F.regexp_extract_all(c, F.lit(_REFERENCE), 0), F.split(c, _REFERENCE, -1)
+    whole = F.array_join(F.transform(pieces, lambda p, i: F.concat(p, F.coalesce(_decoded(F.get(found, i)), F.lit("")))), "")
+    return F.when(c.contains("&"), whole).otherwise(c)
 
 
 def chunk_array(html: Column) -> Column:
@@ -200,7 +236,7 @@ def page_chunks(pages: DataFrame, keys: Sequence[str] = ("page_id",), html: str
     return pages.select(*keys, F.posexplode(chunk_array(F.col(html))).alias("chunk_ord", "text"))
 
 
-def page_text(pages: DataFrame, keys: Sequence[str] = ("page_id",), html: str = "html", cap: int = MAX_TEXT) -> DataFrame:
+def page_text(pages: DataFrame, keys: Sequence[str] = ("page_id",), html: str = "html", cap: int | None = None) -> DataFrame:
     """Chunks of a page as one text.  Built inside the row, so no ordered aggregation is needed."""
     joined = F.regexp_replace(F.array_join(chunk_array(F.col(html)), "\n"), r"\n{3,}", "\n\n")
-    return pages.select(*keys, F.substring(joined, 1, cap).alias("text"))
+    return pages.select(*keys, (joined if cap is None else F.substring(joined, 1, cap)).alias("text"))

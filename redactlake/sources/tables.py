@@ -12,9 +12,19 @@ def text_items(df: DataFrame, scope: str, ord_col: str | None, text: str) -> Dat
     return df.select(F.col(scope).alias("scope_id"), item.alias("item_ord"), F.col(text).alias("text"))
 
 
-def write_redacted(df: DataFrame, path: str, originals: tuple[str, ...] = ("text", "original", "entities")) -> None:
-    """Write a redacted table; columns that hold original values are left out."""
-    df.drop(*originals).write.mode("overwrite").parquet(path)
+#: Columns of the jobs that never hold an original value.
+SAFE_COLUMNS = (
+    "scope", "scope_id", "item_id", "item_ord", "doc_id", "conv_id", "turn", "page_id", "node_ord", "chunk_ord", "field_id", "lang", "source",
+    "redacted", "safe_context", "kind", "kinds", "token", "n", "mentions", "locked", "is_safe",
+)
+
+
+def write_redacted(df: DataFrame, path: str, columns: tuple[str, ...] = SAFE_COLUMNS) -> None:
+    """Write a redacted table: of its columns only those that ``columns`` allows."""
+    kept = [c for c in df.columns if c in columns]
+    if not kept:
+        raise ValueError("none of the columns may be written")
+    df.select(*kept).write.mode("overwrite").parquet(path)
 
 
 def write_review(df: DataFrame, path: str) -> None:

@@ -33,28 +33,42 @@ def debounce(stream: DataFrame, key: Sequence[str], ts: str, tie: str, gap: str,
     )
 
 
-def run_debounce(spark: SparkSession, path: str, gap: str, watermark: str) -> DataFrame:
-    """Debounce a stored event table to the end of its input; closed sessions only."""
-    schema = spark.read.parquet(path).schema
+def stream_table(spark: SparkSession, path: str) -> DataFrame:
+    """A stored Parquet table, one file or a folder of files, as a stream."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    status = place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place)
+    source = spark.readStream.schema(spark.read.parquet(path).schema)
+    if status.isDirectory():
+        return source.parquet(path)
     folder, name = path.rsplit("/", 1)
-    source = (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", name)
-        .parquet(folder)
-        .select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"))
-    )
+    return source.option("pathGlobFilter", name).parquet(folder)
+
+
+def run_debounce(spark: SparkSession, path: str, gap: str, watermark: str) -> DataFrame:
+    """Debounce a stored event table, to the last session.
+
+    A second run of the same query reads a marker event from after the end, which
+    moves the watermark past the sessions that the table leaves open.
+    """
     base = _new_folder(spark, "debounce")
-    out = debounce(source, ["user_id"], "ts", "event_id", gap, watermark)
-    run = (
-        out.writeStream.format("parquet")
-        .option("path", f"{base}/out")
-        .option("checkpointLocation", f"{base}/checkpoint")
-        .outputMode("append")
-        .trigger(availableNow=True)
-        .start()
+    columns = ["user_id", "event_id", F.col("ts").cast("timestamp").alias("ts")]
+    stored = spark.read.parquet(path).select(*columns)
+    marker = stored.agg(F.max("ts").alias("ts")).select(
+        F.lit(None).cast(stored.schema["user_id"].dataType).alias("user_id"), F.lit(None).cast(stored.schema["event_id"].dataType).alias("event_id"),
+        (F.col("ts") + F.expr(f"INTERVAL {gap}") + F.expr(f"INTERVAL {watermark}") + F.expr("INTERVAL 1 SECOND")).alias("ts"),
     )
-    run.awaitTermination()
-    return spark.read.schema("user_id bigint, event_id bigint, ts timestamp").parquet(f"{base}/out").select("event_id", "user_id")
+    marker.limit(0).write.parquet(f"{base}/marker")
+
+    def run() -> None:
+        source = stream_table(spark, path).select(*columns).unionByName(spark.readStream.schema(stored.schema).parquet(f"{base}/marker"))
+        out = debounce(source, ["user_id"], "ts", "event_id", gap, watermark)
+        sink = out.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint")
+        sink.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+
+    run()
+    marker.write.mode("append").parquet(f"{base}/marker")
+    run()
+    return spark.read.schema(stored.schema).parquet(f"{base}/out").select("event_id", "user_id")
 
 
 # --- redaction --------------------------------------------------------------

@@ -7,15 +7,15 @@ from redactlake.session import checkpointed
 from redactlake.sources import html as H
 
 PAGES = [
-    (1, "<main><h1>Login</h1><div><b>Name:</b><div>Ilan Okoro</div></div><div><b>Primary mobile number:</b><div>+91 98765 43210</div></div>"
-        "<label>Verification code: <input id=otp autocomplete=one-time-code value=654321></label><p>Ilan was here</main>"),
-    (2, "<main><table><tr><th>Customer name</th><td>Zoya Lim</td></tr><tr><th>Account No</th><td>220011334455</td></tr></table>"
-        "<label>Email <input type=email value='zoya.l@example.test'></label><iframe srcdoc=\"<p>UPI ID: zoya@okbank</p>\"></iframe></main>"),
-    (3, "<form action=/session><label>Email <input id=mail type=email value=noor@example.test></label><label>Password <input type=password value=x></label></form>"
-        "<div style='display: none'>9876543210</div><script>var a = '9876543210'</script><svg><text>9876543210</text></svg>"),
-    (4, "<table><tr><td>Account Name<td>Account Number<td>Balance<tr><td><a href=x>Zoya Lim</a><td>220011334455<td>5000.00</table><nav>Zoya Lim</nav>"),
-    (5, "<dl><dt>Mobile</dt><dd>98765-43210</dd></dl><table><tr><td>Account number</td><td><input id=acc value=123456789012></td></tr></table>"
-        "<label for=n>Full name</label><input id=n value='Asha K'><input id=ph placeholder='Mobile number' value=9123456789>"),
+    (1, "<main><h1>Login</h1><div><b>Name:</b><div>Oona Pell</div></div><div><b>Cell phone:</b><div>+91 70123 45678</div></div>"
+        "<label>Verification code: <input id=otp autocomplete=one-time-code value=8812></label><p>Oona was here</main>"),
+    (2, "<main><table><tr><th>Customer name</th><td>Bram Tull</td></tr><tr><th>Account No</th><td>550012340077</td></tr></table>"
+        "<label>Email <input type=email value='bram.t@example.test'></label><iframe srcdoc=\"<p>UPI ID: bram@quaybank</p>\"></iframe></main>"),
+    (3, "<form action=/session><label>Email <input id=mail type=email value=edda@example.test></label><label>Password <input type=password value=x></label></form>"
+        "<div style='display: none'>7012345678</div><script>var a = '7012345678'</script><svg><text>7012345678</text></svg>"),
+    (4, "<table><tr><td>Account holder<td>A/c no<td>Balance<tr><td><a href=x>Bram Tull</a><td>550012340077<td>90.00</table><nav>Bram Tull</nav>"),
+    (5, "<dl><dt>Mobile</dt><dd>70123-45678</dd></dl><table><tr><td>Account number</td><td><input id=acc value=440099112233></td></tr></table>"
+        "<label for=n>Full name</label><input id=n value='Wren N'><input id=ph placeholder='Mobile number' value=6123456789>"),
 ]
 
 
@@ -34,13 +34,13 @@ def _texts(texts, page):
 
 def test_labels_beside_values_and_names_in_text(redacted):
     assert _texts(redacted[0], 1) == [
-        "Login", "Name:", "PERSON_1", "Primary mobile number:", "MOBILE_1", "Verification code:", "PERSON_1 was here"
+        "Login", "Name:", "PERSON_1", "Cell phone:", "MOBILE_1", "Verification code:", "PERSON_1 was here"
     ]
 
 
 def test_headings_and_frames(redacted):
     assert _texts(redacted[0], 2) == ["Customer name", "PERSON_1", "Account No", "ACCOUNT_1", "Email", "UPI ID: UPI_1"]
-    assert _texts(redacted[0], 4) == ["Account Name", "Account Number", "Balance", "PERSON_1", "ACCOUNT_1", "5000.00", "PERSON_1"]
+    assert _texts(redacted[0], 4) == ["Account holder", "A/c no", "Balance", "PERSON_1", "ACCOUNT_1", "90.00", "PERSON_1"]
 
 
 def test_hidden_texts_are_not_walked(redacted):
@@ -59,5 +59,5 @@ def test_fields(redacted):
 def test_safe_context(redacted):
     texts, _, judged = redacted
     out = {r.page_id: r.safe_context for r in P.page_contexts(texts, judged).collect()}
-    assert "Verification code: [HIDDEN]" in out[1] and "Ilan" not in out[1]
-    assert "zoya.l@example.test" not in out[2]
+    assert "Verification code: [HIDDEN]" in out[1] and "Oona" not in out[1]
+    assert "bram.t@example.test" not in out[2]
