@@ -28,7 +28,7 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator, Sequence
-from itertools import chain
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -37,12 +37,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from redactlake.llm.bpe import byte_alphabet
 from redactlake.llm.tables import staged
 
 BLOCK_IDS, PACK_IDS = 4096, 1 << 20
 _MAGIC, _HEAD = b"TIDPACK1", struct.Struct("<8sIIQQ")
 _MARKS = ".,;:!?"
-_CACHED, _LONGEST_CACHED = 500_000, 64
+_CACHED, _LONGEST_CACHED = 600_000, 64
 
 
 # --- bits ------------------------------------------------------------------------
@@ -111,8 +112,8 @@ def read_ids(pack: bytes, start: int = 0, stop: int | None = None) -> np.ndarray
 class WordEncoder:
     """The tokenizers library behind a bounded cache of words.
 
-    For vocabularies whose words end at white space.  Words of letters go to the
-    library many at a time; the end-of-word tokens part them again.
+    For vocabularies whose words end at white space, which lower-case and compose
+    letters and keep them apart from everything else.
     """
 
     def __init__(self, content: str):
@@ -124,7 +125,9 @@ class WordEncoder:
         self.library.no_padding()
         size = self.library.get_vocab_size(with_added_tokens=True)
         self.width = max(1, (size - 1).bit_length())
-        self.ends = np.array([(self.library.id_to_token(i) or "").endswith("</w>") for i in range(size)])
+        self.model = self.library.model
+        self.letter = {b: c for c, b in byte_alphabet().items()}
+        self.layout = [struct.Struct(f"<{n}I") for n in range(24)]
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.mark = {m: self._whole([m])[0] for m in _MARKS}
@@ -132,36 +135,36 @@ class WordEncoder:
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _letters(self, words: list[str]) -> list[bytes]:
-        ids = np.array(self.library.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
-        last = np.flatnonzero(self.ends[ids]) + 1
-        if len(last) != len(words) or last[-1] != len(ids):
-            return self._whole(words)  # some word has more than one end
-        raw, cuts = ids.tobytes(), [0, *(last * 4).tolist()]
-        return [raw[cuts[i] : cuts[i + 1]] for i in range(len(words))]
+    def _word(self, word: str) -> bytes:
+        """Ids of letters.
+
+        Lower-case letters in composed form are one word to the library, which
+        neither normalises nor splits them further, so its BPE model takes them
+        as they are; others go the whole way.
+        """
+        lower = word.lower()
+        if not lower.isascii():
+            if not lower.isalpha() or "Σ" in word or not is_normalized("NFC", lower):
+                return self._whole([word])[0]
+            lower = lower.encode().decode("latin-1").translate(self.letter)
+        ids = [t.id for t in self.model.tokenize(lower)]
+        return self.layout[len(ids)].pack(*ids) if len(ids) < len(self.layout) else np.array(ids, "<u4").tobytes()
 
     def _learn(self, pieces: set[str]) -> dict[str, bytes]:
-        found, letters, heads, others, old, new = {}, set(), [], [], self.old.get, self.new.get
+        found, others, old, new, mark, word = {}, [], self.old.get, self.new.get, self.mark, self._word
         for p in pieces:
-            if (known := old(p)) is not None:
-                found[p] = known
-            elif p.isalpha():
-                letters.add(p)
-            elif p[-1] in self.mark and (head := p[:-1]).isalpha():
-                if (known := new(head) or old(head)) is not None:
-                    found[p] = known + self.mark[p[-1]]
+            known = old(p)
+            if known is None:
+                if p.isalpha():
+                    known = word(p)
+                elif p[-1] in mark and (head := p[:-1]).isalpha():
+                    known = (new(head) or old(head) or word(head)) + mark[p[-1]]
                 else:
-                    heads.append((p, head))
-                    letters.add(head)
-            else:
-                others.append(p)
-        if letters:
-            listed = list(letters)
-            found.update(zip(listed, self._letters(listed), strict=True))
+                    others.append(p)
+                    continue
+            found[p] = known
         if others:
             found.update(zip(others, self._whole(others), strict=True))
-        for p, head in heads:
-            found[p] = found[head] + self.mark[p[-1]]
         if len(self.new) + len(found) > _CACHED:
             self.old, self.new = self.new, {}
         self.new.update((p, e) for p, e in found.items() if len(p) <= _LONGEST_CACHED)
