@@ -129,7 +129,8 @@ def table_headers(cells: DataFrame, table: tuple[str, ...] = ("table_id",)) -> D
     guess = (F.col("row_ord") == F.col("_first")) & (F.col("_n") >= 2) & F.col("_plain") & (F.col("_known") >= 2)
     rows = rows.withColumn("_is_head", F.col("_thead") | F.col("_all_headers") | guess)
     rows = rows.withColumn("_head_row", F.when(F.col("_is_head"), F.col("row_ord")))
-    rows = carry_last(rows, t, "row_ord", ["row_ord"], "_head_row", "_above")
+    # one small row for each table row, read several times by the numbering and the joins below
+    rows = checkpointed(carry_last(checkpointed(rows), t, "row_ord", ["row_ord"], "_head_row", "_above"))
     above = rows.select(*t, F.col("row_ord").alias("_above"), F.col("_merged").alias("_head_merged"))
     rows = rows.select(*t, "row_ord", "_is_head", "_above", "_merged").join(above, [*t, "_above"], "left")
     marked = cells.join(rows, [*t, "row_ord"])
@@ -184,7 +185,8 @@ def page_cells(nodes: DataFrame) -> DataFrame:
 
 def page_headings(nodes: DataFrame) -> DataFrame:
     """Per cell of a page: ``cell_ord``, ``is_header``, ``heading``."""
-    done = table_headers(page_cells(nodes), ("page_id", "table_ord"))
+    # stored once: the header rules read the cells many times, and each reading would repeat their joins
+    done = table_headers(checkpointed(page_cells(nodes)), ("page_id", "table_ord"))
     return done.select("page_id", F.col("node_ord").alias("cell_ord"), "is_header", "heading")
 
 
