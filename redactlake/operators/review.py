@@ -53,7 +53,8 @@ def review(texts: DataFrame, fields: DataFrame, overrides: DataFrame | None = No
     """
     both = texts.unionByName(fields)
     if overrides is not None:
-        both = both.join(latest_overrides(overrides), "item_id", "left")
+        keys = override_keys(both, overrides)
+        both = null_safe_join(both, latest_overrides(overrides, keys), keys, "left")
     else:
         both = both.withColumn("is_marked", F.lit(None).cast("boolean"))
     keep = [c for c in texts.columns if c not in ("item_id", "source", "label", "kind", "original", "redacted", "locked")]
@@ -66,9 +67,17 @@ def review(texts: DataFrame, fields: DataFrame, overrides: DataFrame | None = No
     )
 
 
-def latest_overrides(overrides: DataFrame) -> DataFrame:
-    """Latest manual decision per item (``item_id, is_private, ts``)."""
-    return overrides.groupBy("item_id").agg(F.max_by("is_private", "ts").alias("is_marked"))
+def override_keys(items: DataFrame, overrides: DataFrame) -> list[str]:
+    """What names an item: its id, within its scope or page where both tables have one.
+
+    An element id such as ``email`` is on many pages, so overrides should carry their scope.
+    """
+    return [c for c in ("scope_id", "page_id") if c in items.columns and c in overrides.columns] + ["item_id"]
+
+
+def latest_overrides(overrides: DataFrame, keys: Sequence[str] = ("item_id",)) -> DataFrame:
+    """Latest manual decision per item (``is_private, ts``)."""
+    return overrides.groupBy(*keys).agg(F.max_by("is_private", "ts").alias("is_marked"))
 
 
 def apply_overrides(detections: DataFrame, overrides: DataFrame) -> DataFrame:
@@ -81,7 +90,8 @@ def apply_overrides(detections: DataFrame, overrides: DataFrame) -> DataFrame:
     from an optional column ``mark_token`` (see :func:`mark_tokens`).
     """
     spare = F.col("mark_token") if "mark_token" in detections.columns else F.lit(None).cast("string")
-    d = detections.join(latest_overrides(overrides), "item_id", "left")
+    keys = override_keys(detections, overrides)
+    d = null_safe_join(detections, latest_overrides(overrides, keys), keys, "left")
     asked = F.col("is_marked").isNotNull()
     refused = F.col("locked") | F.col("authentication")
     changed = ~(F.col("current").eqNullSafe(F.col("original")) | F.col("current").eqNullSafe(F.col("redacted")))
@@ -115,7 +125,7 @@ def mark_tokens(
         F.col("_kind").alias("kind"), F.col(value).alias("raw"), "norm_key",
     )
     tokens = assign_tokens(mentions, scope, aliases=False).select(*scope, "norm_key", F.col("token").alias("mark_token"))
-    return keyed.join(tokens, [*scope, "norm_key"]).select(*scope, item, "mark_token")
+    return null_safe_join(keyed, tokens, [*scope, "norm_key"]).select(*scope, item, "mark_token")
 
 
 def display_kinds(reviewed: DataFrame, shown: int | None = None) -> DataFrame:

@@ -52,8 +52,8 @@ def _fields(spark, folder):
 
 def _overrides(texts):
     """Every fifth text is unmarked; every tenth is marked again later."""
-    off = texts.filter("scope_id % 5 = 0").select("item_id", F.lit(False).alias("is_private"), F.lit(1).alias("ts"))
-    on = texts.filter("scope_id % 10 = 0").select("item_id", F.lit(True).alias("is_private"), F.lit(2).alias("ts"))
+    off = texts.filter("scope_id % 5 = 0").select("scope_id", "item_id", F.lit(False).alias("is_private"), F.lit(1).alias("ts"))
+    on = texts.filter("scope_id % 10 = 0").select("scope_id", "item_id", F.lit(True).alias("is_private"), F.lit(2).alias("ts"))
     return off.unionByName(on)
 
 

@@ -83,3 +83,11 @@ def test_sinks_write_only_allowed_columns(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).columns == ["redacted", "scope"]
     with pytest.raises(ValueError):
         S.write_redacted(df.select("html"), str(tmp_path / "none"))
+
+
+def test_overrides_hold_for_their_page_only(spark):
+    rows = [(page, "email", "EMAIL", "a@b.example", "EMAIL_1", "EMAIL_1", False, False) for page in (1, 2, None)]
+    items = spark.createDataFrame(rows, "page_id long, item_id string, kind string, original string, redacted string, current string, locked boolean, authentication boolean")
+    marks = spark.createDataFrame([(1, "email", False, 1), (None, "email", True, 1), (None, "email", False, 2)], "page_id long, item_id string, is_private boolean, ts int")
+    shown = {r.page_id: (r.is_private, r.shown) for r in W.apply_overrides(items, marks).collect()}
+    assert shown == {1: (False, "a@b.example"), 2: (True, "EMAIL_1"), None: (False, "a@b.example")}
