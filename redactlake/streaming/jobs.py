@@ -8,10 +8,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from redactlake.operators.joins import null_safe_join
 from redactlake.operators.redaction import redact_rows
 from redactlake.operators.scopes import item_entities
 from redactlake.operators.tokens import assign_tokens, known_tokens
-from redactlake.session import work_folder
+from redactlake.session import checkpointed, work_folder
 
 
 def _new_folder(spark: SparkSession, job: str) -> str:
@@ -109,20 +110,21 @@ def redact_batch(
     New values of a scope continue its numbers: they are ranked within the batch
     and shifted by the highest number stored so far.
     """
-    found = item_entities(items, ["scope"], ord_col, text)
+    # stored once: ranking and looking up both need what was found
+    found = checkpointed(item_entities(items, ["scope"], ord_col, text))
     ranked = assign_tokens(found, ["scope"], aliases=False)
     ranked = ranked.withColumn("key_id", store.key_id(F.col("kind"), F.col("norm_key")))
     old = store.before(batch)
-    seen = ranked.join(old.select("scope", "kind", "key_id", F.col("n").alias("old_n")), ["scope", "kind", "key_id"], "left")
+    seen = null_safe_join(ranked, old.select("scope", "kind", "key_id", F.col("n").alias("old_n")), ["scope", "kind", "key_id"], "left")
     fresh = seen.filter(F.col("old_n").isNull()).select(
         "scope", "kind", "norm_key", "value", "first_seq", "key_id",
     )
     top = old.groupBy("scope", "kind").agg(F.max("n").alias("top"))
+    numbered = assign_tokens(
+        fresh.select("scope", "kind", "norm_key", F.col("value").alias("raw"), "first_seq.*"), ["scope"], aliases=False
+    )
     renumbered = (
-        assign_tokens(
-            fresh.select("scope", "kind", "norm_key", F.col("value").alias("raw"), "first_seq.*"), ["scope"], aliases=False
-        )
-        .join(top, ["scope", "kind"], "left")
+        null_safe_join(numbered, top, ["scope", "kind"], "left")
         .select("scope", "kind", "norm_key", (F.col("n") + F.coalesce("top", F.lit(0))).alias("n"))
     )
     new_rows = renumbered.select(
@@ -131,11 +133,11 @@ def redact_batch(
     store.add(batch, new_rows)
     # from here on the numbers come from the stored table, not from a second run of the ranking
     current = store.before(batch + 1).select("scope", "kind", "key_id", "n")
-    tokens = ranked.select("scope", "kind", "norm_key", "key_id").join(current, ["scope", "kind", "key_id"]).withColumn(
+    tokens = null_safe_join(ranked.select("scope", "kind", "norm_key", "key_id"), current, ["scope", "kind", "key_id"]).withColumn(
         "token", F.concat_ws("_", "kind", F.col("n").cast("string"))
     )
     known = known_tokens(found, tokens, ["scope"], ["item_ord"]).withColumnRenamed("item_ord", ord_col)
-    joined = items.join(known, ["scope", ord_col], "left").withColumn(
+    joined = null_safe_join(items, known, ["scope", ord_col], "left").withColumn(
         "known", F.coalesce("known", F.create_map().cast("map<string,string>"))
     )
     return redact_rows(joined, text, known=F.col("known"), own_names=False).drop("known", "entities")

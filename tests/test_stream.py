@@ -17,3 +17,23 @@ def test_tokens_are_stable_over_batches_and_replays(spark, tmp_path):
     assert out(second, 1) == want  # a replayed batch overwrites its own folder
     stored = spark.read.option("recursiveFileLookup", "true").parquet(str(tmp_path / "tokens"))
     assert stored.filter("key_id like '%98765%'").count() == 0
+
+
+def test_null_scope_keeps_its_numbers(spark, tmp_path):
+    store = S.TokenStore(spark, str(tmp_path / "tokens"))
+    make = lambda rows: spark.createDataFrame(rows, "scope string, item_ord long, text string")
+    S.redact_batch(make([(None, 0, "call 7012345678")]), 0, store).collect()
+    rows = S.redact_batch(make([(None, 1, "call 7012345679 or 7012345678")]), 1, store).collect()
+    assert [r.redacted for r in rows] == ["call MOBILE_2 or MOBILE_1"]
+
+
+def test_a_restarted_query_goes_on_from_its_checkpoint(spark, tmp_path):
+    """Two runs over a growing folder write what one run over all of it would."""
+    make = lambda rows: spark.createDataFrame(rows, "scope string, item_ord long, text string")
+    source, store = str(tmp_path / "in"), S.TokenStore(spark, str(tmp_path / "tokens"))
+    for rows in ([("a", 0, "call 7012345678")], [("a", 1, "call 7012345679, then 7012345678")]):
+        make(rows).write.mode("append").parquet(source)
+        stream = spark.readStream.schema("scope string, item_ord bigint, text string").parquet(source)
+        S.redact_stream(stream, store, str(tmp_path / "out"), str(tmp_path / "checkpoint")).awaitTermination()
+    out = spark.read.option("recursiveFileLookup", "true").parquet(str(tmp_path / "out")).collect()
+    assert {r.item_ord: r.redacted for r in out} == {0: "call MOBILE_1", 1: "call MOBILE_2, then MOBILE_1"} and len(out) == 2
