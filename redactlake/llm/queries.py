@@ -71,9 +71,20 @@ def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select("doc_id", "source", "block", "slot", "position")
 
 
-@query()
+@query(
+    r"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+      'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') ws FROM documents),
+    s AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+      ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) g FROM w),
+    n AS (SELECT doc_id, count(*) n FROM s GROUP BY 1),
+    p AS (SELECT a.doc_id a, b.doc_id b, count(*) c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+    e AS MATERIALIZED (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+    u AS MATERIALIZED (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+    r AS (SELECT doc_id id, doc_id c FROM documents UNION SELECT r.id, u.b FROM r JOIN u ON r.c = u.a)
+    SELECT id AS doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, min(c) AS component_id FROM r LEFT JOIN n ON n.doc_id = r.id GROUP BY id"""
+)
 def op10_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
-    return near.near_groups(documents(spark, folder).select("doc_id", "text")).select("doc_id", "n_shingles", "component_id", "class_id")
+    return near.near_groups(documents(spark, folder).select("doc_id", "text")).select("doc_id", "n_shingles", "component_id")
 
 
 @query()
