@@ -16,7 +16,8 @@ is 0.8 or more; the result names each document's component.
 5. Large groups are not paired out: in some rounds each list compares all its
    members with one pivot, links are verified on complete sets, and lists whose
    members are all in one component are done.  What is left between different
-   components is joined in full, so no link between different sets is lost.
+   components is joined in full, so no link between different sets is lost; there
+   the places of the shared shingles bound the overlap that a pair can reach.
 
 Shingles are compared as 64-bit hashes of their five words, classes as 128-bit
 digests of their sets.
@@ -38,51 +39,68 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from xxhash import xxh3_64_digest
 
 from redactlake.llm.components import components
-from redactlake.llm.tables import staged
+from redactlake.llm.tables import group_key, staged
 
 WORDS, PERCENT = 5, 80
 LONGEST = 4  # largest number of shared prefix shingles that a class may ask for
 SKETCH_BITS = 18
-PIVOT_ROUNDS = 3
+PIVOT_ROUNDS = 2
+BROADCAST_ROWS = 200_000  # rows of a few numbers that may be broadcast; more are joined by shuffles
 _SLICES = 16
 _MULTIPLIER, _FINISH = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
-class Shingler:
-    """Sets of shingle hashes; remembers a bounded number of word hashes."""
-
-    def __init__(self) -> None:
-        self.known: dict[bytes, bytes] = {}
-
-    def set_of(self, text: str | None) -> np.ndarray:
-        words = (text or "").encode().lower().split()  # bytes: A-Z and the white space of ASCII only
-        if not words:
-            return np.empty(0, np.uint64)
-        hashes = list(map(self.known.get, words))
-        if None in hashes:
-            if len(self.known) > 300_000:
-                self.known.clear()
-            for i, h in enumerate(hashes):
-                if h is None:
-                    hashes[i] = self.known[words[i]] = hashlib.blake2b(words[i], digest_size=8).digest()
-        h = np.frombuffer(b"".join(hashes), "<u8")
-        size = min(WORDS, len(h))
-        mixed = h[: len(h) - size + 1] + np.uint64(size)
-        for j in range(1, size):
-            mixed = mixed * _MULTIPLIER + h[j : len(h) - size + 1 + j]
-        mixed ^= mixed >> np.uint64(32)
-        mixed *= _FINISH
-        mixed ^= mixed >> np.uint64(29)
-        mixed.sort()
-        return mixed[np.concatenate(([True], mixed[1:] != mixed[:-1]))]
+def shingle_set(text: str | None) -> np.ndarray:
+    """Sorted distinct hashes of the shingles."""
+    words = (text or "").encode().lower().split()  # bytes: A-Z and the white space of ASCII only
+    if not words:
+        return np.empty(0, np.uint64)
+    h = np.frombuffer(b"".join(map(xxh3_64_digest, words)), "<u8")
+    size = min(WORDS, len(h))
+    mixed = h[: len(h) - size + 1] + np.uint64(size)
+    for j in range(1, size):
+        mixed = mixed * _MULTIPLIER + h[j : len(h) - size + 1 + j]
+    mixed ^= mixed >> np.uint64(32)
+    mixed *= _FINISH
+    mixed ^= mixed >> np.uint64(29)
+    mixed.sort()
+    return mixed[np.concatenate(([True], mixed[1:] != mixed[:-1]))]
 
 
 def digest(shingles: np.ndarray) -> bytes:
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
 
+def place(shingles: np.ndarray) -> np.ndarray:
+    """Counters of the sketch."""
+    return (shingles >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+
+
+def parities(shingles: np.ndarray) -> bytes:
+    """Bit i tells whether an odd number of shingles falls to i; two to four bits a shingle.
+
+    Sets whose bits differ in d places differ in d shingles at least, and linked
+    sets differ in about a ninth of their summed sizes at most.
+    """
+    bits = 1 << min(max(8, (2 * len(shingles) - 1).bit_length()), 24)
+    odd = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def differing(x: bytes, y: bytes) -> int:
+    """Places in which parities differ; the longer ones are folded, as places repeat with every half."""
+    if len(x) < len(y):
+        x, y = y, x
+    a, b, size = int.from_bytes(x, "little"), int.from_bytes(y, "little"), 8 * len(x)
+    while size > 8 * len(y):
+        size //= 2
+        a = (a >> size) ^ (a & ((1 << size) - 1))
+    return (a ^ b).bit_count()
+
+
 def owner(sig: bytes) -> int:
     """Short name of a class in the postings."""
     return int.from_bytes(sig[:8], "little", signed=True)
@@ -97,10 +115,10 @@ def linked(common: int, n: int, m: int) -> bool:
     return 100 * common >= PERCENT * (n + m - common)
 
 
-def prefix(shingles: np.ndarray, sketch: np.ndarray, noise: int) -> tuple[np.ndarray, int, int]:
-    """Prefix shingles from rare to common, the number every pair shares at level 1, and the chosen level."""
+def prefix(shingles: np.ndarray, sketch: np.ndarray, noise: int) -> tuple[np.ndarray, int]:
+    """Prefix shingles from rare to common, and the chosen level."""
     n = len(shingles)
-    count = sketch[(shingles >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+    count = sketch[place(shingles)]
     order = np.lexsort((shingles, count))
     least = least_overlap(n)
     levels = min(LONGEST, least)
@@ -108,12 +126,21 @@ def prefix(shingles: np.ndarray, sketch: np.ndarray, noise: int) -> tuple[np.nda
     ends = n - least + np.arange(levels)  # last place of each level's prefix
     candidates = (length[ends] - ends - 1) / np.arange(1, levels + 1)
     level = int(np.argmin(length[ends] + n * candidates)) + 1
-    return shingles[order[: n - least + level]], n - least + 1, level
+    return shingles[order[: n - least + level]], level
 
 
 # --- passes over the texts ---------------------------------------------------------
 def _rows(df: DataFrame, text: str, ident: str) -> DataFrame:
-    return df.select(F.col(ident).alias("ident"), F.col(text).alias("t"), F.xxhash64(F.col(text)).alias("k"))
+    return df.select(
+        F.col(ident).alias("ident"), F.col(text).alias("t"), F.xxhash64(F.col(text)).alias("k"), group_key(ident).alias("g")
+    )
+
+
+def _slices(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of few rows: a task holds no more than their texts as Python objects."""
+    for batch in source:
+        for start in range(0, batch.num_rows, 200):
+            yield batch.slice(start, 200)
 
 
 def _signatures(rows: DataFrame) -> DataFrame:
@@ -124,13 +151,13 @@ def _signatures(rows: DataFrame) -> DataFrame:
     ])
 
     def work(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, sketch, kind = Shingler(), np.zeros(1 << SKETCH_BITS, np.int64), None
-        for batch in source:
+        sketch, kind = np.zeros(1 << SKETCH_BITS, np.int64), None
+        for batch in _slices(source):
             kind = batch.schema.field(0).type
             sizes, sigs = [], []
             for text in batch.column(1).to_pylist():
-                s = shingler.set_of(text)
-                np.add.at(sketch, (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
+                s = shingle_set(text)
+                np.add.at(sketch, place(s), 1)
                 sizes.append(len(s))
                 sigs.append(digest(s) if len(s) else None)
             m = batch.num_rows
@@ -144,7 +171,7 @@ def _signatures(rows: DataFrame) -> DataFrame:
                 pa.array(range(_SLICES), pa.int32()), pa.array(list(sketch.reshape(_SLICES, -1)), pa.list_(pa.int64())),
             ], names=schema.names)
 
-    return rows.mapInArrow(work, schema)
+    return rows.select("ident", "t", "k").mapInArrow(work, schema)
 
 
 def _sketch(signatures: DataFrame) -> np.ndarray:
@@ -157,65 +184,123 @@ def _sketch(signatures: DataFrame) -> np.ndarray:
 
 
 def _postings(rows: DataFrame, sketch: np.ndarray) -> DataFrame:
-    """``token, c, meta`` for the prefix of each class; a task sends a class once as long as it remembers it."""
+    """``token, c, meta`` for the prefix of each class; ``meta`` holds the size, the place in the prefix and the level.
+
+    A task sends a class once as long as it remembers it.
+    """
     shared = rows.sparkSession.sparkContext.broadcast((sketch, int(np.median(sketch))))
 
     def work(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, seen = Shingler(), set()
+        seen = set()
         counts, noise = shared.value
-        for batch in source:
+        for batch in _slices(source):
             tokens, owners, metas = [], [], []
             for text in batch.column(1).to_pylist():
-                s = shingler.set_of(text)
+                s = shingle_set(text)
                 if not len(s):
                     continue
                 c = owner(digest(s))
                 if c in seen:
                     continue
-                if len(seen) > 500_000:
+                if len(seen) > 200_000:
                     seen.clear()
                 seen.add(c)
-                chosen, first, level = prefix(s, counts, noise)
+                chosen, level = prefix(s, counts, noise)
                 tokens.append(chosen.view(np.int64))
                 owners.append(np.full(len(chosen), c, np.int64))
-                metas.append(len(s) * 256 + np.maximum(np.arange(1, len(chosen) + 1) - first + 1, 1) * 16 + level)
+                metas.append((len(s) << 34) + (np.arange(len(chosen)) << 4) + level)
             if tokens:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate(x).astype(np.int64)) for x in (tokens, owners, metas)], names=["token", "c", "meta"]
                 )
 
-    return rows.mapInArrow(work, "token long, c long, meta long")
+    return rows.select("ident", "t").mapInArrow(work, "token long, c long, meta long")
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """``df`` to be broadcast, if it has few enough rows; it should be a stored table."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
 def _sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``c, sig, n, shingles`` of the classes whose one row ``wanted`` (ident, k) names."""
-    texts = rows.join(wanted, rows["ident"].eqNullSafe(wanted["w_ident"]) & rows["k"].eqNullSafe(wanted["w_k"]), "left_semi")
+    """``c, sig, n, parity, shingles`` of the classes whose first row ``wanted`` names by ``g, k``.
+
+    A row that repeats may give its class more than once; nothing later depends on that.
+    """
+    texts = rows.join(wanted, ["g", "k"], "left_semi")
 
     def work(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler()
-        for batch in source:
-            for start in range(0, batch.num_rows, 500):
-                sets = [shingler.set_of(t) for t in batch.column(0).slice(start, 500).to_pylist()]
-                sigs = [digest(s) for s in sets]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([owner(x) for x in sigs], pa.int64()), pa.array(sigs, pa.binary()),
-                    pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()),
-                ], names=["c", "sig", "n", "shingles"])
+        seen: set[bytes] = set()
+        for batch in _slices(source):
+            sets = {digest(s): s for s in map(shingle_set, batch.column(0).to_pylist())}
+            sets = {d: s for d, s in sets.items() if d not in seen}
+            if len(seen) > 200_000:
+                seen.clear()
+            seen.update(sets)
+            yield pa.RecordBatch.from_arrays([
+                pa.array([owner(d) for d in sets], pa.int64()), pa.array(list(sets), pa.binary()),
+                pa.array([len(s) for s in sets.values()], pa.int64()), pa.array([parities(s) for s in sets.values()], pa.binary()),
+                pa.array([s.tobytes() for s in sets.values()], pa.binary()),
+            ], names=["c", "sig", "n", "parity", "shingles"])
 
-    found = texts.select("t").mapInArrow(work, "c long, sig binary, n long, shingles binary")
-    return found.dropDuplicates(["sig"])  # repeated rows
+    return texts.select("t").mapInArrow(work, "c long, sig binary, n long, parity binary, shingles binary")
 
 
 # --- pairs -------------------------------------------------------------------------
-def _sizes_fit(a: str, b: str) -> Column:
-    x, y = F.shiftright(a, 8), F.shiftright(b, 8)
-    return 100 * F.least(x, y) >= PERCENT * F.greatest(x, y)
+def _size(meta: str) -> Column:
+    return F.shiftright(meta, 34)
+
+
+def _at_sql(meta: str) -> str:
+    return f"(shiftright({meta}, 4) & {(1 << 30) - 1})"
+
+
+def _at(meta: str) -> Column:
+    return F.expr(_at_sql(meta))
+
+
+def _asks(meta: str) -> Column:
+    return F.col(meta).bitwiseAND(F.lit(15))
+
+
+def _within(meta: str, level: Column) -> Column:
+    """The shingle lies in the prefix of that level."""
+    least = F.expr(f"({PERCENT} * shiftright({meta}, 34) + 99) div 100")
+    return _at(meta) < _size(meta) - least + level
+
+
+def _can_link(x: str, y: str, asked: Column) -> Column:
+    """By sizes, and by what is left from a shingle on that is among the first ``asked`` shared ones."""
+    n, m = _size(x), _size(y)
+    needed = F.expr(f"({PERCENT} * (shiftright({x}, 34) + shiftright({y}, 34)) + {99 + PERCENT}) div {100 + PERCENT}")
+    fit = 100 * F.least(n, m) >= PERCENT * F.greatest(n, m)
+    return fit & (F.least(n - _at(x), m - _at(y)) + asked - 1 >= needed)
+
+
+def _plausible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs ``a, b`` that their parities do not rule out."""
+    marks = sets.select("sig", "n", "parity").dropDuplicates(["sig"])
+    side = lambda x: marks.select(F.col("sig").alias(x), F.col("n").alias(f"n{x}"), F.col("parity").alias(f"p{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "pa", "pb")
+
+    def work(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            apart = np.fromiter(map(differing, batch.column(4).to_pylist(), batch.column(5).to_pylist()), np.int64, batch.num_rows)
+            sizes = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            # a + b - 2i of a linked pair, as 100 i >= PERCENT (a + b - i)
+            most = sizes - 2 * -(-PERCENT * sizes // (100 + PERCENT))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(apart <= most))
+
+    return both.mapInArrow(work, "a binary, b binary")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs ``a, b`` of digests that link."""
-    side = lambda x: sets.select(F.col("sig").alias(x), F.col("shingles").alias(f"s{x}"))
-    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
+    """The pairs ``a, b`` of digests that link, of a stored table of pairs."""
+    pairs = _small(pairs)
+    whole = sets.select("sig", "shingles")
+    first = whole.join(pairs, F.col("sig") == F.col("a")).select("a", "b", F.col("shingles").alias("sa"))
+    ends = _small(staged(pairs.select(F.col("b").alias("sig")).distinct(), "ends"))
+    second = whole.join(ends, "sig", "left_semi").select(F.col("sig").alias("b"), F.col("shingles").alias("sb"))
 
     def work(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
@@ -225,34 +310,54 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 keep.append(linked(len(np.intersect1d(s, t, assume_unique=True)), len(s), len(t)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "sa", "sb").mapInArrow(work, "a binary, b binary")
+    return first.join(second, "b").select("a", "b", "sa", "sb").mapInArrow(work, "a binary, b binary")
 
 
 def _open_lists(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     """Members of the lists that still hold different components."""
     if labels is None:
         return members.withColumn("label", F.col("sig"))
-    named = members.join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
+    named = members.join(_small(labels.withColumnRenamed("node", "sig")), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
+    return _mixed(named)
+
+
+def _reachable(lists: DataFrame) -> DataFrame:
+    """Without the members that no other size in their list can link with."""
     each = Window.partitionBy("token")
-    spread = named.withColumn("_lo", F.min("label").over(each)).withColumn("_hi", F.max("label").over(each))
+    # the largest partner that the shingles from here on suffice for
+    reach = F.expr(f"(shiftright(meta, 34) - {_at_sql('meta')} + {LONGEST - 1}) * {100 + PERCENT} div {PERCENT} - shiftright(meta, 34)")
+    sized = lists.withColumn("_least", F.min(_size("meta")).over(each)).withColumn("_most", F.max(_size("meta")).over(each))
+    return sized.filter((reach >= F.col("_least")) & (100 * F.col("_most") >= PERCENT * _size("meta"))).drop("_least", "_most")
+
+
+def _mixed(lists: DataFrame) -> DataFrame:
+    each = Window.partitionBy("token")
+    spread = lists.withColumn("_lo", F.min("label").over(each)).withColumn("_hi", F.max("label").over(each))
     return spread.filter("_lo <> _hi").drop("_lo", "_hi")
 
 
 def _pivot_pairs(lists: DataFrame, salt: int) -> DataFrame:
-    pivot = F.min(F.struct(F.xxhash64("sig", F.lit(salt)).alias("h"), "sig", "label", "meta")).over(Window.partitionBy("token"))
-    with_pivot = lists.withColumn("p", pivot).filter(F.col("p.label") != F.col("label"))
-    with_pivot = with_pivot.filter(_sizes_fit("meta", "p.meta"))
-    return with_pivot.select(F.least("sig", "p.sig").alias("a"), F.greatest("sig", "p.sig").alias("b")).distinct()
+    """Each class with the pivot of other component that it meets in most lists.
+
+    The first round's pivots are the classes in which a list's shingle stands
+    foremost: they have least of their own and are most like the rest.
+    """
+    first = _at("meta") if salt == 0 else F.lit(0).cast("bigint")
+    pivot = F.min(F.struct(first.alias("p"), F.xxhash64("sig", F.lit(salt)).alias("h"), "sig", "label", "meta")).over(Window.partitionBy("token"))
+    met = lists.withColumn("p", pivot).withColumn("m", F.col("p.meta")).filter(F.col("p.label") != F.col("label"))
+    met = met.filter(_can_link("meta", "m", F.lit(LONGEST)))
+    often = met.groupBy(F.col("sig").alias("a"), F.col("p.sig").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    return often.groupBy("a").agg(F.max(F.struct("n", "b")).alias("best")).select("a", "best.b")
 
 
 def _all_pairs(lists: DataFrame) -> DataFrame:
     """Pairs of different components that share as many prefix shingles as the smaller of their levels."""
+    lists = _mixed(_reachable(lists))
     x = lists.select("token", F.col("sig").alias("a"), F.col("label").alias("la"), F.col("meta").alias("ma"))
     y = lists.select("token", F.col("sig").alias("b"), F.col("label").alias("lb"), F.col("meta").alias("mb"))
-    level = lambda m: F.shiftright(m, 4).bitwiseAND(F.lit(15))
-    asked = F.least(F.col("ma").bitwiseAND(F.lit(15)), F.col("mb").bitwiseAND(F.lit(15)))
-    fits = (F.col("la") != F.col("lb")) & (F.col("a") < F.col("b")) & _sizes_fit("ma", "mb")
-    met = x.join(y, "token").filter(fits & (F.greatest(level("ma"), level("mb")) <= asked))
+    asked = F.least(_asks("ma"), _asks("mb"))
+    fits = (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & _within("ma", asked) & _within("mb", asked) & _can_link("ma", "mb", asked)
+    met = x.withColumnRenamed("token", "t").join(y, (F.col("t") == F.col("token")) & fits)
     return met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.min(asked).alias("asked")).filter("shared >= asked").select("a", "b")
 
 
@@ -262,22 +367,22 @@ def _classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     sketch = _sketch(signatures)
     own = signatures.filter("slice IS NULL").select("ident", "k", "n", "sig", "c")
     each = Window.partitionBy("token")
-    met = _postings(rows, sketch).withColumn("_lo", F.min("c").over(each)).withColumn("_hi", F.max("c").over(each))
+    met = _reachable(_postings(rows, sketch)).withColumn("_lo", F.min("c").over(each)).withColumn("_hi", F.max("c").over(each))
     shared = staged(met.filter("_lo <> _hi").select("token", "c", "meta").distinct(), "postings")
     classes = own.filter("sig IS NOT NULL").groupBy("sig", "c").agg(
         F.min("ident").alias("first"), F.min(F.struct(F.col("ident").isNull().alias("none"), "ident", "k")).alias("row")
     )
-    classes = staged(classes.select("sig", "c", "first", "row.*"), "classes")
+    classes = staged(classes.select("sig", "c", "first", "row.*", group_key("row.ident").alias("g")), "classes")
     # one row for each class of a shared list
-    wanted = classes.join(shared.select("c").distinct(), "c", "left_semi").select(F.col("ident").alias("w_ident"), F.col("k").alias("w_k"))
-    sets = staged(_sets(rows, wanted), "sets")
-    members = shared.join(sets.select("c", "sig"), "c").select("token", "sig", "meta")
+    wanted = staged(classes.join(shared.select("c").distinct(), "c", "left_semi").select("g", "k").distinct(), "wanted")
+    sets = staged(_sets(rows, _small(wanted)), "sets")
+    members = staged(shared.join(sets.select("c", "sig").distinct(), "c").select("token", "sig", "meta"), "members")
 
     links, labels = None, None
     for salt in range(PIVOT_ROUNDS + 1):
         lists = _open_lists(members, labels)
         pairs = _pivot_pairs(lists, salt) if salt < PIVOT_ROUNDS else _all_pairs(lists)
-        found = staged(_verified(pairs, sets), "links")
+        found = staged(_verified(staged(_plausible(pairs, sets), "pairs"), sets), "links")
         if found.isEmpty():
             continue
         links = found if links is None else links.union(found)
