@@ -67,7 +67,7 @@ def paragraphs(text: str | None) -> set[int]:
 
 
 def check_of(digest: int) -> int:
-    return (digest * _CHECK & _MASK) >> 48
+    return (digest * _CHECK & _MASK) >> 32
 
 
 class Sketch:
@@ -150,6 +150,8 @@ class Sketch:
             cells = left._cells(d)
             if i not in cells:
                 continue
+            if d in more or d in less:
+                return None  # some cell only looked as if it held one digest
             (more if sign == 1 else less).add(d)
             check = checks[i]
             for j in cells:
@@ -158,10 +160,10 @@ class Sketch:
                 checks[j] ^= check
                 if counts[j] in (1, -1):
                     todo.append(j)
-        return None if any(counts) or any(keys) else (more, less)
+        return None if any(counts) or any(keys) or any(checks) else (more, less)
 
     def to_string(self) -> str:
-        cells = [np.array(self.counts, "<i4").astype("<i2").tobytes(), np.array(self.keys, "<u8").tobytes(), np.array(self.checks, "<u2").tobytes()]
+        cells = [np.array(self.counts, "<i4").astype("<i2").tobytes(), np.array(self.keys, "<u8").tobytes(), np.array(self.checks, "<u4").tobytes()]
         return base64.b64encode(_HEAD.pack(self.n, self.m) + b"".join(cells)).decode()
 
     @classmethod
@@ -171,7 +173,7 @@ class Sketch:
         made, at = cls(m, n), _HEAD.size
         made.counts = np.frombuffer(raw, "<i2", 3 * m, at).tolist()
         made.keys = np.frombuffer(raw, "<u8", 3 * m, at + 6 * m).tolist()
-        made.checks = np.frombuffer(raw, "<u2", 3 * m, at + 30 * m).tolist()
+        made.checks = np.frombuffer(raw, "<u4", 3 * m, at + 30 * m).tolist()
         return made
 
 
