@@ -12,6 +12,7 @@ scores are summed per document.  To move little, n-grams travel in blocks:
 4. a chunk meets its answers again and sums the scores of its documents.
 
 An n-gram of any frequency is one entry of a chunk's block, so no bucket is hot.
+N-grams are hashes; their width follows the size of the corpus (``SPARE_BITS``).
 
 The score of a word after its history is the relative frequency of the longest
 n-gram that occurs ``min_count`` times in the corpus (once suffices for single
@@ -30,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,6 +41,7 @@ from redactlake.llm.tables import group_key
 
 ORDER, BACKOFF, MIN_COUNT = 3, 0.4, 2
 CHUNK_BYTES = 8 << 20
+SPARE_BITS = 26  # an n-gram shares its hash with another one at most with chance 2^-26, at any size of the corpus
 _MULTIPLIER, _FINISH = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x9FB21C651E98DF25)
 
 
@@ -46,7 +49,7 @@ def _words(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
-def _grams(texts: list[str | None], order: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+def _grams(texts: list[str | None], order: int, bits: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
     """Words of each text; for each order the hashes of the n-grams, and the places of their last words."""
     lists = [_words(t) for t in texts]
     sizes = np.array([len(w) for w in lists], np.int64)
@@ -61,18 +64,20 @@ def _grams(texts: list[str | None], order: int) -> tuple[np.ndarray, list[np.nda
         h ^= h >> np.uint64(32)
         h *= _FINISH
         h ^= h >> np.uint64(29)
-        hashes.append(h)
+        hashes.append(h >> np.uint64(64 - bits))
         ends.append(at)
     return sizes, hashes, ends
 
 
-def _planes(sorted_hashes: np.ndarray) -> bytes:
-    """Differences of sorted hashes, byte by byte, which compresses: the high bytes are zeros."""
-    return np.ascontiguousarray(np.diff(sorted_hashes, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+def squeezed(values: np.ndarray) -> bytes:
+    """Integers byte by byte, compressed: all low bytes first, the high ones are mostly zeros."""
+    planes = values.astype("<u8").view(np.uint8).reshape(-1, 8).T
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
 
 
-def _hashes(planes: bytes) -> np.ndarray:
-    return np.cumsum(np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, -1).T).view("<u8").reshape(-1), dtype=np.uint64)
+def spread(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view("<u8").reshape(-1)
 
 
 def _scores(totals: list[np.ndarray], ends: list[np.ndarray], count: int, corpus: int, backoff: float, min_count: int) -> np.ndarray:
@@ -107,32 +112,33 @@ def backoff_scores(
 
     whole = rows.select("t").mapInArrow(sizes, "words long, bytes long").agg(F.sum("words").alias("words"), F.sum("bytes").alias("bytes")).collect()[0]
     corpus, chunks = whole["words"] or 0, max(1, -(-(whole["bytes"] or 0) // CHUNK_BYTES))
-    buckets = chunks
-    borders = np.array([(b << 64) // buckets for b in range(1, buckets)], np.uint64)
+    buckets, bits = chunks, min(64, (order * corpus).bit_length() + SPARE_BITS)
+    borders = np.array([(b << bits) // buckets for b in range(1, buckets)], np.uint64)
 
     dealt = rows.withColumn("chunk", F.pmod(F.xxhash64(group_key("ident"), "t"), F.lit(chunks))).repartition("chunk")
 
     def ask(table: pa.Table) -> pa.Table:
-        _, hashes, _ = _grams(table["t"].to_pylist(), order)
+        _, hashes, _ = _grams(table["t"].to_pylist(), order, bits)
         distinct, counts = np.unique(np.concatenate(hashes), return_counts=True)
         cuts = [0, *np.searchsorted(distinct, borders).tolist(), len(distinct)]
         parts = [b for b in range(buckets) if cuts[b] < cuts[b + 1]]
         chunk = table["chunk"][0].as_py()
         return pa.table({
             "bucket": pa.array(parts, pa.int64()), "chunk": pa.array([chunk] * len(parts), pa.int64()),
-            "hashes": pa.array([_planes(distinct[cuts[b] : cuts[b + 1]]) for b in parts], pa.binary()),
-            "counts": pa.array([counts[cuts[b] : cuts[b + 1]].astype("<u4").tobytes() for b in parts], pa.binary()),
+            # sorted, so differences are smaller
+            "hashes": pa.array([squeezed(np.diff(distinct[cuts[b] : cuts[b + 1]], prepend=np.uint64(0))) for b in parts], pa.binary()),
+            "counts": pa.array([squeezed(counts[cuts[b] : cuts[b + 1]]) for b in parts], pa.binary()),
         })
 
     def answer(table: pa.Table) -> pa.Table:
-        asked = [_hashes(x) for x in table["hashes"].to_pylist()]
-        counts = np.concatenate([np.frombuffer(x, "<u4") for x in table["counts"].to_pylist()]).astype(np.float64)
+        asked = [np.cumsum(spread(x), dtype=np.uint64) for x in table["hashes"].to_pylist()]
+        counts = np.concatenate([spread(x) for x in table["counts"].to_pylist()]).astype(np.float64)
         _, inverse = np.unique(np.concatenate(asked), return_inverse=True)
         totals = np.bincount(inverse, weights=counts).astype(np.uint64)[inverse]
         ends = np.cumsum([len(a) for a in asked])
         return pa.table({
             "chunk": table["chunk"], "bucket": table["bucket"],
-            "totals": pa.array([x.astype("<u8").tobytes() for x in np.split(totals, ends[:-1])], pa.binary()),
+            "totals": pa.array([squeezed(x) for x in np.split(totals, ends[:-1])], pa.binary()),
         })
 
     schema = T.StructType([
@@ -140,10 +146,10 @@ def backoff_scores(
     ])
 
     def score(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        n, hashes, ends = _grams(docs["t"].to_pylist(), order)
+        n, hashes, ends = _grams(docs["t"].to_pylist(), order, bits)
         _, inverse = np.unique(np.concatenate(hashes), return_inverse=True)
         parts = [x for _, x in sorted(zip(answers["bucket"].to_pylist(), answers["totals"].to_pylist(), strict=True))]
-        known = np.frombuffer(b"".join(parts), "<u8").astype(np.float64)[inverse] if len(inverse) else np.empty(0)
+        known = np.concatenate([spread(x) for x in parts]).astype(np.float64)[inverse] if len(inverse) else np.empty(0)
         totals = np.split(known, np.cumsum([len(h) for h in hashes])[:-1])
         words = int(n.sum())
         each = _scores(totals, ends, words, corpus, backoff, min_count) if words else np.empty(0)
