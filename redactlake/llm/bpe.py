@@ -31,7 +31,7 @@ import hashlib
 import heapq
 import json
 from collections.abc import Iterator, Sequence
-from itertools import chain, pairwise
+from itertools import chain, islice, pairwise
 from struct import pack
 
 import numpy as np
@@ -40,7 +40,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from redactlake.llm.tables import replace_columns
+from redactlake.llm.tables import replace_columns, small_batches
 
 # Fixed value: the pre-tokenising pattern of the vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -49,6 +49,7 @@ _BLANK_BEFORE_SPACE = regex.compile(r" (?=[\s\x1c-\x1f]|\Z)")
 _MARKS = ".,;:!?"
 _FAR = np.int64(1) << 40
 _CACHED = 400_000  # entries of one cache generation
+_KEPT = 60_000  # entries kept between tasks
 _LONGEST_CACHED = 64  # characters of a cached piece
 
 
@@ -295,6 +296,10 @@ class Coder:
             row[at] = found[key]
         return [np.frombuffer(b"".join(row), "<u4") for row in lists]
 
+    def rest(self) -> None:
+        """Between tasks only the words seen first, mostly the frequent ones, are kept."""
+        self.new, self.old = dict(islice((self.old or self.new).items(), _KEPT)), {}
+
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.vocabulary.bytes_of.__getitem__, ids.tolist()))
 
@@ -357,5 +362,6 @@ def bpe_columns(df: DataFrame, vocabulary_path: str, text: str = "text", want: S
                 part = batch.slice(start, 256)
                 made = _results(coder, part.column(part.num_columns - 1).to_pylist(), want)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *made], names=[*keep, *want])
+        coder.rest()
 
-    return carried.mapInArrow(code, schema)
+    return small_batches(carried).mapInArrow(code, schema)

@@ -42,7 +42,7 @@ from pyspark.sql import types as T
 from xxhash import xxh3_64_digest
 
 from redactlake.llm.components import components
-from redactlake.llm.tables import group_key, staged
+from redactlake.llm.tables import group_key, small_batches, staged
 
 WORDS, PERCENT = 5, 80
 LONGEST = 4  # largest number of shared prefix shingles that a class may ask for
@@ -131,7 +131,7 @@ def prefix(shingles: np.ndarray, sketch: np.ndarray, noise: int) -> tuple[np.nda
 
 # --- passes over the texts ---------------------------------------------------------
 def _rows(df: DataFrame, text: str, ident: str) -> DataFrame:
-    return df.select(
+    return small_batches(df).select(
         F.col(ident).alias("ident"), F.col(text).alias("t"), F.xxhash64(F.col(text)).alias("k"), group_key(ident).alias("g")
     )
 

@@ -22,6 +22,18 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, after the session was told to hand Python fewer rows at once.
+
+    Ten thousand whole texts, Spark's default, are held several times over by a
+    task; a session that has another number keeps it.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(name) == "10000":
+        conf.set(name, "1000")
+    return df
+
+
 def group_key(column: str) -> Column:
     """A non-null string that is equal exactly where the column is equal, nulls included."""
     return F.when(F.col(column).isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col(column).cast("string")))

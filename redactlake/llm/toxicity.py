@@ -20,7 +20,7 @@ specific word prefix that keeps 95 % of the support of a significant one.  The
 score of a document depends on its text alone.
 
 Defined cases: null text counts as empty; empty texts get the score of no
-match; null ids are scored, labels without id or toxic are ignored, of several
+match; null ids are scored and not held out, labels without id or toxic are ignored, of several
 labels of one document the larger counts; without usable labels the fixed words
 and default coefficients remain; other columns are kept or, when named like a
 result, replaced; repeated rows score equally.
@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from redactlake.llm.tables import replace_columns
+from redactlake.llm.tables import replace_columns, small_batches
 
 SAMPLE_ROWS = 20_000
 _SHORTEST, _LONGEST = 4, 12
@@ -131,7 +131,7 @@ class Automaton:
 
 def held_out(ident: Column) -> Column:
     """The fifth of the rows that learning never sees."""
-    return F.crc32(ident.cast("string")) % 5 == 0
+    return F.coalesce(F.crc32(ident.cast("string")) % 5 == 0, F.lit(False))
 
 
 # --- learning ------------------------------------------------------------------
@@ -171,7 +171,7 @@ def _prefix_counts(sample: DataFrame) -> DataFrame:
                     sums = {0: Counter(), 1: Counter()}
         yield out()
 
-    parts = distinct.mapInArrow(count, "prefix string, pos long, neg long")
+    parts = small_batches(distinct).mapInArrow(count, "prefix string, pos long, neg long")
     return parts.groupBy("prefix").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
 
 
@@ -266,7 +266,7 @@ def _apply(df: DataFrame, grammar: Grammar, text: str, results: dict[str, int |
                 made = list(zip(*map(automaton.features, texts), strict=True)) or [[], [], []]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(list(m), pa.float64()) for m in made)], names=schema.names)
 
-    return rows.mapInArrow(work, schema)
+    return small_batches(rows).mapInArrow(work, schema)
 
 
 def score_toxicity(df: DataFrame, grammar: Grammar, text: str = "text") -> DataFrame:
@@ -285,4 +285,4 @@ def keep_clean(df: DataFrame, grammar: Grammar, text: str = "text") -> DataFrame
         for batch in source:
             yield batch.filter(pa.array([automaton.score(t) < 0.5 for t in batch.column(at).to_pylist()], pa.bool_()))
 
-    return df.mapInArrow(work, df.schema)
+    return small_batches(df).mapInArrow(work, df.schema)
