@@ -411,9 +411,10 @@ def keep_one_each(df: DataFrame, text: str = "text", ident: str = "doc_id") -> D
     Rows that repeat both id and text count as one document and stay once.
     """
     columns = df.columns
-    packed = df.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col(ident).alias("i"), F.xxhash64(F.col(text)).alias("j"))
+    packed = df.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), group_key(ident).alias("g"), F.xxhash64(F.col(text)).alias("k"))
     own, classes = _classes(_rows(df, text, ident))
     best = classes.groupBy("label").agg(F.min(F.struct("none", "ident", "k")).alias("b")).select("b.ident", "b.k")
-    stays = best.union(own.filter("sig IS NULL").select("ident", "k")).distinct()
-    kept = packed.join(stays, packed["i"].eqNullSafe(stays["ident"]) & (packed["j"] == stays["k"])).dropDuplicates(["i", "j"])
+    stays = best.union(own.filter("sig IS NULL").select("ident", "k")).select(group_key("ident").alias("g"), "k").distinct()
+    # the join has dealt the rows by both keys, so the texts move once
+    kept = packed.join(stays, ["g", "k"]).dropDuplicates(["g", "k"])
     return kept.select(*[F.col("row")[c].alias(c) for c in columns])
