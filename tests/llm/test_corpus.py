@@ -2,6 +2,7 @@
 
 import re
 from collections import Counter
+from fractions import Fraction
 
 import public_tokenizers
 import pytest
@@ -71,6 +72,41 @@ def test_mixture_follows_a_plain_schedule(spark):
     assert len({r.slot for r in rows}) == len(in_block)
 
 
+def _placed(plan):
+    return sorted((s0 + i // parts * length + slots[i % parts], s, b0 + i) for s, b0, n, parts, length, s0, slots in plan for i in range(n))
+
+
+@pytest.mark.parametrize("weights", [
+    queries.WEIGHTS | {f"src{i}": queries.OTHER_WEIGHT for i in range(3, 20)}, corpus_pipeline.WEIGHTS | {f"src{i}": 1.0 for i in range(1, 20)},
+    {"a": 0.1, "b": 0.2, "c": 0.7}, {"a": 0.123456789, "b": 1.0, "c": 0.3333333333, "d": 1e-7}, {f"s{i}": 1.0 + i for i in range(60)},
+])
+def test_mixture_keeps_the_exact_weights(weights):
+    """Less than one block from the target after every slot, however many there are."""
+    blocks = {s: 3000 if weights[s] == max(weights.values()) else 4000 for s in weights}
+    placed = _placed(mixing.phases(blocks, weights))
+    assert [p[0] for p in placed] == list(range(sum(blocks.values()))) and Counter(p[1] for p in placed) == blocks
+    exact = {s: Fraction(str(w)) for s, w in weights.items()}
+    whole, seen = sum(exact.values()), Counter()
+    for slot, s, _ in placed:
+        seen[s] += 1
+        if slot % 97 == 0:
+            assert all(abs(seen[x] - (slot + 1) * exact[x] / whole) < 1 for x in weights)
+        if seen[s] == blocks[s]:
+            break
+    assert slot >= 4000
+
+
+def test_listed_slots_of_long_periods(spark):
+    """Weights with a period of billions of slots, and phases within one row of the list."""
+    weights = {"a": 0.123456789, "b": 1.0, "c": 0.3333333333}
+    df = spark.range(9000).select(F.col("id").alias("doc_id"), F.element_at(F.array(*map(F.lit, "abcc")), (F.col("id") % 4 + 1).cast("int")).alias("source"))
+    rows = mixing.mix_to_weights(df, weights, F.col("doc_id"), block_rows=2).collect()
+    sizes = Counter(r.source for r in rows)
+    slots = {(s, b): slot for slot, s, b in _placed(mixing.phases({s: -(-n // 2) for s, n in sizes.items()}, weights))}
+    assert all(slots[r.source, r.block] == r.slot for r in rows)
+    assert sorted(r.position for r in rows) == sorted(r.doc_id for r in rows) == list(range(9000))
+
+
 def _base_spans(text):
     found = []
     patterns = (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]")
