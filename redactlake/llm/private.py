@@ -4,7 +4,10 @@ A pattern's matches and the pieces between them give the positions: the pieces'
 and matches' lengths are summed by doubling steps, so a text with many matches
 costs ``n log n``.  Patterns repeat possessively and start only where a run of
 their first class starts, so no text makes them backtrack far or scan a run
-again.
+again.  Account numbers are the exception: the pattern matches their first four
+characters and looks ahead at up to 30 more; every length that ends with a token
+is tried, and the country's own is preferred, then the longest.  At most 30
+characters are looked at again for the next start.
 
 =====  ==============================================  =====================
 kind   proposed by                                     confirmed by
@@ -22,9 +25,9 @@ the 40 characters before or after it.  Spans of the first four kinds always
 stay; the other two stay from ``THRESHOLD`` on.
 
 Defined cases: null counts as empty; texts without spans give an empty array;
-spans of different kinds may overlap and are all given; rows are not looked at
-together, so ties, repeated rows and null ids pass through; an input column
-named like the result is replaced.
+spans of different kinds may overlap and are all given, as may account numbers;
+rows are not looked at together, so ties, repeated rows and null ids pass
+through; an input column named like the result is replaced.
 """
 
 from __future__ import annotations
@@ -45,7 +48,7 @@ _PATTERNS = {
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=((?:\x20?[A-Z0-9]){11,30}+[A-Za-z0-9]?))",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
 _HINTS = {
@@ -57,6 +60,12 @@ _WORDS = {
     "phone": r"phone|tel|mobile|call|fax", "iban": r"iban|account|bank|konto", "ssn": r"ssn|social security|tax|\bid\b|insurance",
 }
 _RAISE = 0.3
+# Lengths of account numbers by country.
+_IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR",
+    27: "BI DJ FR GR IT MC SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
 
 
 def luhn(digits: Column) -> Column:
@@ -91,11 +100,22 @@ def _confirmed(kind: str, m: Column) -> Column:
     if kind == "phone":
         return F.length(digits).between(9, 15)
     if kind == "iban":
-        compact = F.replace(m, F.lit(" "), F.lit(""))
-        return F.when(F.length(compact).between(15, 34), mod97(compact)).otherwise(False)
+        return F.length(m) > 0
     return F.lit(True)
 
 
+def _account(candidate: Column) -> Column:
+    """The start of the candidate that is an account number, or an empty string."""
+    compact = lambda x: F.replace(x, F.lit(" "), F.lit(""))
+    country = F.substring(candidate, 1, 2)
+    length = F.coalesce(*[F.when(country.isin(*names.split()), F.lit(n)) for n, names in _IBAN_LENGTHS.items()], F.lit(0))
+    ends = F.filter(F.sequence(F.lit(15), F.length(candidate)), lambda k: ~F.substring(candidate, k, 2).rlike("^ |[A-Za-z0-9]{2}"))
+    starts = F.transform(ends, lambda k: F.substring(candidate, F.lit(1), k))
+    fits = lambda x: F.when(~x.rlike("[a-z]") & F.length(compact(x)).between(15, 34), mod97(compact(x))).otherwise(False)
+    ranked = F.transform(F.filter(starts, fits), lambda x: F.struct((F.length(compact(x)) == length).alias("own"), F.length(x).alias("n"), x.alias("x")))
+    return F.coalesce(F.array_max(ranked)["x"], F.lit(""))
+
+
 def _running(lengths: Column) -> Column:
     """Sums of all elements up to each, by doubling steps."""
     steps = F.sequence(F.lit(0), F.greatest(F.ceil(F.log2(F.size(lengths) + 1)).cast("int"), F.lit(0)))
@@ -112,15 +132,17 @@ def _ends(matches: Column, pieces: Column) -> Column:
     return F.when(F.size(matches) > 0, _running(lengths)).otherwise(F.array().cast("array<int>"))
 
 
-def _spans(number: int, matches: Column, pieces: Column, ends: Column) -> Column:
-    """The confirmed spans of one kind."""
+def _spans(number: int, matches: Column, pieces: Column, ends: Column, values: Column) -> Column:
+    """The confirmed spans of one kind; ``values`` start where the matches do."""
     kind = KINDS[number]
 
-    def span(x: Column, i: Column) -> Column:
-        before, after = F.substring(F.get(pieces, i), -_CONTEXT, _CONTEXT), F.substring(F.get(pieces, i + 1), 1, _CONTEXT)
+    def span(m: Column, i: Column) -> Column:
+        x = F.get(values, i)
+        more = F.length(x) - F.length(m)
+        before, after = F.substring(F.get(pieces, i), -_CONTEXT, _CONTEXT), F.substring(F.get(pieces, i + 1), more + 1, F.lit(_CONTEXT))
         raised = F.lower(F.concat(before, F.lit("\n"), after)).rlike(_WORDS[kind])
         score = F.least(F.lit(_SCORES[kind]) + F.when(raised, F.lit(_RAISE)).otherwise(F.lit(0.0)), F.lit(1.0))
-        end = F.get(ends, i)
+        end = F.get(ends, i) + more
         return F.struct(
             (end - F.length(x)).alias("start"), F.lit(number).alias("n"), F.lit(kind).alias("kind"), end.alias("end"), x.alias("value"),
             score.alias("score"),
@@ -142,10 +164,11 @@ def find_spans(df: DataFrame, text: str = "text", name: str = "spans") -> DataFr
         hinted, pattern = F.col("t").rlike(_HINTS[kind]), _PATTERNS[kind]
         rows = rows.withColumn(f"m_{kind}", F.when(hinted, F.regexp_extract_all("t", F.lit(pattern), 0)).otherwise(empty))
         rows = rows.withColumn(f"p_{kind}", F.when(F.size(f"m_{kind}") > 0, F.split("t", pattern, -1)).otherwise(empty))
-    rows = rows.drop("t")
+    tails = F.when(F.size("m_iban") > 0, F.regexp_extract_all("t", F.lit(_PATTERNS["iban"]), 1)).otherwise(empty)
+    rows = rows.withColumn("v_iban", F.transform(tails, lambda x, i: _account(F.concat(F.get("m_iban", i), x)))).drop("t")
     for kind in KINDS:
         rows = rows.withColumn(f"e_{kind}", _ends(F.col(f"m_{kind}"), F.col(f"p_{kind}")))
-    found = [_spans(number, *(F.col(f"{x}_{kind}") for x in "mpe")) for number, kind in enumerate(KINDS)]
+    found = [_spans(number, *(F.col(f"{x}_{kind}") for x in ("m", "p", "e", "v" if kind == "iban" else "m"))) for number, kind in enumerate(KINDS)]
     ordered = F.array_sort(F.concat(*found))
     named = F.transform(ordered, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), s["score"].alias("score")))
     return rows.select("row", named.alias("s")).select(*[F.col("row")[c].alias(c) for c in keep], F.col("s").alias(name))

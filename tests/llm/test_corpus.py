@@ -147,6 +147,16 @@ def test_further_kinds_need_checksum_or_context(spark):
     assert private.find_spans(cases.empty(spark)).count() == 0
 
 
+def test_accounts_before_capitals_and_digits(spark):
+    de, gb, fr, mt = "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "FR14 2004 1010 0505 0001 3M02 606", "MT84 MALT 0110 0001 2345 MTLC AST0 01S"
+    follow = ["", " now", " BIC COBADEFFXXX", " A note", " 12 EUR", " I will", " 12 Euro", " AB12", ".", "\n7", " 😀"]
+    texts = [a + x for a in (de, de.replace(" ", ""), gb, fr, mt) for x in follow] + [f"{de} {gb} {fr}", f"AB12 {de}", f"{de}EUR", f"{de}x", "DE89 3704 0044 0532 0130 01 BIC"]
+    want = [[a] for a in (de, de.replace(" ", ""), gb, fr, mt) for _ in follow] + [[de, gb, fr], [de], [], [], []]
+    rows = private.find_spans(spark.createDataFrame(list(enumerate(texts)), "i int, text string")).collect()
+    assert {r.i: [s.value for s in r.spans if s.kind == "iban"] for r in rows} == dict(enumerate(want))
+    assert all(texts[r.i][s.start : s.end] == s.value for r in rows for s in r.spans)
+
+
 def test_clauses_not_words_are_scored():
     a = toxicity.Automaton(toxicity.Grammar())
     plain, denied, reported = (a.features(t) for t in ("You are an idiot.", "You are not an idiot.", "They said he is an idiot."))
