@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from redactlake.llm import mixing, private, queries, sharding, toxicity
+from redactlake.llm.tables import staged
 from tests.llm import cases
 
 FOLDER, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
@@ -199,6 +200,36 @@ def test_pipeline_matches_brute_force(spark):
     assert all(r.ids == library.encode(docs[r.doc_id].text, add_special_tokens=False).ids and r.decoded == docs[r.doc_id].text for r in rows)
 
 
+def test_pipeline_rows_carry_the_mixture(spark):
+    """Over a mixed table of several files, which a read does not give back in their order."""
+    source = F.when(F.col("id") % 7 < 2, "src0").otherwise(F.concat(F.lit("src"), F.col("id") % 3 + 1))
+    docs = spark.range(6000).select(
+        F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("text"), F.col("id"), F.expr("repeat(sha2(string(id), 256), cast(id % 50 as int))")).alias("text"), source.alias("source")
+    )
+    docs, name = staged(docs, "docs"), "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(name, "false")
+    try:
+        mixed = staged(corpus_pipeline.mix_sources(spark, docs, FOLDER), "mixed")
+    finally:
+        spark.conf.unset(name)
+    assert len(mixed.inputFiles()) > 2
+    rows = sorted(corpus_pipeline.encode(spark, mixed, FOLDER).collect(), key=lambda r: r.position)
+    assert [r.position for r in rows] == list(range(6000))
+    key = F.struct("doc_id", F.xxhash64("text"))
+    placed = mixing.mix_to_weights(docs, corpus_pipeline.WEIGHTS, key, other=corpus_pipeline.OTHER_WEIGHT).orderBy("position").collect()
+    assert [r.doc_id for r in rows] == [r.doc_id for r in placed]
+    sizes, seen = Counter(r.source for r in rows), Counter()
+    share = {s: (4 if s == "src0" else 1) / 7 for s in sizes}
+    for n, r in enumerate(rows, 1):
+        seen[r.source] += 1
+        assert all(abs(seen[s] - n * share[s]) < 2 * mixing.BLOCK_ROWS for s in sizes)  # less than a block, and the block just read
+        if seen[r.source] == sizes[r.source]:
+            break
+    assert n > 1000
+    assert corpus_pipeline.encode(spark, cases.edge(spark), FOLDER).count() == len(cases.TEXTS)
+    assert corpus_pipeline.encode(spark, cases.empty(spark), FOLDER).count() == 0
+
+
 @pytest.mark.parametrize("stage", [s for s, _ in corpus_pipeline.STAGES[:-1]])
 def test_stages_stand_edge_rows(spark, stage):
     run = dict(corpus_pipeline.STAGES)[stage]
