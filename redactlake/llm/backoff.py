@@ -12,7 +12,7 @@ scores are summed per document.  To move little, n-grams travel in blocks:
 4. a chunk meets its answers again and sums the scores of its documents.
 
 An n-gram of any frequency is one entry of a chunk's block, so no bucket is hot.
-N-grams are hashes; their width follows the size of the corpus (``SPARE_BITS``).
+N-grams are hashes of 64 bits at any size of the corpus.
 
 The score of a word after its history is the relative frequency of the longest
 n-gram that occurs ``min_count`` times in the corpus (once suffices for single
@@ -41,7 +41,6 @@ from redactlake.llm.tables import group_key
 
 ORDER, BACKOFF, MIN_COUNT = 3, 0.4, 2
 CHUNK_BYTES = 8 << 20
-SPARE_BITS = 26  # an n-gram shares its hash with another one at most with chance 2^-26, at any size of the corpus
 _MULTIPLIER, _FINISH = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x9FB21C651E98DF25)
 
 
@@ -49,7 +48,7 @@ def _words(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
-def _grams(texts: list[str | None], order: int, bits: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+def _grams(texts: list[str | None], order: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
     """Words of each text; for each order the hashes of the n-grams, and the places of their last words."""
     lists = [_words(t) for t in texts]
     sizes = np.array([len(w) for w in lists], np.int64)
@@ -64,7 +63,7 @@ def _grams(texts: list[str | None], order: int, bits: int) -> tuple[np.ndarray,
         h ^= h >> np.uint64(32)
         h *= _FINISH
         h ^= h >> np.uint64(29)
-        hashes.append(h >> np.uint64(64 - bits))
+        hashes.append(h)
         ends.append(at)
     return sizes, hashes, ends
 
@@ -112,13 +111,13 @@ def backoff_scores(
 
     whole = rows.select("t").mapInArrow(sizes, "words long, bytes long").agg(F.sum("words").alias("words"), F.sum("bytes").alias("bytes")).collect()[0]
     corpus, chunks = whole["words"] or 0, max(1, -(-(whole["bytes"] or 0) // CHUNK_BYTES))
-    buckets, bits = chunks, min(64, (order * corpus).bit_length() + SPARE_BITS)
-    borders = np.array([(b << bits) // buckets for b in range(1, buckets)], np.uint64)
+    buckets = chunks
+    borders = np.array([(b << 64) // buckets for b in range(1, buckets)], np.uint64)
 
     dealt = rows.withColumn("chunk", F.pmod(F.xxhash64(group_key("ident"), "t"), F.lit(chunks))).repartition("chunk")
 
     def ask(table: pa.Table) -> pa.Table:
-        _, hashes, _ = _grams(table["t"].to_pylist(), order, bits)
+        _, hashes, _ = _grams(table["t"].to_pylist(), order)
         distinct, counts = np.unique(np.concatenate(hashes), return_counts=True)
         cuts = [0, *np.searchsorted(distinct, borders).tolist(), len(distinct)]
         parts = [b for b in range(buckets) if cuts[b] < cuts[b + 1]]
@@ -146,7 +145,7 @@ def backoff_scores(
     ])
 
     def score(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        n, hashes, ends = _grams(docs["t"].to_pylist(), order, bits)
+        n, hashes, ends = _grams(docs["t"].to_pylist(), order)
         _, inverse = np.unique(np.concatenate(hashes), return_inverse=True)
         parts = [x for _, x in sorted(zip(answers["bucket"].to_pylist(), answers["totals"].to_pylist(), strict=True))]
         known = np.concatenate([spread(x) for x in parts]).astype(np.float64)[inverse] if len(inverse) else np.empty(0)

@@ -102,6 +102,11 @@ def _scores(rows, order=3, give_up=0.4, least=2):
         yield i, len(w), score
 
 
+def test_ngram_hashes_have_64_bits_at_any_size():
+    _, hashes, _ = backoff._grams([" ".join(f"w{i % 300}x{i % 7}" for i in range(2100)), "the cat sat"], 3)
+    assert all(h.dtype == np.uint64 for h in hashes) and max(int(h.max()) for h in hashes) >> 60 and len(np.unique(hashes[0])) == 2103
+
+
 def test_backoff_scores_match_plain_counting(spark, monkeypatch):
     monkeypatch.setattr(backoff, "CHUNK_BYTES", 50_000)  # several chunks and buckets
     rows = cases.TEXTS + [(20 + i, " ".join(random.Random(i).choices("the cat sat on a mat".split(), k=30))) for i in range(20)]
