@@ -102,7 +102,7 @@ def op6_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def op7_backoff_scores(spark: SparkSession, folder: str) -> DataFrame:
-    return backoff.backoff_scores(documents(spark, folder).select("doc_id", "text"))
+    return backoff.backoff_scores(documents(spark, folder).select("doc_id", "text"), min_count=1)
 
 
 @query()

@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 import tokenizers
 
-from redactlake.llm import backoff, bpe, packing
+from redactlake.llm import backoff, bpe, packing, queries
 from tests.llm import cases
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -102,6 +102,12 @@ def _scores(rows, order=3, give_up=0.4, least=2):
         yield i, len(w), score
 
 
+def test_registered_scores_use_ngrams_of_any_count(spark):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
+    got = {r.doc_id: r.log_score for r in queries.QUERIES["op7_backoff_scores"](spark, "/root/testdata/sf0.001").collect()}
+    assert got == pytest.approx({i: score for i, _, score in _scores(rows, least=1)})
+
+
 def test_ngram_hashes_have_64_bits_at_any_size():
     _, hashes, _ = backoff._grams([" ".join(f"w{i % 300}x{i % 7}" for i in range(2100)), "the cat sat"], 3)
     assert all(h.dtype == np.uint64 for h in hashes) and max(int(h.max()) for h in hashes) >> 60 and len(np.unique(hashes[0])) == 2103
