@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redactlake.llm import backoff, bpe, exact, mixing, near, packing, private, sharding, sketch, toxicity
+from redactlake.llm import backoff, bpe, exact, fim, mixing, near, negatives, packing, private, sharding, sketch, toxicity
 from redactlake.llm.tables import documents
 
 QUERIES: dict = {}
@@ -109,3 +109,39 @@ def op7_backoff_scores(spark: SparkSession, folder: str) -> DataFrame:
 def op8_packed_ids(spark: SparkSession, folder: str) -> DataFrame:
     packs = packing.packed(documents(spark, folder), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
     return packing.read_packs(packs).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@query(
+    """WITH e AS MATERIALIZED (SELECT vec_id id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+      list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) v FROM embeddings
+      WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS MATERIALIZED (SELECT a.id anchor, b.id, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) score
+      FROM e a JOIN e b ON a.id % 100 = 0 AND a.id <> b.id),
+    p AS (SELECT anchor, id, score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, id) <= 5)
+    SELECT p.anchor AS anchor_id, p.id AS positive_id, CAST(row_number() OVER w AS INT) AS rank, s.id AS negative_id,
+      p.score AS positive_score, s.score AS negative_score
+    FROM p JOIN s ON s.anchor = p.anchor AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score
+    WINDOW w AS (PARTITION BY p.anchor, p.id ORDER BY s.score DESC, s.id) QUALIFY row_number() OVER w <= 10"""
+)
+def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    label = F.expr("CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE label END")
+    return negatives.hard_negatives(spark.read.parquet(f"{folder}/embeddings.parquet"), F.col("id") % 100 == 0, label=label)
+
+
+@query(
+    r"""WITH d AS (SELECT doc_id, coalesce(text, '') t, sha256('42:' || doc_id) h FROM documents),
+    u AS (SELECT doc_id, t, regexp_extract_all(t, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') u,
+      [CAST('0x' || h[8 * i + 1:8 * i + 8] AS BIGINT) FOR i IN [0, 1, 2, 3]] r FROM d),
+    c AS (SELECT doc_id, t, u, len(u) n, least(r[1] % (len(u) + 1), r[2] % (len(u) + 1)) a, greatest(r[1] % (len(u) + 1), r[2] % (len(u) + 1)) b,
+      CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR r[3] % 100 >= 50 THEN 'plain'
+        WHEN r[4] % 100 < 80 THEN 'spm' ELSE 'psm' END form FROM u),
+    x AS (SELECT *, array_to_string(u[1:a], '') p, array_to_string(u[a + 1:b], '') m, array_to_string(u[b + 1:n], '') s FROM c)
+    SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars,
+      CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+      sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+      sha256(t) AS restored_sha256 FROM x"""
+)
+def op12_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    made = fim.fill_in_middle(documents(spark, folder).select("doc_id", "text"))
+    digests = [F.sha2("output", 256).alias("output_sha256"), F.sha2(fim.restored(), 256).alias("restored_sha256")]
+    return made.select("doc_id", F.col("n_units").alias("n"), "form", "prefix_chars", "middle_chars", *digests)
