@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redactlake.llm import backoff, bpe, exact, fim, mixing, near, negatives, packing, private, sharding, sketch, toxicity
+from redactlake.llm import backoff, bpe, exact, fim, mixing, near, negatives, packing, private, sharding, sketch, suffixes, toxicity
 from redactlake.llm.tables import documents
 
 QUERIES: dict = {}
@@ -145,3 +145,8 @@ def op12_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
     made = fim.fill_in_middle(documents(spark, folder).select("doc_id", "text"))
     digests = [F.sha2("output", 256).alias("output_sha256"), F.sha2(fim.restored(), 256).alias("restored_sha256")]
     return made.select("doc_id", F.col("n_units").alias("n"), "form", "prefix_chars", "middle_chars", *digests)
+
+
+@query()
+def op13_repeated_strings(spark: SparkSession, folder: str) -> DataFrame:
+    return suffixes.repeated_strings(documents(spark, folder).select("doc_id", "text"), keep_text=False)
