@@ -9,9 +9,10 @@ joins and windows.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from functools import lru_cache
+from functools import lru_cache, reduce
 from html.entities import html5
 from html.parser import HTMLParser
+from zlib import crc32
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -177,13 +178,29 @@ _COMMENTS = r"(?s)<!--.*?-->"
 _TAGS = r"(?s)<[!/?A-Za-z][^>]*>"
 
 
+#: Tried before the dictionary.
+_COMMON = ("amp;", "lt;", "gt;", "quot;", "nbsp;", "apos;", "copy;", "mdash;", "ndash;", "hellip;", "rsquo;", "lsquo;")
 _REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]{1,31};?)"
 
 
+_SLOTS = 4096
+_LONGEST_BARE = max(len(name) for name in html5 if not name.endswith(";"))
+
+
 @lru_cache(maxsize=1)
-def _names() -> str:
-    """The named references of the HTML standard as one text for ``str_to_map``."""
-    return "\x02".join(f"{name}\x01{chars}" for name, chars in sorted(html5.items()))
+def _slots() -> str:
+    """The named references of the HTML standard, filed under the checksum of their names, as one text to split."""
+    slots = [""] * _SLOTS
+    for name, chars in sorted(html5.items()):
+        slots[crc32(name.encode()) % _SLOTS] += f"\x03{name}\x01{chars}"
+    return "\x02".join(slots)
+
+
+def _lookup(name: Column) -> Column:
+    """Characters of a named reference, null for other names: one slot of a constant array is looked at."""
+    slot = F.get(F.split(F.lit(_slots()), "\x02"), (F.crc32(name) % _SLOTS).cast("int"))
+    entry = F.concat(F.lit("\x03"), name, F.lit("\x01"))
+    return F.when(F.contains(slot, entry), F.substring_index(F.call_function("substring_index", slot, entry, F.lit(-1)), "\x03", 1))
 
 
 def _character(code: Column) -> Column:
@@ -206,28 +223,28 @@ def _decoded(m: Column) -> Column:
     digits = F.when(digits == "", F.lit("0")).otherwise(digits)
     # more digits than any character has would not fit a number
     code = F.when(F.length(digits) <= 10, F.when(hexadecimal, F.conv(digits, 16, 10)).otherwise(F.conv(digits, 10, 10)).cast("bigint"))
-    names = F.str_to_map(F.lit(_names()), F.lit("\x02"), F.lit("\x01"))
     word = F.substring(m, 2, 40)
-    # a name without its semicolon may be followed by more letters
-    sizes = F.sequence(F.length(word), F.lit(2), F.lit(-1))
-    known = F.get(F.filter(sizes, lambda n: F.map_contains_key(names, F.substring(word, F.lit(1), n))), F.lit(0))
-    named = F.when(
-        known.isNotNull(), F.concat(F.try_element_at(names, F.substring(word, F.lit(1), known)), F.substring(word, known + 1, F.lit(40)))
-    ).otherwise(m)
-    return F.when(F.substring(m, 2, 1) == "#", _character(code)).otherwise(named)
+    # a name without its semicolon may be followed by more letters; those names are few and short
+    begins = [
+        F.concat(_lookup(F.when(F.length(word) > n, F.substring(word, 1, n))), F.substring(word, n + 1, 40)) for n in range(_LONGEST_BARE, 1, -1)
+    ]
+    common = reduce(lambda c, name: c.when(word == name, F.lit(html5[name])), _COMMON[1:], F.when(word == _COMMON[0], F.lit(html5[_COMMON[0]])))
+    return F.when(F.substring(m, 2, 1) == "#", _character(code)).otherwise(F.coalesce(common, _lookup(word), *begins, m))
 
 
 def _unescape(c: Column) -> Column:
     """Decodes decimal, hexadecimal and named character references."""
     found, pieces = F.regexp_extract_all(c, F.lit(_REFERENCE), 0), F.split(c, _REFERENCE, -1)
-    whole = F.array_join(F.transform(pieces, lambda p, i: F.concat(p, F.coalesce(_decoded(F.get(found, i)), F.lit("")))), "")
-    return F.when(c.contains("&"), whole).otherwise(c)
+    decoded = F.array_append(F.transform(found, _decoded), F.lit(""))
+    return F.array_join(F.zip_with(pieces, decoded, lambda p, d: F.concat(p, d)), "")
 
 
 def chunk_array(html: Column) -> Column:
     """Trimmed, non-empty text chunks between tags."""
     body = F.regexp_replace(F.regexp_replace(html, _COMMENTS, ""), _BLOCKS, "")
-    chunks = F.transform(F.split(body, _TAGS, -1), lambda c: R.trim(_unescape(c)))
+    split = F.split(body, _TAGS, -1)
+    text = lambda c: F.when(c.contains("&"), _unescape(c)).otherwise(c)
+    chunks = F.when(html.contains("&"), F.transform(split, lambda c: R.trim(text(c)))).otherwise(F.transform(split, R.trim))
     return F.filter(chunks, lambda c: c != "")
 
 
