@@ -133,6 +133,29 @@ def _meet_person(how: "_Style"):
     return step
 
 
+def _place(entries: Column, key: Column, field: str = "k") -> Column:
+    """Place of the first entry not below ``key`` in an array sorted by ``field``.
+
+    A binary search: an array or a map would be read from its start for every key.
+    """
+    size = F.size(entries)
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(size, F.lit(1)))).cast("int"))
+
+    def halve(span: Column, _: Column) -> Column:
+        middle = F.floor((span["lo"] + span["hi"]) / 2).cast("int")
+        below = F.coalesce(F.get(entries, middle)[field] < key, F.lit(False)) & (span["lo"] < span["hi"])
+        return F.struct(
+            F.when(below, middle + 1).otherwise(span["lo"]).alias("lo"), F.when(below, span["hi"]).otherwise(middle).alias("hi")
+        )
+
+    return F.aggregate(steps, F.struct(F.lit(0).alias("lo"), size.alias("hi")), halve, lambda span: span["lo"])
+
+
+def _sorted_lookup(entries: Column, key: Column) -> Column:
+    """``v`` of the entry ``(k, v)`` with that ``k``, null if there is none."""
+    return let(_place(entries, key), lambda at: F.when(F.get(entries, at)["k"] == key, F.get(entries, at)["v"]))
+
+
 class _Style:
     """How tokens are spelled during one job."""
 
@@ -140,17 +163,29 @@ class _Style:
         self.style, self.salt, self.known = style, salt, known
         self.numbers_here = style == "numbered" and known is None
 
-    def token(self, keys: Column, kind: Column, key: Column) -> Column:
+    def ranks(self, keys: Column, kind: str | None) -> Column:
+        """The number of each key ``KIND:key`` among those of its kind, sorted by key; built once a phase."""
+        if not self.numbers_here:
+            return F.lit(None).cast("array<struct<k:string,v:int>>")
+        if kind:
+            own = F.filter(keys, lambda k: F.startswith(k, F.lit(f"{kind}:")))
+            return F.array_sort(F.transform(own, lambda k, i: F.struct(k.alias("k"), (i + 1).alias("v"))))
+        by_kind = F.transform(keys, lambda k, i: F.struct(F.substring_index(k, ":", 1).alias("kind"), i.alias("i"), k.alias("k")))
+
+        def numbered(entries: Column) -> Column:
+            number = lambda e, at: (at - _place(entries, e["kind"], "kind") + 1).cast("int")
+            return F.array_sort(F.transform(entries, lambda e, at: F.struct(e["k"].alias("k"), number(e, at).alias("v"))))
+
+        return let(F.array_sort(by_kind), numbered)
+
+    def token(self, ranks: Column, kind: Column, key: Column) -> Column:
         if self.known is not None:
-            return F.coalesce(
-                F.element_at(self.known, F.concat_ws(":", kind, key)), F.concat(kind, F.lit("_0"))
-            )
+            return F.coalesce(_sorted_lookup(self.known, F.concat_ws(":", kind, key)), F.concat(kind, F.lit("_0")))
         if self.style == "kind_only":
             return F.concat(kind, F.lit("_0"))
         if self.style == "hash":
             return hashed_token(kind, key, self.salt)
-        own = F.filter(keys, lambda k: F.startswith(k, F.concat(kind, F.lit(":"))))
-        return F.concat(kind, F.lit("_"), F.array_position(own, F.concat_ws(":", kind, key)).cast("string"))
+        return F.concat(kind, F.lit("_"), _sorted_lookup(ranks, F.concat_ws(":", kind, key)).cast("string"))
 
     def new_person(self, key: Column, n: Column) -> Column:
         if self.numbers_here:
@@ -183,7 +218,8 @@ def _apply(s: Column, hits: Column, phase: int, how: _Style, rebuild) -> Column:
         if has_people:
             met = F.transform(F.filter(h, lambda x: x["kind"] == "PERSON"), lambda x: x["raw"])
             people = F.aggregate(met, people, _meet_person(how))
-        return let(F.struct(h.alias("h"), keys.alias("keys"), people.alias("people")), spell)
+        counted = F.struct(h.alias("h"), keys.alias("keys"), people.alias("people"))
+        return let(counted, lambda c: let(c.withField("ranks", how.ranks(c["keys"], fixed)), spell))
 
     def spell(b: Column) -> Column:
         def token(x: Column) -> Column:
@@ -193,7 +229,7 @@ def _apply(s: Column, hits: Column, phase: int, how: _Style, rebuild) -> Column:
             if has_people:
                 met = F.filter(b["people"]["names"], lambda p: p["key"] == x["key"])
                 out = out.when(x["kind"] == "PERSON", F.get(met, F.lit(0))["token"])
-            return out.otherwise(how.token(b["keys"], x["kind"], x["key"]))
+            return out.otherwise(how.token(b["ranks"], x["kind"], x["key"]))
 
         def state(h: Column) -> Column:
             entities = F.transform(
@@ -479,7 +515,9 @@ def redact_rows(
     if style not in STYLES:
         raise ValueError(f"unknown token style {style!r}, expected one of {STYLES}")
     if known is not None:
-        df = df.withColumn("_known", known)
+        # sorted once a row, for the binary search
+        entries = F.transform(F.map_entries(known), lambda e: F.struct(e["key"].alias("k"), e["value"].alias("v")))
+        df = df.withColumn("_known", F.array_sort(entries))
     allow = allow_labels if isinstance(allow_labels, Column) else F.lit(allow_labels)
     state = F.struct(
         F.coalesce(F.col(text), F.lit("")).alias("t"),
