@@ -56,9 +56,9 @@ from pyspark.sql import types as T
 
 LENGTH, ANCHOR = 50, 24
 MOST_OFFSETS = 31  # places of an anchor in its strings; they are bits of a number
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 HOT = 10_000
-RUN_ROWS = 400_000  # suffixes that are sorted at once
+RUN_ROWS = 100_000  # suffixes that are sorted at once
 NO_ID = (1 << 63) - 1  # stands for a null id
 _SEGMENT = 60_000  # its places fit into 16 bits
 _HASH_BITS = 48
@@ -447,6 +447,17 @@ def repeated_strings(df: DataFrame, text: str = "text", ident: str = "doc_id", l
     numbered = rows.select(F.col("ident").cast("bigint").alias("id"), "t")
     dealt = _folded(numbered).withColumn("chunk", F.pmod(F.xxhash64("sha"), F.lit(chunks)).cast("bigint"))
 
+    def tidy(work):
+        """``work``, and what it freed goes back to the system."""
+
+        def done(*tables: pa.Table) -> pa.Table:
+            out = work(*tables)
+            pa.default_memory_pool().release_unused()
+            return out
+
+        # the number of arguments tells Spark whether the key is wanted
+        return (lambda a: done(a)) if work in (ask, answer, merge) else (lambda a, b: done(a, b))
+
     def ask(table: pa.Table) -> pa.Table:
         _, _, texts = _chunk_texts(table, length)
         h, counts = _asked(texts)
@@ -523,11 +534,11 @@ def repeated_strings(df: DataFrame, text: str = "text", ident: str = "doc_id", l
         return pa.table(columns + ([pa.array(kept, pa.binary())] if keep_text else []), names=schema.names)
 
     blocks = "bucket long, chunk long, blob binary"
-    asked = dealt.groupBy("chunk").applyInArrow(ask, blocks)
-    answers = asked.groupBy("bucket").applyInArrow(answer, "chunk long, bucket long, blob binary")
-    runs = dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(send, blocks)
-    replies = runs.groupBy("bucket").applyInArrow(merge, "chunk long, blob binary")
-    found = dealt.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(cut, schema)
+    asked = dealt.groupBy("chunk").applyInArrow(tidy(ask), blocks)
+    answers = asked.groupBy("bucket").applyInArrow(tidy(answer), "chunk long, bucket long, blob binary")
+    runs = dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(tidy(send), blocks)
+    replies = runs.groupBy("bucket").applyInArrow(tidy(merge), "chunk long, blob binary")
+    found = dealt.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(tidy(cut), schema)
 
     own = rows.select("ident", F.unhex(F.sha2("t", 256)).alias("sha"), F.octet_length("t").cast("bigint").alias("n_bytes"))
     met = own.join(found, "sha")
