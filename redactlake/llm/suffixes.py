@@ -126,7 +126,9 @@ class Texts:
             last = np.append(cut, len(least)) - 1
             some = valid[first]
             first, last, key = first[some], last[some], least[first[some]]
-            found.append((key >> np.uint64(16), (key & np.uint64(0xFFFF)).astype(np.int64) + begin, first + begin, last + begin))
+            # the least hashes of windows crowd at the low end; multiplied, they spread over all buckets
+            spread = (key >> np.uint64(16)) * np.uint64(_MULTIPLIER) & np.uint64((1 << _HASH_BITS) - 1)
+            found.append((spread, (key & np.uint64(0xFFFF)).astype(np.int64) + begin, first + begin, last + begin))
         if not found:
             return np.empty(0, np.uint64), *(np.empty(0, np.int64) for _ in range(3))
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))
