@@ -159,8 +159,8 @@ def _sorted_lookup(entries: Column, key: Column) -> Column:
 class _Style:
     """How tokens are spelled during one job."""
 
-    def __init__(self, style: str, salt: str, known: Column | None):
-        self.style, self.salt, self.known = style, salt, known
+    def __init__(self, style: str, salt: str, known: Column | None, late: str = "zero"):
+        self.style, self.salt, self.known, self.late = style, salt, known, late
         self.numbers_here = style == "numbered" and known is None
 
     def ranks(self, keys: Column, kind: str | None) -> Column:
@@ -180,7 +180,8 @@ class _Style:
 
     def token(self, ranks: Column, kind: Column, key: Column) -> Column:
         if self.known is not None:
-            return F.coalesce(_sorted_lookup(self.known, F.concat_ws(":", kind, key)), F.concat(kind, F.lit("_0")))
+            spare = hashed_token(kind, key, self.salt) if self.late == "hash" else F.concat(kind, F.lit("_0"))
+            return F.coalesce(_sorted_lookup(self.known, F.concat_ws(":", kind, key)), spare)
         if self.style == "kind_only":
             return F.concat(kind, F.lit("_0"))
         if self.style == "hash":
@@ -474,9 +475,9 @@ def _steps(how: _Style, allow: Column) -> dict[int, Column]:
 
 
 @lru_cache(maxsize=32)
-def _shared_steps(style: str, salt: str, given: bool) -> dict[int, Column]:
+def _shared_steps(style: str, salt: str, given: bool, late: str) -> dict[int, Column]:
     """Steps are unbound expressions, so all jobs of a process can share them."""
-    return _steps(_Style(style, salt, F.col("_known") if given else None), F.col("_allow"))
+    return _steps(_Style(style, salt, F.col("_known") if given else None, late), F.col("_allow"))
 
 
 def replace_names(text: Column, names: Column, parts: Column) -> Column:
@@ -499,6 +500,7 @@ def redact_rows(
     salt: str = "",
     phases: Sequence[int] = ALL_PHASES,
     known: Column | None = None,
+    late: str = "zero",
     own_names: bool = True,
     out: str = "redacted",
     entities: str = "entities",
@@ -508,8 +510,10 @@ def redact_rows(
     ``style`` picks the token: ``numbered`` (KIND_1, KIND_2 … per row),
     ``kind_only`` or ``hash`` (keyed with ``salt``; equal across the corpus
     without any shuffle).  ``known`` maps "KIND:key" to ready-made tokens and
-    replaces the numbering, for scopes that span rows.  ``own_names`` also
-    rewrites later mentions of names found in the same row.
+    replaces the numbering, for scopes that span rows.  A detail that it does not
+    hold becomes KIND_0, for the caller to number and look again, or with ``late``
+    "hash" a keyed token, where nobody can.  ``own_names`` also rewrites later
+    mentions of names found in the same row.
     """
     keep = [c for c in df.columns if c not in (out, entities)]
     if style not in STYLES:
@@ -527,7 +531,7 @@ def redact_rows(
     ).cast(STATE)
     # One projection per phase.  Each mentions the state before it exactly once,
     # so however the optimizer merges or pushes projections, no work is multiplied.
-    steps = _shared_steps(style, salt, known is not None)
+    steps = _shared_steps(style, salt, known is not None, late)
     df = df.withColumns({"_raw": F.col(text), "_allow": allow, "_s": state})
     for phase in ALL_PHASES:
         if phase in phases:

@@ -3,8 +3,9 @@
 Items of one scope share tokens and known names.  No scope is ever gathered in
 one place: entities are found per item, numbered with span windows, and the
 item is rewritten with the finished tokens.  The look-back of the amount test
-sees the final tokens; an entity that only this second look uncovers takes the
-spare token KIND_0.
+sees the final tokens.  Entities that only this look uncovers are numbered after
+the scope's highest, and the items that hold them are looked at again, until none
+is new.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from redactlake.operators.joins import null_safe_join
 from redactlake.operators.ordered import DENSE, carry_last
 from redactlake.operators.redaction import name_parts, redact_rows, replace_names
-from redactlake.operators.tokens import assign_tokens, known_tokens
+from redactlake.operators.tokens import assign_tokens, extend_tokens, known_tokens
 from redactlake.session import checkpointed
 
 _RUN = r"[\p{L}\p{N}_]+"
@@ -59,12 +60,7 @@ def redact_scopes(
         found = found.unionByName(extra_entities.select(found.columns))
     found = checkpointed(found)
     tokens = checkpointed(assign_tokens(found, scope, radix=radix))
-    known = known_tokens(found, tokens, scope, ["item_ord"]).withColumnRenamed("item_ord", ord_col)
-    joined = null_safe_join(items, known, [*scope, ord_col], "left")
-    done = redact_rows(
-        joined.withColumn("known", F.coalesce("known", F.create_map().cast("map<string,string>"))),
-        text, known=F.col("known"), own_names=False, **options,
-    ).drop("known", "entities")
+    done, found, tokens = _rewritten(items, found, tokens, scope, ord_col, text, radix, options)
     people = found.filter(F.col("kind") == "PERSON")
     if people.isEmpty():
         return done, tokens
@@ -72,20 +68,56 @@ def redact_scopes(
     return named, tokens
 
 
-def _word_sequences(size):
-    """All runs of ``size`` words of a row that has ``_runs`` and the ``_gaps`` around them."""
+def _rewritten(
+    items: DataFrame, found: DataFrame, tokens: DataFrame, scope: list[str], ord_col: str, text: str, radix: Sequence[int], options: dict
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Items with ``redacted``, and all entities and tokens that this took.
 
-    def at(i):
-        words = F.transform(
-            F.sequence(F.lit(0), size - 1),
-            lambda d: F.concat(
-                F.when(d > 0, F.get(F.col("_gaps"), i + d)).otherwise(F.lit("")), F.get(F.col("_runs"), i + d)
-            ),
-        )
-        return F.array_join(words, "")
-
-    starts = F.when(F.size("_runs") >= size, F.sequence(F.lit(0), F.size("_runs") - size))
-    return F.transform(F.coalesce(starts, F.array().cast("array<int>")), at)
+    A round rewrites the items that still hold unnumbered entities, at first all;
+    an item's entities grow with each of its rounds, so the rounds end.
+    """
+    finished, left = None, items
+    while True:
+        known = known_tokens(found, tokens, scope, ["item_ord"]).withColumnRenamed("item_ord", ord_col)
+        joined = null_safe_join(left, known, [*scope, ord_col], "left")
+        looked = redact_rows(
+            joined.withColumn("known", F.coalesce("known", F.create_map().cast("map<string,string>"))),
+            text, known=F.col("known"), own_names=False, **options,
+        ).drop("known")
+        looked = checkpointed(looked.withColumn("_late", F.filter("entities", lambda e: F.endswith(e["token"], F.lit("_0")))))
+        ready = looked.filter(F.size("_late") == 0).drop("entities", "_late")
+        finished = ready if finished is None else finished.unionByName(ready)
+        late = looked.filter(F.size("_late") > 0)
+        if late.isEmpty():
+            return finished, found, tokens
+        more = late.select(*scope, F.col(ord_col).alias("item_ord"), F.inline("_late")).drop("token")
+        found = found.unionByName(more.select(found.columns))
+        tokens = checkpointed(tokens.unionByName(extend_tokens(tokens, more, scope, radix=radix)))
+        left = late.drop("redacted", "entities", "_late")
+
+
+def _candidates(items: DataFrame, entries: DataFrame, scope: list[str], ord_col: str) -> DataFrame:
+    """Which entries may stand in which items: (scope, order, entry).
+
+    Every entry is filed under its rarest word, by the number of items of its scope
+    that hold the word, and meets the items that hold that one.  Only distinct words
+    travel, and of those only words of some entry go on; texts stay where they are.
+    """
+    spelled = entries.withColumn("words", F.array_distinct(F.regexp_extract_all("core", F.lit(_RUN), 0)))
+    words = checkpointed(spelled.select(*scope, "entry", F.explode("words").alias("word"), F.size("words").alias("_size")))
+    runs = F.array_distinct(F.regexp_extract_all(F.lower(F.col("redacted")), F.lit(_RUN), 0))
+    said = items.select(*scope, ord_col, F.explode(runs).alias("word"))
+    held = checkpointed(null_safe_join(said, words.select(*scope, "word").distinct(), [*scope, "word"], "left_semi"))
+    counts = held.groupBy(*scope, "word").agg(F.count(F.lit(1)).alias("_items"))
+    # an entry with a word that no item holds stands nowhere
+    rarest = (
+        null_safe_join(words, counts, [*scope, "word"])
+        .groupBy(*scope, "entry")
+        .agg(F.min_by("word", F.struct("_items", "word")).alias("word"), F.count(F.lit(1)).alias("_known"), F.first("_size").alias("_size"))
+        .filter("_known = _size")
+        .drop("_known", "_size")
+    )
+    return null_safe_join(held, rarest, [*scope, "word"]).drop("word")
 
 
 def substitute_names(
@@ -95,9 +127,8 @@ def substitute_names(
     """Replace known full names, then known name parts, in ``redacted``.
 
     An item sees the names known up to and including itself; items that are then
-    still unchanged see all names of the scope.  Items and names meet in an
-    equi-join on (scope, word sequence), so an item only meets entries that
-    really occur in it.
+    still unchanged see all names of the scope.  Items meet the entries whose
+    rarest word they hold; the replacement itself tests the whole entry.
     """
     scope = list(scope)
     person_tokens = tokens.filter(F.col("kind") == "PERSON").select(*scope, "norm_key", "token")
@@ -117,19 +148,9 @@ def substitute_names(
     )
     entries = checkpointed(
         full.unionByName(parts).withColumn("core", F.regexp_extract("entry", _CORE, 1)).filter(F.col("core") != "")
-        .withColumn("words", F.size(F.regexp_extract_all("core", F.lit(_RUN), 0)))
-    )
-    sizes = entries.groupBy(*scope).agg(F.collect_set("words").alias("_sizes"))  # distinct small integers
-    lower = F.lower(F.col("redacted"))
-    pieces = (
-        null_safe_join(items.select(*scope, ord_col, "redacted"), sizes, scope)
-        .withColumns({"_runs": F.regexp_extract_all(lower, F.lit(_RUN), 0), "_gaps": F.split(lower, _RUN, -1)})
-        .select(
-            *scope, ord_col,
-            F.explode(F.array_distinct(F.flatten(F.transform("_sizes", _word_sequences)))).alias("core"),
-        )
     )
-    hits = null_safe_join(pieces, entries, [*scope, "core"]).drop("core", "words")
+    # a part that is also a full name is two entries under one spelling
+    hits = null_safe_join(_candidates(items, entries.select(*scope, "entry", "core").distinct(), scope, ord_col), entries, [*scope, "entry"]).drop("core")
     # the token a part had when this item was read: its last use so far
     history = part_uses.select(
         *scope, "entry", F.col("item_ord").alias("_o"), "phase", "pos", F.lit(None).cast("bigint").alias("_item"),

@@ -21,12 +21,13 @@ def _seq():
 
 
 def first_mentions(entities: DataFrame, scope: Sequence[str]) -> DataFrame:
-    """One row per distinct (scope, kind, norm_key): first place, last spelling, mentions.
+    """One row per distinct (scope, kind, norm_key): first and last place, last spelling, mentions.
 
     Aggregated before the shuffle, so a hot scope or value costs one row per task.
     """
     return entities.groupBy(*scope, "kind", "norm_key").agg(
         F.min(_seq()).alias("first_seq"),
+        F.max(_seq()).alias("last_seq"),
         F.max_by(R.trim(F.col("raw")), _seq()).alias("value"),
         F.count(F.lit(1)).alias("mentions"),
     )
@@ -64,15 +65,65 @@ def assign_tokens(
     return numbered.select(
         *scope, "kind", "norm_key", "n",
         F.concat_ws("_", "kind", F.col("n").cast("string")).alias("token"),
-        "value", "first_seq", "mentions",
+        "value", "first_seq", "last_seq", "mentions",
+    )
+
+
+def extend_tokens(
+    tokens: DataFrame, entities: DataFrame, scope: Sequence[str] = (), *, aliases: bool = True, radix: Sequence[int] = DENSE
+) -> DataFrame:
+    """Rows that ``entities`` add to a token map, in its columns.
+
+    Values that the map holds keep their tokens and give no row.  New ones go on
+    after the highest number of their scope and kind, in order of appearance; a new
+    name whose known words all belong to one person of the map, or to one new
+    person before it, takes that person's token.
+    """
+    scope = list(scope)
+    old = tokens.select(*scope, "kind", "norm_key", F.lit(True).alias("_old"))
+    mentions = null_safe_join(first_mentions(entities, scope), old, [*scope, "kind", "norm_key"], "left")
+    fresh = checkpointed(mentions.filter(F.col("_old").isNull()).drop("_old").withColumn("item_ord", F.col("first_seq.item_ord")))
+    people = tokens.filter(F.col("kind") == "PERSON")
+    leaders = None
+    if aliases:
+        words = people.select(*scope, "norm_key", "last_seq", F.explode(name_parts(F.col("norm_key"))).alias("part"))
+        last = words.groupBy(*scope, "part").agg(F.max_by("norm_key", "last_seq").alias("norm_key"))
+        before = last.select(
+            *scope, F.lit(-1).cast("bigint").alias("item_ord"), F.lit(0).alias("phase"), F.lit(0).alias("pos"), "norm_key", "part"
+        )
+        named = entities.filter(F.col("kind") == "PERSON")
+        leaders = resolve_person_aliases(named, scope, radix, before).select(
+            *scope, F.lit("PERSON").alias("kind"), "norm_key", "leader"
+        )
+        fresh = null_safe_join(fresh, leaders, [*scope, "kind", "norm_key"], "left")
+    else:
+        fresh = fresh.withColumn("leader", F.lit(None).cast("string"))
+    fresh = fresh.withColumn("leader", F.coalesce("leader", "norm_key"))
+    # a leader that the map holds brings its token
+    known = tokens.select(*scope, "kind", F.col("norm_key").alias("leader"), F.col("n").alias("_n"))
+    fresh = null_safe_join(fresh, known, [*scope, "kind", "leader"], "left")
+    top = tokens.groupBy(*scope, "kind").agg(F.max("n").alias("_top"))
+    ranked = ordered_rank(
+        fresh.filter(F.col("_n").isNull() & (F.col("leader") == F.col("norm_key"))), [*scope, "kind"], "item_ord", ["first_seq"], radix=radix
+    )
+    ranked = null_safe_join(ranked, top, [*scope, "kind"], "left").select(
+        *scope, "kind", "leader", (F.col("n") + F.coalesce("_top", F.lit(0))).alias("_new")
+    )
+    numbered = null_safe_join(fresh, ranked, [*scope, "kind", "leader"], "left").withColumn("n", F.coalesce("_n", "_new"))
+    return numbered.select(
+        *scope, "kind", "norm_key", "n", F.concat_ws("_", "kind", F.col("n").cast("string")).alias("token"),
+        "value", "first_seq", "last_seq", "mentions",
     )
 
 
 def resolve_person_aliases(
-    persons: DataFrame, scope: Sequence[str], radix: Sequence[int] = DENSE
+    persons: DataFrame, scope: Sequence[str], radix: Sequence[int] = DENSE, before: DataFrame | None = None
 ) -> DataFrame:
     """Leader of every distinct name: itself, or the earlier person it stands for.
 
+    ``before`` has uses of name parts (scope, order, ``norm_key``, ``part``) by people
+    that are settled already; they lead themselves and get no row.
+
     When a name first appears, each of its words points to the name that last
     used that word as a name part.  If all these point to one person, the name is
     an alias of that person.  The pointers are followed by pointer jumping, so a
@@ -96,6 +147,9 @@ def resolve_person_aliases(
         *scope, *SEQ, F.explode("parts").alias("part"),
         F.lit(None).cast("string").alias("asker"), F.col("norm_key").alias("user"), F.lit(1).alias("turn"),
     )
+    if before is not None:
+        earlier = before.select(*scope, *SEQ, "part", F.lit(None).cast("string").alias("asker"), F.col("norm_key").alias("user"), F.lit(1).alias("turn"))
+        uses = uses.unionByName(earlier)
     answered = carry_last(
         asks.unionByName(uses), [*scope, "part"], "item_ord", [*SEQ, "turn"], "user", "points_to", radix
     ).filter(F.col("asker").isNotNull() & F.col("points_to").isNotNull())
@@ -106,13 +160,20 @@ def resolve_person_aliases(
     nodes = nodes.select(
         *scope, "norm_key",
         F.coalesce("ptr", F.array().cast("array<string>")).alias("ptr"),
-        F.when(F.col("ptr").isNull(), F.col("norm_key")).alias("leader"),
+        F.when(F.col("ptr").isNull(), F.col("norm_key")).alias("leader"), F.lit(False).alias("settled"),
     )
+    if before is not None:
+        settled = before.select(*scope, "norm_key").distinct().select(
+            *scope, "norm_key", F.array().cast("array<string>").alias("ptr"), F.col("norm_key").alias("leader"), F.lit(True).alias("settled")
+        )
+        nodes = settled.unionByName(
+            null_safe_join(nodes, settled.select(*scope, "norm_key", F.lit(1).alias("_s")), [*scope, "norm_key"], "left").filter("_s IS NULL").drop("_s")
+        )
     while True:
         nodes = checkpointed(nodes)
         open_ = nodes.filter(F.col("leader").isNull())
         if open_.isEmpty():
-            return nodes.select(*scope, "norm_key", "leader")
+            return nodes.filter(~F.col("settled")).select(*scope, "norm_key", "leader")
         target = nodes.select(
             *scope, F.col("norm_key").alias("p"), F.col("leader").alias("p_leader"),
             F.when(F.col("leader").isNull() & (F.size("ptr") == 1), F.get("ptr", F.lit(0))).alias("p_next"),
@@ -122,14 +183,15 @@ def resolve_person_aliases(
             .groupBy(*scope, "norm_key")
             .agg(
                 F.collect_set(F.coalesce("p_leader", "p_next", "p")).alias("ptr"),
-                F.bool_and(F.col("p_leader").isNotNull()).alias("settled"),
+                F.bool_and(F.col("p_leader").isNotNull()).alias("_done"),
             )
             .select(
                 *scope, "norm_key", "ptr",
                 F.when(
-                    F.col("settled"),
+                    F.col("_done"),
                     F.when(F.size("ptr") == 1, F.get("ptr", F.lit(0))).otherwise(F.col("norm_key")),
                 ).alias("leader"),
+                F.lit(False).alias("settled"),
             )
         )
         nodes = nodes.filter(F.col("leader").isNotNull()).unionByName(step)

@@ -8,11 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redactlake.operators.joins import null_safe_join
-from redactlake.operators.redaction import redact_rows
-from redactlake.operators.scopes import item_entities
-from redactlake.operators.tokens import assign_tokens, known_tokens
-from redactlake.session import checkpointed, work_folder
+from redactlake.session import work_folder
+from redactlake.streaming import state
 
 
 def _new_folder(spark: SparkSession, job: str) -> str:
@@ -73,101 +70,27 @@ def run_debounce(spark: SparkSession, path: str, gap: str, watermark: str) -> Da
 
 
 # --- redaction --------------------------------------------------------------
-class TokenStore:
-    """Token table on shared storage, one folder per micro-batch.
-
-    A batch reads the folders of earlier batches only and overwrites its own, so
-    a replayed batch gives the same numbers.  Unless ``keep_values`` is set,
-    identities are stored as keyed hashes, never as raw values.
-    """
-
-    SCHEMA = "scope string, kind string, key_id string, n bigint, batch bigint"
-
-    def __init__(self, spark: SparkSession, folder: str, salt: str = "", keep_values: bool = False):
-        self.spark, self.folder, self.salt, self.keep_values = spark, folder, salt, keep_values
-
-    def key_id(self, kind, key):
-        if self.keep_values:
-            return key
-        return F.sha2(F.concat_ws(":", F.lit(self.salt), kind, key), 256)
-
-    def before(self, batch: int) -> DataFrame:
-        if batch == 0:
-            return self.spark.createDataFrame([], self.SCHEMA)
-        stored = self.spark.read.schema(self.SCHEMA).option("recursiveFileLookup", "true").parquet(self.folder)
-        return stored.filter(F.col("batch") < batch)
-
-    def add(self, batch: int, tokens: DataFrame) -> None:
-        rows = tokens.withColumn("batch", F.lit(batch).cast("bigint"))
-        rows.write.mode("overwrite").parquet(f"{self.folder}/part-{batch}")
-
-
-def redact_batch(
-    items: DataFrame, batch: int, store: TokenStore, ord_col: str = "item_ord", text: str = "text"
-) -> DataFrame:
-    """Redact one micro-batch with tokens that are stable across batches.
-
-    New values of a scope continue its numbers: they are ranked within the batch
-    and shifted by the highest number stored so far.
-    """
-    # stored once: ranking and looking up both need what was found
-    found = checkpointed(item_entities(items, ["scope"], ord_col, text))
-    ranked = assign_tokens(found, ["scope"], aliases=False)
-    ranked = ranked.withColumn("key_id", store.key_id(F.col("kind"), F.col("norm_key")))
-    old = store.before(batch)
-    seen = null_safe_join(ranked, old.select("scope", "kind", "key_id", F.col("n").alias("old_n")), ["scope", "kind", "key_id"], "left")
-    fresh = seen.filter(F.col("old_n").isNull()).select(
-        "scope", "kind", "norm_key", "value", "first_seq", "key_id",
-    )
-    top = old.groupBy("scope", "kind").agg(F.max("n").alias("top"))
-    numbered = assign_tokens(
-        fresh.select("scope", "kind", "norm_key", F.col("value").alias("raw"), "first_seq.*"), ["scope"], aliases=False
-    )
-    renumbered = (
-        null_safe_join(numbered, top, ["scope", "kind"], "left")
-        .select("scope", "kind", "norm_key", (F.col("n") + F.coalesce("top", F.lit(0))).alias("n"))
-    )
-    new_rows = renumbered.select(
-        "scope", "kind", store.key_id(F.col("kind"), F.col("norm_key")).alias("key_id"), "n"
-    )
-    store.add(batch, new_rows)
-    # from here on the numbers come from the stored table, not from a second run of the ranking
-    current = store.before(batch + 1).select("scope", "kind", "key_id", "n")
-    tokens = null_safe_join(ranked.select("scope", "kind", "norm_key", "key_id"), current, ["scope", "kind", "key_id"]).withColumn(
-        "token", F.concat_ws("_", "kind", F.col("n").cast("string"))
-    )
-    known = known_tokens(found, tokens, ["scope"], ["item_ord"]).withColumnRenamed("item_ord", ord_col)
-    joined = null_safe_join(items, known, ["scope", ord_col], "left").withColumn(
-        "known", F.coalesce("known", F.create_map().cast("map<string,string>"))
-    )
-    return redact_rows(joined, text, known=F.col("known"), own_names=False).drop("known", "entities")
-
-
-def redact_stream(stream: DataFrame, store: TokenStore, out: str, checkpoint: str, text: str = "text"):
-    """Start a query that redacts (scope, item_ord, text) rows into ``out``.
-
-    A restarted query with the same checkpoint and store continues the numbers.
-    """
-
-    def write(batch_df: DataFrame, batch: int) -> None:
-        redact_batch(batch_df, batch, store, text=text).drop(text).write.mode("overwrite").parquet(f"{out}/part-{batch}")
-
-    return (
-        stream.writeStream.foreachBatch(write)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
-
-
 def run_redact_stream(spark: SparkSession, conversation_items: DataFrame) -> DataFrame:
-    """Feed conversation turns through the stream in a few files and return the result."""
+    """Feed conversation turns through the stream as they would arrive, a few turns a file, and return the result."""
     base = _new_folder(spark, "redact")
-    items = conversation_items.select(
-        F.col("conv_id").cast("string").alias("scope"), F.col("turn").alias("item_ord"), "text"
+    turn = F.col("turn").cast("bigint")
+    events = conversation_items.select(
+        F.col("conv_id").cast("string").alias("scope"), F.col("turn").cast("string").alias("item_id"), turn.alias("rev"), turn.alias("item_ord"),
+        F.lit(state.PUT).alias("event"), "text",
     )
-    items.write.parquet(f"{base}/in")
-    stream = spark.readStream.schema("scope string, item_ord bigint, text string").option("maxFilesPerTrigger", 4).parquet(f"{base}/in")
-    store = TokenStore(spark, f"{base}/tokens", salt="demo")
-    redact_stream(stream, store, f"{base}/out", f"{base}/checkpoint").awaitTermination()
-    return spark.read.option("recursiveFileLookup", "true").parquet(f"{base}/out")
+    for first, last in ((None, 1), (2, 4), (5, None)):
+        part = events.filter(F.lit(True) if first is None else turn >= first).filter(F.lit(True) if last is None else turn <= last)
+        part.write.mode("append").parquet(f"{base}/in")
+        stream = state.redact_events(spark.readStream.schema(state.EVENTS).parquet(f"{base}/in"), salt="demo")
+        state.start(stream, f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{base}/out").select("scope", "item_ord", "redacted")
+
+
+def run_revisions(spark: SparkSession, revisions: Sequence[DataFrame], keep_texts: bool = True) -> DataFrame:
+    """Feed revisions of scopes through the stream one after another; the records of all events."""
+    base = _new_folder(spark, "revisions")
+    records = None
+    for events in revisions:
+        events.write.mode("append").parquet(f"{base}/in")
+        records = state.run_events(spark, f"{base}/in", base, salt="demo", keep_texts=keep_texts, files=1000)
+    return records

@@ -1,39 +1,81 @@
-"""Stream jobs: stable tokens over batches, replay, debounce."""
+"""Stream jobs: keyed state over batches, replay, restart, revisions, and the same result as the batch job."""
 
-from redactlake.streaming import jobs as S
+import random
 
+import pytest
+from pyspark.sql import functions as F
 
-def test_tokens_are_stable_over_batches_and_replays(spark, tmp_path):
-    store = S.TokenStore(spark, str(tmp_path / "tokens"), salt="t")
-    make = lambda rows: spark.createDataFrame(rows, "scope string, item_ord long, text string")
-    first = make([("a", 0, "call 9876543210"), ("a", 1, "mail a.b@x.org or 98765 43210"), ("b", 0, "call 9876500000")])
-    second = make([("a", 2, "call 9876511111 then 9876543210"), ("b", 1, "nothing"), ("b", 2, "a.b@x.org 9876543210")])
-    out = lambda df, n: {(r.scope, r.item_ord): r.redacted for r in S.redact_batch(df, n, store).collect()}
-    assert out(first, 0) == {
-        ("a", 0): "call MOBILE_1", ("a", 1): "mail EMAIL_1 or MOBILE_1", ("b", 0): "call MOBILE_1"
+from redactlake.operators import scopes as C
+from redactlake.streaming import state as Z
+
+
+def _events(spark, rows):
+    return spark.createDataFrame([(s, i, r, o, e, t) for s, i, r, o, e, t in rows], Z.EVENTS)
+
+
+def _feed(spark, folder, *batches, **options):
+    for rows in batches:
+        _events(spark, rows).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        records = Z.run_events(spark, f"{folder}/in", f"{folder}/work", **options)
+    return records
+
+
+def _redacted(spark, folder):
+    return {(r.scope, r.item_id, r.rev): r.redacted for r in spark.read.parquet(f"{folder}/work/redacted").filter("event = 'put'").collect()}
+
+
+def test_tokens_and_names_last_over_batches_and_restarts(spark, tmp_path):
+    put = lambda s, n, t: (s, str(n), n, n, "put", t)
+    first = [put("a", 0, "call 9876543210"), put("a", 1, "mail a.b@x.org or 98765 43210\nName: Oona Pell"), put("b", 0, "call 9876500000"), put(None, 0, "call 7012345678")]
+    second = [put("a", 2, "call 9876511111 then 9876543210, ask oona pell or PELL"), put("b", 1, "nothing of Oona"), put("b", 2, "a.b@x.org 9876543210"),
+              put(None, 1, "7012345679 or 7012345678")]
+    _feed(spark, tmp_path, first, second)  # every batch is a query of its own that goes on from the checkpoint
+    assert _redacted(spark, tmp_path) == {
+        ("a", "0", 0): "call MOBILE_1", ("a", "1", 1): "mail EMAIL_1 or MOBILE_1\nName: PERSON_1", ("b", "0", 0): "call MOBILE_1",
+        (None, "0", 0): "call MOBILE_1", ("a", "2", 2): "call MOBILE_2 then MOBILE_1, ask PERSON_1 or PERSON_1",
+        ("b", "1", 1): "nothing of Oona", ("b", "2", 2): "EMAIL_1 MOBILE_2", (None, "1", 1): "MOBILE_2 or MOBILE_1",
     }
-    want = {("a", 2): "call MOBILE_2 then MOBILE_1", ("b", 1): "nothing", ("b", 2): "EMAIL_1 MOBILE_2"}
-    assert out(second, 1) == want
-    assert out(second, 1) == want  # a replayed batch overwrites its own folder
-    stored = spark.read.option("recursiveFileLookup", "true").parquet(str(tmp_path / "tokens"))
-    assert stored.filter("key_id like '%98765%'").count() == 0
-
-
-def test_null_scope_keeps_its_numbers(spark, tmp_path):
-    store = S.TokenStore(spark, str(tmp_path / "tokens"))
-    make = lambda rows: spark.createDataFrame(rows, "scope string, item_ord long, text string")
-    S.redact_batch(make([(None, 0, "call 7012345678")]), 0, store).collect()
-    rows = S.redact_batch(make([(None, 1, "call 7012345679 or 7012345678")]), 1, store).collect()
-    assert [r.redacted for r in rows] == ["call MOBILE_2 or MOBILE_1"]
-
-
-def test_a_restarted_query_goes_on_from_its_checkpoint(spark, tmp_path):
-    """Two runs over a growing folder write what one run over all of it would."""
-    make = lambda rows: spark.createDataFrame(rows, "scope string, item_ord long, text string")
-    source, store = str(tmp_path / "in"), S.TokenStore(spark, str(tmp_path / "tokens"))
-    for rows in ([("a", 0, "call 7012345678")], [("a", 1, "call 7012345679, then 7012345678")]):
-        make(rows).write.mode("append").parquet(source)
-        stream = spark.readStream.schema("scope string, item_ord bigint, text string").parquet(source)
-        S.redact_stream(stream, store, str(tmp_path / "out"), str(tmp_path / "checkpoint")).awaitTermination()
-    out = spark.read.option("recursiveFileLookup", "true").parquet(str(tmp_path / "out")).collect()
-    assert {r.item_ord: r.redacted for r in out} == {0: "call MOBILE_1", 1: "call MOBILE_2, then MOBILE_1"} and len(out) == 2
+
+
+def test_revisions_marks_and_deletes(spark, tmp_path):
+    put = lambda item, rev, text: ("p", item, rev, 0, "put", text)
+    one = [put("x", 1, "call 9876543210"), put("y", 1, "call 9876500000"), put("z", 1, "plain"), put("w", 1, "mail a@b.org"), put("v", 1, "mail c@d.org")]
+    two = [put("x", 2, "call MOBILE_1"), ("p", "y", 2, 0, "delete", None), ("p", "w", 2, 0, "unmark", None), ("p", "z", 2, 0, "mark", None), put("v", 2, "now 9876500000")]
+    three = [put("w", 3, "mail a@b.org"), put("y", 1, "late"), put("x", 3, "call 9876543210"), ("p", "w", 4, 0, "mark", None), put("v", 3, "MOBILE_2 is gone")]
+    rows = _feed(spark, tmp_path, one, two, three, keep_texts=True).collect()
+    got = sorted(((r.rev, r.item_id, r.event, r.change, r.shown, r.is_private) for r in rows), key=repr)
+    assert got == [
+        (1, "v", "put", "new", "mail EMAIL_1", True), (1, "w", "put", "new", "mail EMAIL_2", True), (1, "x", "put", "new", "call MOBILE_1", True),
+        (1, "y", "put", "new", "call MOBILE_2", True), (1, "y", "put", "stale", None, False), (1, "z", "put", "plain", "plain", False),
+        (2, "v", "put", "replaced", "now MOBILE_2", True), (2, "w", "unmark", "unmarked", "mail a@b.org", False),
+        (2, "x", "put", "ours", "call MOBILE_1", True), (2, "y", "delete", "removed", None, False), (2, "z", "mark", "refused", None, False),
+        (3, "v", "put", "replaced", "MOBILE_2 is gone", False), (3, "w", "put", "unmarked", "mail a@b.org", False),
+        (3, "x", "put", "replaced", "call MOBILE_1", True), (4, "w", "mark", "marked", "mail EMAIL_2", True),
+    ]
+    shown = {r.item_id: r.shown for r in Z.latest_items(spark.read.parquet(f"{tmp_path}/work/records")).collect()}
+    assert shown == {"x": "call MOBILE_1", "w": "mail EMAIL_2", "z": "plain", "v": "MOBILE_2 is gone"}
+
+
+def test_state_holds_no_clear_values(spark, tmp_path):
+    _feed(spark, tmp_path, [("s", "0", 0, 0, "put", "call 9876543210 Name\nName: Oona Pell")])
+    for store in (tmp_path / "work" / "redacted-checkpoint" / "state", tmp_path / "work" / "records-checkpoint" / "state"):
+        held = b"".join(p.read_bytes() for p in store.rglob("*") if p.is_file())
+        assert held and b"9876543210" not in held and b"oona" not in held.lower()
+    scope = Z.Scope("k")
+    scope.token("MOBILE", "9876543210"), scope.token("PERSON", "oona pell")
+    assert not any(word in repr(scope.saved()) for word in ("9876543210", "oona", "pell"))
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_stream_is_the_batch_job_in_order_of_arrival(spark, tmp_path, seed):
+    rng = random.Random(seed)
+    names = ["Oona Pell", "Bram Tull", "Oona Tull", "Wren O'Neil", "Pell", "Dr. Edda Nash", "Pia-Lou Varga", "Edda"]
+    bits = [lambda: f"call 98765{rng.randint(0, 20):05d}", lambda: f"Name: {rng.choice(names)}", lambda: f"hi {rng.choice(names)}", lambda: rng.choice(names).lower() + " came",
+            lambda: "price of 9876500001 is fine", lambda: "nothing", lambda: "O'NEIL and dr. edda nash"]
+    rows = [(f"s{s}", n, "\n".join(rng.choice(bits)() for _ in range(rng.randint(1, 4)))) for s in range(6) for n in range(8)]
+    df = spark.createDataFrame(rows, "scope string, item_ord long, text string")
+    want = {(r.scope, r.item_ord): r.redacted for r in C.redact_scopes(df, ["scope"], two_pass_names=False)[0].collect()}
+    events = [(s, str(n), n, n, "put", t) for s, n, t in rows]
+    _feed(spark, tmp_path, *([e for e in events if n <= e[2] < n + 3] for n in (0, 3, 6)))
+    assert {(s, rev): t for (s, _, rev), t in _redacted(spark, tmp_path).items()} == want
+    assert spark.read.parquet(f"{tmp_path}/work/redacted").filter(F.col("redacted").rlike("_0\\b")).count() == 0
