@@ -40,7 +40,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from redactlake.llm.tables import replace_columns, small_batches
+from redactlake.llm.tables import replace_columns, small_batches, tidied
 
 # Fixed value: the pre-tokenising pattern of the vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -364,4 +364,4 @@ def bpe_columns(df: DataFrame, vocabulary_path: str, text: str = "text", want: S
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *made], names=[*keep, *want])
         coder.rest()
 
-    return small_batches(carried).mapInArrow(code, schema)
+    return small_batches(carried).mapInArrow(tidied(code), schema)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from redactlake.llm.tables import small_batches
+from redactlake.llm.tables import small_batches, tidied
 
 SPACE = b" \t\n\x0b\x0c\r"
 _FAN_OUT = 16
@@ -189,7 +189,7 @@ def _distinct(df: DataFrame, text: str, ident: str, memory: int) -> DataFrame:
         if first is not None:
             yield from batches(_chain(first, resolved), seen[0])
 
-    return small_batches(plain).mapInArrow(local, schema).repartition("_h").mapInArrow(bucket, schema)
+    return small_batches(plain).mapInArrow(tidied(local), schema).repartition("_h").mapInArrow(tidied(bucket), schema)
 
 
 def _chain(first, rest):
@@ -210,7 +210,7 @@ def _digests(df: DataFrame, text: str, ident: str) -> DataFrame:
                 [batch.column(0), pa.array([len(t or "") for t in texts], pa.int64()), pa.array(shas, pa.string())], names=schema.names
             )
 
-    return small_batches(rows).mapInArrow(work, schema)
+    return small_batches(rows).mapInArrow(tidied(work), schema)
 
 
 def keep_one_each(df: DataFrame, text: str = "text", ident: str = "doc_id", memory: int = 48 << 20) -> DataFrame:

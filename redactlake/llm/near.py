@@ -42,7 +42,7 @@ from pyspark.sql import types as T
 from xxhash import xxh3_64_digest
 
 from redactlake.llm.components import components
-from redactlake.llm.tables import group_key, small_batches, staged
+from redactlake.llm.tables import group_key, small_batches, staged, tidied
 
 WORDS, PERCENT = 5, 80
 LONGEST = 4  # largest number of shared prefix shingles that a class may ask for
@@ -171,7 +171,7 @@ def _signatures(rows: DataFrame) -> DataFrame:
                 pa.array(range(_SLICES), pa.int32()), pa.array(list(sketch.reshape(_SLICES, -1)), pa.list_(pa.int64())),
             ], names=schema.names)
 
-    return rows.select("ident", "t", "k").mapInArrow(work, schema)
+    return rows.select("ident", "t", "k").mapInArrow(tidied(work), schema)
 
 
 def _sketch(signatures: DataFrame) -> np.ndarray:
@@ -214,7 +214,7 @@ def _postings(rows: DataFrame, sketch: np.ndarray) -> DataFrame:
                     [pa.array(np.concatenate(x).astype(np.int64)) for x in (tokens, owners, metas)], names=["token", "c", "meta"]
                 )
 
-    return rows.select("ident", "t").mapInArrow(work, "token long, c long, meta long")
+    return rows.select("ident", "t").mapInArrow(tidied(work), "token long, c long, meta long")
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -243,7 +243,7 @@ def _sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
                 pa.array([s.tobytes() for s in sets.values()], pa.binary()),
             ], names=["c", "sig", "n", "parity", "shingles"])
 
-    return texts.select("t").mapInArrow(work, "c long, sig binary, n long, parity binary, shingles binary")
+    return texts.select("t").mapInArrow(tidied(work), "c long, sig binary, n long, parity binary, shingles binary")
 
 
 # --- pairs -------------------------------------------------------------------------
@@ -291,7 +291,7 @@ def _plausible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             most = sizes - 2 * -(-PERCENT * sizes // (100 + PERCENT))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(apart <= most))
 
-    return both.mapInArrow(work, "a binary, b binary")
+    return both.mapInArrow(tidied(work), "a binary, b binary")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -310,7 +310,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 keep.append(linked(len(np.intersect1d(s, t, assume_unique=True)), len(s), len(t)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return first.join(second, "b").select("a", "b", "sa", "sb").mapInArrow(work, "a binary, b binary")
+    return first.join(second, "b").select("a", "b", "sa", "sb").mapInArrow(tidied(work), "a binary, b binary")
 
 
 def _open_lists(members: DataFrame, labels: DataFrame | None) -> DataFrame:

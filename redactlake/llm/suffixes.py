@@ -54,6 +54,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from redactlake.llm.tables import give_back
+
 LENGTH, ANCHOR = 50, 24
 MOST_OFFSETS = 31  # places of an anchor in its strings; they are bits of a number
 CHUNK_BYTES = 8 << 20
@@ -454,7 +456,7 @@ def repeated_strings(df: DataFrame, text: str = "text", ident: str = "doc_id", l
 
         def done(*tables: pa.Table) -> pa.Table:
             out = work(*tables)
-            pa.default_memory_pool().release_unused()
+            give_back()
             return out
 
         # the number of arguments tells Spark whether the key is wanted

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,3 +46,21 @@ def replace_columns(df: DataFrame, names: list[str]) -> list[str]:
     """The columns of ``df`` that results of these names do not replace."""
     taken = {n.lower() for n in names}
     return [c for c in df.columns if c.lower() not in taken]
+
+
+def give_back() -> None:
+    """Hand memory that was freed back to the system: a Python worker outlives its task and keeps it otherwise."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def tidied(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``work`` on the batches of a task, after which its memory is given back."""
+
+    def run(source: Iterator) -> Iterator:
+        yield from work(source)
+        give_back()
+
+    return run

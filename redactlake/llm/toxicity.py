@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from redactlake.llm.tables import replace_columns, small_batches
+from redactlake.llm.tables import replace_columns, small_batches, tidied
 
 SAMPLE_ROWS = 20_000
 _SHORTEST, _LONGEST = 4, 12
@@ -171,7 +171,7 @@ def _prefix_counts(sample: DataFrame) -> DataFrame:
                     sums = {0: Counter(), 1: Counter()}
         yield out()
 
-    parts = small_batches(distinct).mapInArrow(count, "prefix string, pos long, neg long")
+    parts = small_batches(distinct).mapInArrow(tidied(count), "prefix string, pos long, neg long")
     return parts.groupBy("prefix").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
 
 
@@ -266,7 +266,7 @@ def _apply(df: DataFrame, grammar: Grammar, text: str, results: dict[str, int |
                 made = list(zip(*map(automaton.features, texts), strict=True)) or [[], [], []]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(list(m), pa.float64()) for m in made)], names=schema.names)
 
-    return small_batches(rows).mapInArrow(work, schema)
+    return small_batches(rows).mapInArrow(tidied(work), schema)
 
 
 def score_toxicity(df: DataFrame, grammar: Grammar, text: str = "text") -> DataFrame:
@@ -285,4 +285,4 @@ def keep_clean(df: DataFrame, grammar: Grammar, text: str = "text") -> DataFrame
         for batch in source:
             yield batch.filter(pa.array([automaton.score(t) < 0.5 for t in batch.column(at).to_pylist()], pa.bool_()))
 
-    return small_batches(df).mapInArrow(work, df.schema)
+    return small_batches(df).mapInArrow(tidied(work), df.schema)
