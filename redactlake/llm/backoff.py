@@ -12,6 +12,8 @@ scores are summed per document.  To move little, n-grams travel in blocks:
 4. a chunk meets its answers again and sums the scores of its documents.
 
 An n-gram of any frequency is one entry of a chunk's block, so no bucket is hot.
+Blocks are never empty: there are never more of them than distinct n-grams of the
+chunks, however many chunks and buckets there are.
 N-grams are hashes of 64 bits at any size of the corpus.
 
 The score of a word after its history is the relative frequency of the longest
@@ -37,10 +39,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh3_64_digest
 
-from redactlake.llm.tables import group_key
+from redactlake.llm.tables import give_back, group_key, tidied
 
 ORDER, BACKOFF, MIN_COUNT = 3, 0.4, 2
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES, PACKED_BYTES = 8 << 20, 32 << 20
 _MULTIPLIER, _FINISH = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x9FB21C651E98DF25)
 
 
@@ -50,9 +52,10 @@ def _words(text: str | None) -> list[bytes]:
 
 def _grams(texts: list[str | None], order: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
     """Words of each text; for each order the hashes of the n-grams, and the places of their last words."""
-    lists = [_words(t) for t in texts]
-    sizes = np.array([len(w) for w in lists], np.int64)
-    words = np.frombuffer(b"".join([b"".join(map(xxh3_64_digest, w)) for w in lists]), "<u8").astype(np.uint64)
+    digests = [b"".join(map(xxh3_64_digest, _words(t))) for t in texts]
+    sizes = np.array([len(d) // 8 for d in digests], np.int64)
+    words = np.frombuffer(b"".join(digests), "<u8").astype(np.uint64)
+    del digests
     place = np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     hashes, ends, mixed = [], [], words
     for n in range(1, order + 1):
@@ -79,6 +82,40 @@ def spread(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u8").reshape(-1)
 
 
+def _packed(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents by chunk, many in one compressed block: a shuffle's own compression sees too little at once."""
+
+    def blocks(some: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(some).sort_by("chunk").combine_chunks()
+        chunk = table["chunk"].to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(chunk)) + 1).tolist(), len(chunk)]
+        docs = [_stream(table.slice(a, b - a).drop_columns(["chunk"])) for a, b in zip(cuts, cuts[1:], strict=False)]
+        return pa.RecordBatch.from_arrays([pa.array(chunk[cuts[:-1]]), pa.array(docs, pa.binary())], names=["chunk", "docs"])
+
+    waiting, size = [], 0
+    for batch in source:
+        if not batch.num_rows:
+            continue
+        waiting.append(batch)
+        size += batch.nbytes
+        if size > PACKED_BYTES:
+            yield blocks(waiting)
+            waiting, size = [], 0
+    if waiting:
+        yield blocks(waiting)
+
+
+def _stream(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(packed: pa.Table) -> pa.Table:
+    return pa.concat_tables([pa.ipc.open_stream(x.as_buffer()).read_all() for x in packed["docs"]]).combine_chunks()
+
+
 def _scores(totals: list[np.ndarray], ends: list[np.ndarray], count: int, corpus: int, backoff: float, min_count: int) -> np.ndarray:
     """Natural logarithm of each word's score; ``totals`` by order, aligned with ``ends``."""
     full = []
@@ -95,6 +132,11 @@ def _scores(totals: list[np.ndarray], ends: list[np.ndarray], count: int, corpus
     return score
 
 
+def _then_tidy(out: pa.Table) -> pa.Table:
+    give_back()
+    return out
+
+
 def backoff_scores(
     df: DataFrame, text: str = "text", ident: str = "doc_id", order: int = ORDER, backoff: float = BACKOFF, min_count: int = MIN_COUNT
 ) -> DataFrame:
@@ -114,10 +156,11 @@ def backoff_scores(
     buckets = chunks
     borders = np.array([(b << 64) // buckets for b in range(1, buckets)], np.uint64)
 
-    dealt = rows.withColumn("chunk", F.pmod(F.xxhash64(group_key("ident"), "t"), F.lit(chunks))).repartition("chunk")
+    numbered = rows.withColumn("chunk", F.pmod(F.xxhash64(group_key("ident"), "t"), F.lit(chunks)))
+    dealt = numbered.mapInArrow(tidied(_packed), "chunk long, docs binary").repartition("chunk")
 
     def ask(table: pa.Table) -> pa.Table:
-        _, hashes, _ = _grams(table["t"].to_pylist(), order)
+        _, hashes, _ = _grams(_unpacked(table)["t"].to_pylist(), order)
         distinct, counts = np.unique(np.concatenate(hashes), return_counts=True)
         cuts = [0, *np.searchsorted(distinct, borders).tolist(), len(distinct)]
         parts = [b for b in range(buckets) if cuts[b] < cuts[b + 1]]
@@ -144,7 +187,8 @@ def backoff_scores(
         rows.schema["ident"], T.StructField("n_words", T.LongType()), T.StructField("log_score", T.DoubleType()), T.StructField("mean_log_score", T.DoubleType()),
     ])
 
-    def score(docs: pa.Table, answers: pa.Table) -> pa.Table:
+    def score(packed: pa.Table, answers: pa.Table) -> pa.Table:
+        docs = _unpacked(packed)
         n, hashes, ends = _grams(docs["t"].to_pylist(), order)
         _, inverse = np.unique(np.concatenate(hashes), return_inverse=True)
         parts = [x for _, x in sorted(zip(answers["bucket"].to_pylist(), answers["totals"].to_pylist(), strict=True))]
@@ -158,7 +202,10 @@ def backoff_scores(
             "mean_log_score": pa.array(np.where(n > 0, sums / np.maximum(n, 1), 0.0), mask=n == 0),
         })
 
-    asked = dealt.groupBy("chunk").applyInArrow(ask, "bucket long, chunk long, hashes binary, counts binary")
-    answers = asked.groupBy("bucket").applyInArrow(answer, "chunk long, bucket long, totals binary")
-    found = dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score, schema)
+    # the number of arguments tells Spark whether a key is wanted
+    tidy1 = lambda work: lambda a: _then_tidy(work(a))
+    tidy2 = lambda work: lambda a, b: _then_tidy(work(a, b))
+    asked = dealt.groupBy("chunk").applyInArrow(tidy1(ask), "bucket long, chunk long, hashes binary, counts binary")
+    answers = asked.groupBy("bucket").applyInArrow(tidy1(answer), "chunk long, bucket long, totals binary")
+    found = dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(tidy2(score), schema)
     return found.select(F.col("ident").alias(ident), "n_words", "log_score", "mean_log_score")
