@@ -20,8 +20,9 @@ from redactlake.operators import review as W
 from redactlake.operators import scopes as C
 from redactlake.operators import tokens as T
 from redactlake.plans.tables import table
-from redactlake.session import build_session, checkpointed
+from redactlake.session import build_session
 from redactlake.sources import html as H
+from redactlake.sources import resolve
 
 FOLDER = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
@@ -45,7 +46,7 @@ def jobs(spark):
         "page_chunks": lambda: H.page_chunks(pages.repartition(int(CPUS))),
         "page_nodes": lambda: H.page_nodes(pages.repartition(int(CPUS))),
         "redact_scopes": lambda: C.redact_scopes(turns, ["scope"])[0],
-        "page_headings": lambda: P.page_headings(checkpointed(H.page_nodes(pages.repartition(int(CPUS))))),
+        "page_headings": lambda: resolve.page_texts(resolve.resolved_pages(pages.repartition(int(CPUS)))),
         "debounce": lambda: W.debounce(
             events.select("event_id", "user_id", "ts"), ["user_id"], "ts", "event_id", "30 MINUTE"
         ),

@@ -1,9 +1,10 @@
 """Labels, table headings, forms and visibility on node tables.
 
-Every job is keyed by ``page_id``.  A page comes from one HTML value, so a group
-per page is bounded by what one row already held.  Ancestor questions use the
-pre-order numbers: subtrees are nested intervals, so "is some earlier marked
-node still open here" is a running maximum, not an interval join.
+The rules for tables of nodes, cells, siblings and fields.  Whole pages are resolved
+row by row in :mod:`redactlake.sources.resolve`, by the same rules.  Ancestor
+questions on node tables use the pre-order numbers: subtrees are nested intervals,
+so "is some earlier marked node still open here" is a running maximum, not an
+interval join.
 """
 
 from __future__ import annotations
@@ -28,10 +29,18 @@ RESTRICTED_CLASSES = "sr-only|visually-hidden|screen-reader-only|a-offscreen|off
 SECRET_AUTOCOMPLETE = "current-password|new-password|one-time-code|cc-csc|cc-number|cc-exp|cc-name"
 SECRET_CONTROL = "current-password|new-password|one-time-code"
 LOGIN_WORDS = r"(?:log[-_ ]?in|sign[-_ ]?in|auth(?:enticate|entication)?|session|register|sign[-_ ]?up)(?:[-_ ]?form)?"
+SECRET_HINTS = (
+    "(?i)password|passwd|passcode",
+    R.whole_words("otp|one[- ]?time (?:password|code)|verification code|cvv|cvc|security code"),
+    rf"(?i)card[{R.SPACE}]+pin|(?<![{R.WORD}])pin(?![{R.WORD}])(?![{R.SPACE}]*code)",
+)
+USER_AUTOCOMPLETE = rf"(?i)(?:^|[{R.SPACE}])username(?:[{R.SPACE}]|\z)"
+USER_WORDS = "username|user[-_ ]?(?:name|id)|login[-_ ]?(?:name|id)"
+IDENTITY_HINT = "(?i)email|e-mail|phone|mobile|customer[-_ ]?id"
+CONTROLS = ("input", "textarea", "select")
 NO_LABEL = "Unlabelled field"
 # ----------------------------------------------------------------------------
 _DELIMITED = rf"[:\-][{R.SPACE}]*\z"
-_CONTROLS = ("input", "textarea", "select")
 
 
 def _attr(name: str) -> Column:
@@ -77,34 +86,6 @@ def label_restricted(nodes: DataFrame) -> DataFrame:
     return _under(nodes, blocking, ["page_id", "doc_ord"], "restricted")
 
 
-def _texts_below(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Text content of the wanted elements ``(page_id, node_ord)`` as ``content``.
-
-    Texts meet their ancestors in an equi-join on (page, ancestor).
-    """
-    below = nodes.filter(F.col("node_type") == "text").select(
-        "page_id", F.explode("path").alias("node_ord"), F.struct("node_ord", "text").alias("piece")
-    )
-    return (
-        below.join(wanted.select("page_id", "node_ord").distinct(), ["page_id", "node_ord"])
-        .groupBy("page_id", "node_ord")
-        .agg(F.array_join(F.transform(F.array_sort(F.collect_list("piece")), lambda p: p["text"]), "").alias("content"))
-    )
-
-
-def _closest(rows: DataFrame, nodes: DataFrame, test: Column, name: str, itself: bool = False) -> DataFrame:
-    """Nearest ancestor passing ``test`` as ``name`` (a node_ord), null if none."""
-    path = F.concat(F.col("path"), F.array("node_ord")) if itself else F.col("path")
-    marks = nodes.filter((F.col("node_type") == "element") & test).select("page_id", F.col("node_ord").alias("_a"))
-    near = (
-        rows.select("page_id", "node_ord", F.explode(path).alias("_a"))
-        .join(marks, ["page_id", "_a"])
-        .groupBy("page_id", "node_ord")
-        .agg(F.max("_a").alias(name))
-    )
-    return rows.join(near, ["page_id", "node_ord"], "left")
-
-
 # --- table headings ---------------------------------------------------------
 def table_headers(cells: DataFrame, table: tuple[str, ...] = ("table_id",)) -> DataFrame:
     """Add ``is_header`` and ``heading`` (label of the cell's column) to table cells.
@@ -153,43 +134,6 @@ def table_headers(cells: DataFrame, table: tuple[str, ...] = ("table_id",)) -> D
     )
 
 
-def page_cells(nodes: DataFrame) -> DataFrame:
-    """Table cells of the pages in the form :func:`table_headers` takes; ``node_ord`` is the cell."""
-    is_table = (F.col("tag") == "table") | _attr("role").isin("table", "grid")
-    is_row = (F.col("tag") == "tr") | (_attr("role") == "row")
-    is_cell = F.col("tag").isin("td", "th") | _attr("role").isin("cell", "gridcell", "columnheader", "rowheader")
-    cells = nodes.filter((F.col("node_type") == "element") & is_cell).select("page_id", "node_ord", "path", "tag", "attrs", "sib_ord")
-    cells = _closest(cells, nodes, is_row, "row_ord")
-    cells = _closest(cells, nodes, is_table, "table_ord").filter(F.col("row_ord").isNotNull() & F.col("table_ord").isNotNull())
-    cells = _closest(cells, nodes, F.col("tag") == "thead", "_thead")
-    control = _closest(
-        nodes.filter(F.col("tag").isin(*_CONTROLS)).select("page_id", "node_ord", "path"), nodes, is_cell, "_cell"
-    )
-    with_control = control.select("page_id", F.col("_cell").alias("node_ord")).distinct().withColumn("has_control", F.lit(True))
-    place = F.row_number().over(Window.partitionBy("page_id", "row_ord").orderBy("node_ord")) - 1
-    return (
-        cells.join(_texts_below(nodes, cells), ["page_id", "node_ord"], "left")
-        .join(with_control, ["page_id", "node_ord"], "left")
-        .select(
-            "page_id", "table_ord", "row_ord", place.alias("col"), "node_ord", "tag",
-            _attr("role").alias("role"), _attr("scope").alias("scope"),
-            (F.coalesce(F.col("_thead") > F.col("table_ord"), F.lit(False))).alias("in_thead"),
-            F.coalesce(F.try_to_number(F.nullif(_attr("colspan"), F.lit("")), F.lit("999")).cast("int"), F.lit(1)).alias("col_span"),
-            F.coalesce(F.try_to_number(F.nullif(_attr("rowspan"), F.lit("")), F.lit("999")).cast("int"), F.lit(1)).alias("row_span"),
-            _attr("aria-colindex").alias("aria_colindex"),
-            F.coalesce("has_control", F.lit(False)).alias("has_control"),
-            F.coalesce("content", F.lit("")).alias("text"),
-        )
-    )
-
-
-def page_headings(nodes: DataFrame) -> DataFrame:
-    """Per cell of a page: ``cell_ord``, ``is_header``, ``heading``."""
-    # stored once: the header rules read the cells many times, and each reading would repeat their joins
-    done = table_headers(checkpointed(page_cells(nodes)), ("page_id", "table_ord"))
-    return done.select("page_id", F.col("node_ord").alias("cell_ord"), "is_header", "heading")
-
-
 # --- neighbours -------------------------------------------------------------
 def neighbour_labels(siblings: DataFrame) -> DataFrame:
     """Labels next to values.
@@ -218,45 +162,6 @@ def neighbour_labels(siblings: DataFrame) -> DataFrame:
     )
 
 
-def page_siblings(nodes: DataFrame) -> DataFrame:
-    """Children with their text content, as :func:`neighbour_labels` takes them.
-
-    Text content is gathered only for elements that stand before something: before
-    a text node, or before another element of the same parent that holds text.
-    """
-    elements = nodes.filter(F.col("node_type") == "element")
-    solid = nodes.filter((F.col("node_type") == "element") | (R.trim(F.col("text")) != ""))
-    w = Window.partitionBy("page_id", "parent_ord").orderBy("sib_ord")
-    holds_text = nodes.filter((F.col("node_type") == "text") & (R.trim(F.col("text")) != "")).select(
-        "page_id", F.col("parent_ord").alias("node_ord")
-    ).distinct()
-    before_text = solid.select(
-        "page_id", "node_type", F.lag(F.when(F.col("node_type") == "element", F.col("node_ord"))).over(w).alias("_p")
-    ).filter((F.col("node_type") == "text") & F.col("_p").isNotNull())
-    before_holder = (
-        elements.select("page_id", "node_ord", F.lag("node_ord").over(w).alias("_p"))
-        .filter(F.col("_p").isNotNull())
-        .join(holds_text, ["page_id", "node_ord"], "left_semi")
-    )
-    wanted = before_text.select("page_id", "_p").unionByName(before_holder.select("page_id", "_p"))
-    contents = _texts_below(nodes, wanted.withColumnRenamed("_p", "node_ord"))
-    controls = (
-        nodes.filter(F.col("tag").isin(*_CONTROLS))
-        .select("page_id", F.explode("path").alias("node_ord")).distinct().withColumn("has_control", F.lit(True))
-    )
-    parents = elements.select("page_id", F.col("node_ord").alias("parent_ord"), F.col("tag").alias("parent_tag"))
-    return (
-        nodes.join(contents, ["page_id", "node_ord"], "left")
-        .join(controls, ["page_id", "node_ord"], "left")
-        .join(parents, ["page_id", "parent_ord"], "left")
-        .select(
-            "page_id", "parent_ord", "parent_tag", "sib_ord", "node_ord", "node_type", "tag",
-            F.coalesce("text", "content", F.lit("")).alias("content"),
-            F.coalesce("has_control", F.lit(False)).alias("has_control"),
-        )
-    )
-
-
 # --- fields -----------------------------------------------------------------
 def pick_label(candidates: DataFrame, order: tuple[str, ...]) -> DataFrame:
     """First candidate column that is not blank and has at most five words."""
@@ -268,13 +173,9 @@ def never_read(fields: DataFrame) -> DataFrame:
     """Add ``locked``: passwords, one-time codes, card security data."""
     auto = F.lower("autocomplete")
     hint = F.concat_ws(" ", "label", "name", "html_id", auto)
-    locked = (
-        (F.lower("type") == "password")
-        | auto.rlike(SECRET_AUTOCOMPLETE)
-        | hint.rlike("(?i)password|passwd|passcode")
-        | hint.rlike(R.whole_words("otp|one[- ]?time (?:password|code)|verification code|cvv|cvc|security code"))
-        | hint.rlike(rf"(?i)card[{R.SPACE}]+pin|(?<![{R.WORD}])pin(?![{R.WORD}])(?![{R.SPACE}]*code)")
-    )
+    locked = (F.lower("type") == "password") | auto.rlike(SECRET_AUTOCOMPLETE)
+    for words in SECRET_HINTS:
+        locked = locked | hint.rlike(words)
     return fields.withColumn("locked", locked)
 
 
@@ -293,10 +194,8 @@ def authentication_fields(fields: DataFrame, forms: DataFrame) -> DataFrame:
     aria_label, heading, submit_text.
     """
     hint = F.concat_ws(" ", "name", "html_id", "label")
-    user = F.col("autocomplete").rlike(rf"(?i)(?:^|[{R.SPACE}])username(?:[{R.SPACE}]|\z)") | hint.rlike(
-        R.whole_words("username|user[-_ ]?(?:name|id)|login[-_ ]?(?:name|id)")
-    )
-    identity = hint.rlike("(?i)email|e-mail|phone|mobile|customer[-_ ]?id") | F.lower("type").isin("email", "tel")
+    user = F.col("autocomplete").rlike(USER_AUTOCOMPLETE) | hint.rlike(R.whole_words(USER_WORDS))
+    identity = hint.rlike(IDENTITY_HINT) | F.lower("type").isin("email", "tel")
     secrets = fields.filter(is_secret_control())
     pages = secrets.select("page_id").distinct().withColumn("_page_secret", F.lit(True))
     secret_forms = secrets.filter(F.col("form_id").isNotNull()).select("page_id", "form_id").distinct().withColumn("_form_secret", F.lit(True))
@@ -318,126 +217,6 @@ def authentication_fields(fields: DataFrame, forms: DataFrame) -> DataFrame:
     )
 
 
-def page_fields(nodes: DataFrame, cap: int | None = None, cap_value: int | None = None) -> DataFrame:
-    """Form fields with label, value, type, flags; values of secrets and sign-in fields are blank.
-
-    All fields and whole values, unless caps are asked for.
-
-    ``nodes`` is read many times here: pass a stored or checkpointed node table.
-    """
-    shown = visible(nodes)
-    is_control = F.col("tag").isin(*_CONTROLS)
-    base = shown.filter((F.col("node_type") == "element") & is_control).select(
-        "page_id", "doc_ord", "node_ord", "parent_ord", "sib_ord", "path", "tag", "attrs",
-        _attr("id").alias("html_id"), _attr("name").alias("name"), _attr("autocomplete").alias("autocomplete"),
-        F.when(F.col("tag") == "input", F.coalesce(F.nullif(F.lower(_attr("type")), F.lit("")), F.lit("text")))
-        .when(F.col("tag") == "select", F.lit("select-one")).otherwise(F.col("tag")).alias("type"),
-    )
-    elements = nodes.filter(F.col("node_type") == "element")
-    fields = _closest(base, nodes, F.col("tag") == "label", "label_ord")
-    is_cell = F.col("tag").isin("td", "th") | _attr("role").isin("cell", "gridcell", "columnheader", "rowheader")
-    fields = _closest(fields, nodes, is_cell, "cell_ord")
-    fields = _closest(fields, nodes, F.col("tag") == "form", "_form")
-    fields = _closest(fields, nodes, _attr("role").isin("form", "dialog"), "_box")
-    fields = fields.withColumn("form_id", F.coalesce("_form", "_box"))
-
-    labels = elements.filter(F.col("tag") == "label")
-    by_for = labels.filter(_attr("for") != "").select("page_id", "doc_ord", _attr("for").alias("html_id"), F.col("node_ord").alias("_for"))
-    by_for = by_for.groupBy("page_id", "doc_ord", "html_id").agg(F.min("_for").alias("_for"))
-    fields = fields.join(by_for, ["page_id", "doc_ord", "html_id"], "left")
-    # element before the field, else before its parent, else before its grandparent
-    w = Window.partitionBy("page_id", "parent_ord").orderBy("sib_ord")
-    prev = elements.select(
-        "page_id", "node_ord", "tag", "parent_ord", F.lag(F.struct(F.col("node_ord").alias("ord"), "tag")).over(w).alias("before")
-    )
-    fields = fields.join(prev.select("page_id", "node_ord", F.col("before").alias("_b0")), ["page_id", "node_ord"], "left")
-    up = prev.select("page_id", F.col("node_ord").alias("parent_ord"), F.col("tag").alias("_ptag"), F.col("before").alias("_b1"), F.col("parent_ord").alias("_gp"))
-    fields = fields.join(up, ["page_id", "parent_ord"], "left")
-    up2 = prev.select("page_id", F.col("node_ord").alias("_gp"), F.col("before").alias("_b2"))
-    fields = fields.join(up2, ["page_id", "_gp"], "left")
-    sibling = F.coalesce("_b0", "_b1")
-    fields = fields.withColumns({"_sib": sibling["ord"], "_sib_tag": sibling["tag"], "_cell2": F.col("_b2")["ord"], "_cell2_tag": F.col("_b2")["tag"]})
-
-    fields = checkpointed(fields.drop("path", "_b0", "_b1", "_b2", "_form", "_box"))
-
-    refs = fields.select("page_id", "doc_ord", "node_ord", F.posexplode(F.split(_attr("aria-labelledby"), rf"[{R.SPACE}]+")).alias("at", "ref")).filter("ref <> ''")
-    ids = elements.filter(_attr("id") != "").groupBy("page_id", "doc_ord", _attr("id").alias("ref")).agg(F.min("node_ord").alias("_r"))
-    refs = refs.join(ids, ["page_id", "doc_ord", "ref"])
-    wanted = fields.select("page_id", F.explode(F.array_compact(F.array("label_ord", "_for", "_sib", "_cell2"))).alias("node_ord"))
-    wanted = wanted.unionByName(refs.select("page_id", F.col("_r").alias("node_ord")))
-    content = _texts_below(nodes, wanted)
-    text_of = lambda key, name: content.select("page_id", F.col("node_ord").alias(key), F.col("content").alias(name))
-    named = refs.join(text_of("_r", "_t"), ["page_id", "_r"]).groupBy("page_id", "node_ord").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "_t"))), lambda x: x["_t"]), " ").alias("labelled_by")
-    )
-    for key, name in (("label_ord", "wrapping"), ("_for", "for_label"), ("_sib", "sib_text"), ("_cell2", "cell_text")):
-        fields = fields.join(text_of(key, name), ["page_id", key], "left")
-    fields = fields.join(named, ["page_id", "node_ord"], "left").join(page_headings(nodes), ["page_id", "cell_ord"], "left")
-
-    trimmed = lambda c: R.trim(F.coalesce(F.col(c), F.lit("")))
-    semantic = F.coalesce(F.col("_sib_tag").isin("label", "dt", "th") | ((F.col("_ptag") == "td") & (F.col("_sib_tag") == "td")), F.lit(False))
-    delimited = R.has_few_words(trimmed("sib_text")) & trimmed("sib_text").rlike(_DELIMITED)
-    cell_ok = R.has_few_words(trimmed("cell_text")) & (trimmed("cell_text").rlike(_DELIMITED) | F.coalesce(F.col("_cell2_tag").isin("dt", "th"), F.lit(False)))
-    own = F.when(F.col("_for").isNotNull() & (F.col("label_ord").isNull() | (F.col("_for") < F.col("label_ord"))), F.col("for_label")).otherwise(F.col("wrapping"))
-    fields = fields.withColumns({
-        "c_own": own, "c_wrap": F.col("wrapping"),
-        "c_aria": F.coalesce(F.nullif(_attr("aria-label"), F.lit("")), F.col("labelled_by")),
-        "c_table": F.col("heading"), "c_placeholder": _attr("placeholder"),
-        "c_adjacent": F.when(semantic | delimited, F.col("sib_text")).when(cell_ok, F.col("cell_text")),
-    })
-    fields = checkpointed(
-        fields.select(
-            "page_id", "node_ord", "form_id", "html_id", "name", "autocomplete", "type", "attrs",
-            "c_own", "c_wrap", "c_aria", "c_table", "c_placeholder", "c_adjacent",
-        )
-    )
-    fields = pick_label(fields, ("c_own", "c_wrap", "c_aria", "c_table", "c_placeholder", "c_adjacent"))
-    fields = checkpointed(never_read(fields))
-
-    forms = page_forms(nodes, fields)
-    fields = authentication_fields(fields, forms)
-    fields = fields.withColumn("authentication", F.col("authentication") & ~F.col("locked"))
-    secret = F.col("locked") | F.col("authentication")
-    raw = F.coalesce(F.try_element_at(F.col("attrs"), F.lit("value")), F.when(F.col("type").isin("checkbox", "radio"), F.lit("on")), F.lit(""))
-    whole = R.trim(raw)
-    value = F.when(secret, F.lit("")).otherwise(whole if cap_value is None else F.substring(whole, 1, cap_value))
-    out = fields.select(
-        "page_id", "node_ord", F.coalesce(F.nullif("html_id", F.lit("")), F.concat_ws(":", "page_id", "node_ord")).alias("field_id"),
-        "label", value.alias("value"), "type", "locked", "authentication",
-    ).filter((F.col("value") != "") | (F.col("label") != NO_LABEL) | F.col("locked") | F.col("authentication"))
-    if cap is None:
-        return out
-    w = Window.partitionBy("page_id").orderBy("node_ord")
-    return out.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= cap).drop("_rn")
-
-
-def page_forms(nodes: DataFrame, fields: DataFrame) -> DataFrame:
-    """Wording of the forms and dialogs that hold fields."""
-    is_form = (F.col("tag") == "form") | _attr("role").isin("form", "dialog")
-    base = nodes.filter((F.col("node_type") == "element") & is_form).select(
-        "page_id", F.col("node_ord").alias("form_id"), _attr("action").alias("action"), _attr("id").alias("html_id"),
-        _attr("name").alias("name"), _attr("aria-label").alias("aria_label"),
-    ).join(fields.select("page_id", "form_id").distinct(), ["page_id", "form_id"], "left_semi")
-    heading = F.col("tag").isin("h1", "h2", "h3") | (_attr("role") == "heading")
-    submit = F.col("tag").isin("button", "input") & (F.lower(_attr("type")) == "submit")
-    inner = nodes.filter((F.col("node_type") == "element") & (heading | submit)).select(
-        "page_id", "node_ord", heading.alias("is_heading"), _attr("value").alias("shown"), F.explode("path").alias("form_id")
-    )
-    content = _texts_below(nodes, inner)
-    said = (
-        inner.join(base.select("page_id", "form_id"), ["page_id", "form_id"])
-        .join(content, ["page_id", "node_ord"], "left")
-        .groupBy("page_id", "form_id")
-        .agg(
-            F.min_by(F.when(F.col("is_heading"), F.col("content")), F.when(F.col("is_heading"), F.col("node_ord"))).alias("heading"),
-            F.min_by(
-                F.when(~F.col("is_heading"), F.coalesce("content", "shown")), F.when(~F.col("is_heading"), F.col("node_ord"))
-            ).alias("submit_text"),
-        )
-    )
-    return base.join(said, ["page_id", "form_id"], "left")
-
-
 # --- redaction of pages -----------------------------------------------------
 def redact_fields(fields: DataFrame) -> DataFrame:
     """Kind per field: sign-in fields are skipped, secrets are recorded without a value."""
@@ -448,45 +227,27 @@ def redact_fields(fields: DataFrame) -> DataFrame:
     )
 
 
-def redact_nodes(nodes: DataFrame, fields: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Redact visible text nodes and fields of pages; the page is the scope.
+def redact_nodes(texts: DataFrame, fields: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None, DataFrame]:
+    """Redact visible texts and fields of pages; the page is the scope.
 
-    Returns (text nodes with ``redacted``, fields with ``kind`` and ``token``, token map).
-    A value below a table heading or beside a label is taken as a whole; other
-    nodes go through the text rules, without label rules in restricted places.
+    ``texts``: page_id, node_ord, text, restricted, is_header, heading, preceding_label,
+    sibling_label, reads_like_label (see :mod:`redactlake.sources.resolve`).  Returns
+    (texts with ``redacted``, fields with ``kind`` and ``token``, token map).  A value
+    below a table heading or beside a label is taken as a whole; other texts go
+    through the text rules, without label rules in restricted places.
     """
-    shown = label_restricted(visible(nodes))
-    texts = shown.filter((F.col("node_type") == "text") & (R.trim(F.col("text")) != "")).select(
-        "page_id", "node_ord", "path", "text", "restricted"
-    )
-    is_cell = F.col("tag").isin("td", "th") | _attr("role").isin("cell", "gridcell", "columnheader", "rowheader")
-    texts = _closest(texts, nodes, is_cell, "cell_ord")
-    texts = texts.join(page_headings(nodes), ["page_id", "cell_ord"], "left")
-    beside = neighbour_labels(page_siblings(nodes)).drop("text")
-    texts = texts.join(beside, ["page_id", "node_ord"], "left")
     blank = F.lit("")
-    trimmed = R.trim(F.col("text"))
-    near = lambda c: R.classify(F.coalesce(F.col(c), blank), F.col("text"), blank)
-    by_table = F.when(F.coalesce(F.col("heading"), blank) != "", near("heading"))
+    near = lambda c: R.classify(F.col(c), F.col("text"), blank)
+    by_table = F.when(F.col("heading") != "", near("heading"))
     by_account = F.when((near("preceding_label") == "ACCOUNT") | (near("sibling_label") == "ACCOUNT"), F.lit("ACCOUNT"))
-    by_side = F.when(
-        ~F.col("restricted") & F.coalesce("reads_like_label", F.lit(False)) & (F.coalesce(F.col("heading"), blank) == ""),
-        near("sibling_label"),
-    )
-    texts = checkpointed(
-        texts.select(
-            "page_id", "node_ord", "text", "restricted",
-            F.coalesce("is_header", F.lit(False)).alias("is_header"),
-            F.coalesce(by_table, by_account).alias("whole_kind"), by_side.alias("side_kind"),
-        )
-    )
-    # only nodes that the text rules leave unchanged fall back to the label beside them
-    free = texts.filter(~F.col("is_header") & F.col("whole_kind").isNull())
-    probe = redact_rows(free, "text", allow_labels=~F.col("restricted"), style="kind_only", own_names=False)
-    side = probe.filter(F.col("side_kind").isNotNull() & (F.col("redacted") == F.col("text"))).select(
-        "page_id", "node_ord", F.col("side_kind").alias("_side")
-    )
-    texts = texts.join(side, ["page_id", "node_ord"], "left").withColumn("whole_kind", F.coalesce("whole_kind", "_side")).drop("_side")
+    by_side = F.when(~F.col("restricted") & F.col("reads_like_label") & (F.col("heading") == ""), near("sibling_label"))
+    judged_texts = texts.select(
+        "page_id", "node_ord", "text", "restricted", "is_header", F.coalesce(by_table, by_account).alias("whole_kind"), by_side.alias("side_kind")
+    )
+    # only texts that the text rules leave unchanged fall back to the label beside them
+    probe = redact_rows(judged_texts, "text", allow_labels=~F.col("restricted"), own_names=False, out="_probe")
+    side = F.when(~F.col("is_header") & (F.col("_probe") == F.col("text")), F.col("side_kind"))
+    texts = checkpointed(probe.withColumn("whole_kind", F.coalesce("whole_kind", side)).drop("_probe", "side_kind"))
     whole = texts.filter(~F.col("is_header") & F.col("whole_kind").isNotNull())
 
     def mention(df: DataFrame, kind: str, raw: str) -> DataFrame:
@@ -501,9 +262,11 @@ def redact_nodes(nodes: DataFrame, fields: DataFrame | None = None) -> tuple[Dat
     if fields is not None:
         judged = checkpointed(redact_fields(fields))
         extra = extra.unionByName(mention(judged, "kind", "value"))
-    items = texts.filter(~F.col("is_header") & F.col("whole_kind").isNull()).select("page_id", "node_ord", "text", "restricted")
+    free = texts.filter(~F.col("is_header") & F.col("whole_kind").isNull())
+    found = free.select("page_id", F.col("node_ord").alias("item_ord"), F.inline_outer("entities")).filter("kind IS NOT NULL").drop("token")
+    items = free.select("page_id", "node_ord", "text", "restricted")
     done, tokens = redact_scopes(
-        items, ["page_id"], "node_ord", "text", extra_entities=extra, allow_labels=~F.col("restricted")
+        items, ["page_id"], "node_ord", "text", found=found, extra_entities=extra, allow_labels=~F.col("restricted")
     )
     lookup = tokens.select("page_id", F.col("kind").alias("_k"), F.col("norm_key").alias("_key"), "token")
     with_token = lambda df, kind, raw: df.withColumns(

@@ -44,6 +44,7 @@ def redact_scopes(
     ord_col: str = "item_ord",
     text: str = "text",
     *,
+    found: DataFrame | None = None,
     extra_entities: DataFrame | None = None,
     two_pass_names: bool = True,
     radix: Sequence[int] = DENSE,
@@ -51,11 +52,12 @@ def redact_scopes(
 ) -> tuple[DataFrame, DataFrame]:
     """Rewrite all items; returns (items with ``redacted``, token map).
 
-    ``extra_entities`` adds mentions from elsewhere (form fields, table cells)
+    ``found`` holds the items' entities if they are known already.  ``extra_entities`` adds mentions from elsewhere (form fields, table cells)
     that take part in the numbering and in the known names.
     """
     scope = list(scope)
-    found = item_entities(items, scope, ord_col, text, **options)
+    if found is None:
+        found = item_entities(items, scope, ord_col, text, **options)
     if extra_entities is not None:
         found = found.unionByName(extra_entities.select(found.columns))
     found = checkpointed(found)

@@ -14,6 +14,7 @@ from redactlake.plans.registry import query
 from redactlake.plans.tables import derive, table
 from redactlake.session import checkpointed
 from redactlake.sources import html as H
+from redactlake.sources import resolve as pageview
 
 _BODY = "regexp_replace(html, '(?s)<!--.*?-->', '', 'g')"
 for _t in ("head", *H.SKIPPED):
@@ -196,21 +197,24 @@ def field_summary(spark, folder):
 
 
 # --- whole pages --------------------------------------------------------------
+def _derived_pages(spark, folder):
+    return pageview.resolved_pages(derive(spark, folder, fx.HTML_PAGES))
+
+
 @query()
 def page_fields(spark, folder):
-    nodes = checkpointed(H.page_nodes(derive(spark, folder, fx.HTML_PAGES)))
-    return P.page_fields(nodes)
+    return pageview.page_fields(_derived_pages(spark, folder))
 
 
 def _whole_pages(spark, folder):
-    nodes = checkpointed(H.page_nodes(derive(spark, folder, fx.HTML_PAGES)))
-    return P.redact_nodes(nodes, P.page_fields(nodes))
+    resolved = checkpointed(_derived_pages(spark, folder))
+    return P.redact_nodes(pageview.page_texts(resolved), pageview.page_fields(resolved))
 
 
 @query()
 def page_redacted_nodes(spark, folder):
     """Driver pages: every visible text node with its redacted text."""
-    texts, _, _ = P.redact_nodes(checkpointed(H.page_nodes(_pages(spark, folder))))
+    texts, _, _ = P.redact_nodes(pageview.page_texts(pageview.resolved_pages(_pages(spark, folder))))
     return texts.select("page_id", "node_ord", "redacted")
 
 

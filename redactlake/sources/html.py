@@ -144,13 +144,25 @@ class _Tree(HTMLParser):
             self.close_top()
 
 
+def parsed(source: str | None) -> list[list]:
+    """Nodes of one page in document order, as ``NODE_SCHEMA`` lists them."""
+    rows: list[list] = []
+    tree = _Tree(rows, [0], None, [])
+    tree.feed(source or "")
+    tree.finish()
+    return rows
+
+
 def page_nodes(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """One row per element or text node, in document order.
 
     ``path`` lists the ancestors' ``node_ord``; ``[node_ord, subtree_end]`` spans the
     subtree.  Frames with ``srcdoc`` and open shadow roots are walked as further
-    documents of the page; frames from elsewhere are not.
+    documents of the page; frames from elsewhere are not.  Values of secrets are
+    dropped, be it the type, name, id, autocomplete or label that tells.
     """
+    from redactlake.sources.resolve import drop_secrets  # it reads what is parsed here
+
     key_type = dict(pages.dtypes)[key]
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -158,10 +170,8 @@ def page_nodes(pages: DataFrame, key: str = "page_id", html: str = "html") -> Da
         for batch in batches:
             out: list[list] = []
             for page, source in zip(batch[key], batch[html]):
-                rows: list[list] = []
-                tree = _Tree(rows, [0], None, [])
-                tree.feed(source or "")
-                tree.finish()
+                rows = parsed(source)
+                drop_secrets(rows)
                 out.extend([page, *r] for r in rows)
                 if len(out) > 20000:
                     yield pd.DataFrame(out, columns=names)

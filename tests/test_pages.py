@@ -5,6 +5,7 @@ import pytest
 from redactlake.operators import pages as P
 from redactlake.session import checkpointed
 from redactlake.sources import html as H
+from redactlake.sources import resolve
 
 PAGES = [
     (1, "<main><h1>Login</h1><div><b>Name:</b><div>Oona Pell</div></div><div><b>Cell phone:</b><div>+91 70123 45678</div></div>"
@@ -21,9 +22,9 @@ PAGES = [
 
 @pytest.fixture(scope="module")
 def redacted(spark):
-    nodes = checkpointed(H.page_nodes(spark.createDataFrame(PAGES, "page_id long, html string")))
-    fields = checkpointed(P.page_fields(nodes))
-    texts, judged, _ = P.redact_nodes(nodes, fields)
+    pages = checkpointed(resolve.resolved_pages(spark.createDataFrame(PAGES, "page_id long, html string")))
+    fields = resolve.page_fields(pages)
+    texts, judged, _ = P.redact_nodes(resolve.page_texts(pages), fields)
     texts, judged = checkpointed(texts), checkpointed(judged)
     return texts, fields, judged
 
