@@ -38,6 +38,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from redactlake.llm.tables import replace_columns, small_batches, tidied
@@ -352,8 +353,8 @@ def bpe_columns(df: DataFrame, vocabulary_path: str, text: str = "text", want: S
         shared = df.sparkSession.sparkContext.broadcast(f.read())
     keep, want = replace_columns(df, list(want)), list(want)
     source = next(c for c in df.columns if c.lower() == text.lower())
-    carried = df.select(*[f"`{c}`" for c in keep], df[f"`{source}`"].alias("_bpe_text"))
-    schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(w, _RESULTS[w]) for w in want])
+    carried = df.select(F.struct(*[F.col(f"`{c}`") for c in keep or [source]]).alias("row"), F.col(f"`{source}`").alias("t"))
+    schema = T.StructType([carried.schema["row"]] + [T.StructField(w, _RESULTS[w]) for w in want])
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(shared.value)
@@ -361,7 +362,8 @@ def bpe_columns(df: DataFrame, vocabulary_path: str, text: str = "text", want: S
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
                 made = _results(coder, part.column(part.num_columns - 1).to_pylist(), want)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *made], names=[*keep, *want])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *made], names=schema.names)
         coder.rest()
 
-    return small_batches(carried).mapInArrow(tidied(code), schema)
+    coded = small_batches(carried).mapInArrow(tidied(code), schema)
+    return coded.select(*[F.col("row")[c].alias(c) for c in keep], *want)

@@ -253,8 +253,8 @@ def _apply(df: DataFrame, grammar: Grammar, text: str, results: dict[str, int |
     """Adds a column for each result: the feature of that number, or the score for None."""
     keep = replace_columns(df, list(results))
     shared = df.sparkSession.sparkContext.broadcast(grammar)
-    rows = df.select(*[f"`{c}`" for c in keep], df[f"`{text}`"].alias("_tox_text"))
-    schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(r, T.DoubleType()) for r in results])
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in keep or [text]]).alias("row"), F.col(f"`{text}`").alias("t"))
+    schema = T.StructType([rows.schema["row"]] + [T.StructField(r, T.DoubleType()) for r in results])
 
     def work(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = Automaton(shared.value)
@@ -266,7 +266,8 @@ def _apply(df: DataFrame, grammar: Grammar, text: str, results: dict[str, int |
                 made = list(zip(*map(automaton.features, texts), strict=True)) or [[], [], []]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(list(m), pa.float64()) for m in made)], names=schema.names)
 
-    return small_batches(rows).mapInArrow(tidied(work), schema)
+    made = small_batches(rows).mapInArrow(tidied(work), schema)
+    return made.select(*[F.col("row")[c].alias(c) for c in keep], *results)
 
 
 def score_toxicity(df: DataFrame, grammar: Grammar, text: str = "text") -> DataFrame:
