@@ -13,10 +13,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from redactlake.functions import rules as R
+from redactlake.operators.joins import null_safe_join
+from redactlake.operators.leaks import known_value_leaks
 from redactlake.operators.ordered import carry_last
 from redactlake.operators.redaction import redact_rows
 from redactlake.operators.records import classify_values
-from redactlake.operators.scopes import redact_scopes
+from redactlake.operators.scopes import redact_more, redact_scopes
 from redactlake.session import checkpointed
 
 # --- fixed values -----------------------------------------------------------
@@ -286,25 +288,25 @@ def redact_nodes(texts: DataFrame, fields: DataFrame | None = None) -> tuple[Dat
     return out, None if judged is None else with_token(judged, "kind", "value"), tokens
 
 
-def page_contexts(
-    texts: DataFrame, fields: DataFrame, cap: int | None = None
-) -> DataFrame:
-    """Per page the outgoing text: redacted nodes, then ``label: token`` per field, redacted once more.
+def page_contexts(texts: DataFrame, fields: DataFrame, tokens: DataFrame, cap: int | None = None) -> DataFrame:
+    """Per page the outgoing text: redacted texts, then ``label: token`` per field, redacted once more.
 
-    A page's nodes come from one HTML value, so this ordered aggregation is bounded by that row.
+    The last look knows the page's values and people.  ``is_safe`` tells that no
+    stored value of the page is left in the context.  A page's texts come from one
+    HTML value, so the ordered aggregation is bounded by that row.
     """
     shown = F.when(F.col("locked"), F.lit(R.HIDDEN)).otherwise(F.coalesce("token", "value"))
     lines = texts.select("page_id", F.lit(0).alias("part"), "node_ord", R.trim(F.col("redacted")).alias("line")).unionByName(
         fields.select("page_id", F.lit(1).alias("part"), "node_ord", F.concat(F.col("label"), F.lit(": "), shown).alias("line"))
     )
-    joined = lines.groupBy("page_id").agg(
-        F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.struct("part", "node_ord", "line"))), lambda x: x["line"]), "\n"
-        ).alias("context")
-    )
-    again = redact_rows(joined, "context", style="kind_only", own_names=False)
+    ordered = F.array_sort(F.collect_list(F.struct("part", "node_ord", "line")))
+    joined = lines.groupBy("page_id").agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("context"))
+    joined = checkpointed(joined.withColumn("item_ord", F.lit(2147483647)))  # behind all texts of the page
+    again, every = redact_more(joined, tokens, ["page_id"], "item_ord", "context")
     context = F.col("redacted") if cap is None else F.substring("redacted", 1, cap)
-    return again.select("page_id", context.alias("safe_context"))
+    again = checkpointed(again.select("page_id", context.alias("safe_context")))
+    left = known_value_leaks(again, every, ["page_id"], [], "safe_context").select("page_id").distinct().withColumn("_left", F.lit(True))
+    return null_safe_join(again, left, ["page_id"], "left").select("page_id", "safe_context", F.col("_left").isNull().alias("is_safe"))
 
 
 def original_contexts(texts: DataFrame, fields: DataFrame, cap: int | None = None) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from redactlake.functions import rules as R
+from redactlake.operators.tokens import token_mentions
 
 # --- fixed values: limits and wording of the record rules --------------------
 ANSWER_COLUMNS = ("hire_reason", "strongest_skills", "challenge_solved")
@@ -181,3 +182,12 @@ def ocr_candidates(lines: DataFrame, scale: float = 1.0) -> DataFrame:
         *[c for c in lines.columns if c != "bbox"], "kind",
         *[(F.col(f"bbox.{c}") * F.lit(scale)).alias(c) for c in ("x", "y", "width", "height")],
     )
+
+
+def register_visual(candidates: DataFrame, tokens: DataFrame, scope: Sequence[str] = (), order: Sequence[str] = ("image_id", "line_ord")) -> tuple[DataFrame, DataFrame]:
+    """Tokens for recognised details from the scope's map, without their text; and the map with the new ones."""
+    found = with_norm_key(candidates).withColumns(
+        {"item_ord": F.col(order[0]).cast("bigint"), "phase": F.lit(0), "pos": F.col(order[1]).cast("int")}
+    )
+    named, every = token_mentions(found, tokens, scope)
+    return named.drop("raw", "norm_key", "item_ord", "phase", "pos"), every

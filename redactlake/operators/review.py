@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from redactlake.functions import rules as R
 from redactlake.operators.joins import null_safe_join
 from redactlake.operators.redaction import redact_rows
-from redactlake.operators.tokens import assign_tokens
+from redactlake.operators.tokens import no_tokens, token_mentions
 
 # --- fixed values: how kinds are shown to people ----------------------------
 KIND_NAMES = {
@@ -49,9 +49,12 @@ def review(texts: DataFrame, fields: DataFrame, overrides: DataFrame | None = No
     """Union of text and field detections as one review list.
 
     Both inputs have the columns of :func:`text_detections`; locked rows never
-    show a value.  With overrides, ``is_private`` follows the latest one.
+    show a value.  With overrides, ``is_private`` of a text follows the latest one;
+    fields from :func:`field_detections` say themselves whether they hide something.
     """
-    both = texts.unionByName(fields)
+    own = F.lit(None).cast("boolean").alias("has_record")
+    states = fields.select("*", *([] if "has_record" in fields.columns else [own]))
+    both = texts.select("*", own).unionByName(states)
     if overrides is not None:
         keys = override_keys(both, overrides)
         both = null_safe_join(both, latest_overrides(overrides, keys), keys, "left")
@@ -62,7 +65,7 @@ def review(texts: DataFrame, fields: DataFrame, overrides: DataFrame | None = No
         *keep, "item_id", "source", "label", "kind",
         F.when(F.col("locked"), F.lit("Never read")).otherwise(F.col("original")).alias("value"),
         F.when(F.col("locked"), F.lit(R.HIDDEN)).otherwise(F.col("redacted")).alias("safe_value"),
-        (F.col("locked") | F.coalesce("is_marked", F.lit(True))).alias("is_private"),
+        F.coalesce("has_record", F.col("locked") | F.coalesce("is_marked", F.lit(True))).alias("is_private"),
         (~F.col("locked")).alias("can_unmark"),
     )
 
@@ -80,52 +83,108 @@ def latest_overrides(overrides: DataFrame, keys: Sequence[str] = ("item_id",)) -
     return overrides.groupBy(*keys).agg(F.max_by("is_private", "ts").alias("is_marked"))
 
 
-def apply_overrides(detections: DataFrame, overrides: DataFrame) -> DataFrame:
+def overrides_as_of(overrides: DataFrame, changes: DataFrame, keys: Sequence[str] = ("item_id",), ts: str = "ts") -> DataFrame:
+    """The log of manual decisions without those that a later change of their item made void.
+
+    ``changes`` has ``keys`` and ``ts`` of every replacement of an item's text.  Only
+    the last change of an item matters, so nothing is compared with a whole history.
+    """
+    keys = list(keys)
+    last = changes.groupBy(*keys).agg(F.max(ts).alias("_changed"))
+    known = null_safe_join(overrides, last, keys, "left")
+    return known.filter(F.col("_changed").isNull() | (F.col(ts) > F.col("_changed"))).drop("_changed")
+
+
+def _mark_kind(marked: DataFrame, value: str) -> Column:
+    """Kind of something that a person marked: what its label and value say, else PRIVATE."""
+    given = lambda c: F.coalesce(F.col(c), F.lit("")) if c in marked.columns else F.lit("")
+    kind = R.classify(given("label"), F.col(value), given("type"))
+    return F.when(kind.isin(*R.SECRET_KINDS), F.lit("PRIVATE")).otherwise(F.coalesce(kind, F.lit("PRIVATE")))
+
+
+def apply_overrides(
+    detections: DataFrame, overrides: DataFrame, tokens: DataFrame | None = None, scope: Sequence[str] = (), ord_col: str = "item_id"
+) -> DataFrame:
     """What each item shows after manual marking and unmarking.
 
     ``detections``: item_id, kind, original, redacted, current, locked,
     authentication.  Locked and sign-in items refuse; an item whose current text
     is neither its original nor its redacted text has changed, which voids the
-    override.  A marked item without a detection becomes PRIVATE; its token is taken
-    from an optional column ``mark_token`` (see :func:`mark_tokens`).
+    override.  A marked item without a detection gets the kind that its ``label`` and
+    ``type`` tell, if it has them, or PRIVATE, and a token of its own from the scope's
+    map ``tokens`` (see :func:`mark_tokens`).
     """
-    spare = F.col("mark_token") if "mark_token" in detections.columns else F.lit(None).cast("string")
     keys = override_keys(detections, overrides)
     d = null_safe_join(detections, latest_overrides(overrides, keys), keys, "left")
     asked = F.col("is_marked").isNotNull()
     refused = F.col("locked") | F.col("authentication")
     changed = ~(F.col("current").eqNullSafe(F.col("original")) | F.col("current").eqNullSafe(F.col("redacted")))
     applied = asked & ~refused & ~changed
-    private = F.when(applied, F.col("is_marked")).otherwise(F.col("kind").isNotNull() & ~F.col("authentication"))
+    d = d.withColumns({"applied": applied, "why_not": F.when(asked & refused, F.lit("refused")).when(asked & changed, F.lit("changed"))})
+    bare = d.filter(F.col("applied") & F.col("is_marked") & F.col("redacted").isNull() & (R.trim(F.coalesce("original", F.lit(""))) != ""))
+    marks, _ = mark_tokens(bare, list(scope), ord_col, "original", tokens, keep=keys)
+    own = [F.col(k) for k in keys]
+    d = null_safe_join(d, marks.select(*own, "mark_kind", "mark_token").dropDuplicates(keys), keys, "left")
+    private = F.when(F.col("applied"), F.col("is_marked")).otherwise(F.col("kind").isNotNull() & ~F.col("authentication"))
+    # an item without text has nothing to hide
     return d.select(
-        *[c for c in detections.columns],
-        applied.alias("applied"),
-        F.when(asked & refused, F.lit("refused")).when(asked & changed, F.lit("changed")).alias("why_not"),
-        private.alias("is_private"),
-        F.when(private & F.col("kind").isNull(), F.lit("PRIVATE")).otherwise(F.col("kind")).alias("shown_kind"),
-        F.when(applied & ~F.col("is_marked"), F.col("original"))
-        .when(applied & F.col("is_marked"), F.coalesce(F.col("redacted"), spare, F.lit("PRIVATE_0")))
+        *detections.columns, "applied", "why_not", private.alias("is_private"),
+        F.when(private & F.col("kind").isNull(), F.coalesce("mark_kind", F.lit("PRIVATE"))).otherwise(F.col("kind")).alias("shown_kind"),
+        F.when(F.col("applied") & ~F.col("is_marked"), F.col("original"))
+        .when(F.col("applied") & F.col("is_marked"), F.coalesce("redacted", "mark_token", "original"))
         .otherwise(F.col("current"))
         .alias("shown"),
     )
 
 
 def mark_tokens(
-    marked: DataFrame, scope: Sequence[str], item: str = "item_id", ord_col: str = "item_ord", value: str = "value"
-) -> DataFrame:
-    """Numbered PRIVATE tokens for marked items that carry no detection: ``item, mark_token``.
+    marked: DataFrame, scope: Sequence[str], ord_col: str = "item_ord", value: str = "value", tokens: DataFrame | None = None,
+    keep: Sequence[str] = ("item_id",),
+) -> tuple[DataFrame, DataFrame]:
+    """Tokens for marked items that carry no detection: ``scope, keep, mark_kind, mark_token``; and the scope's map with them.
 
-    Equal values of a scope share a token; numbers follow ``ord_col``.
+    Values that the map ``tokens`` holds keep their token, others go on after its
+    highest number in ``ord_col``; equal values of a scope share a token.
     """
-    keyed = marked.filter(R.trim(F.col(value)) != "").withColumns(
-        {"_kind": F.lit("PRIVATE"), "norm_key": R.norm_key("PRIVATE", F.col(value))}
-    )
+    scope = list(scope)
+    keyed = marked.filter(R.trim(F.coalesce(F.col(value), F.lit(""))) != "").withColumn("_kind", _mark_kind(marked, value))
+    order = F.col(ord_col).cast("bigint") if dict(marked.dtypes)[ord_col] != "string" else F.xxhash64(ord_col)
+    kept = [c for c in dict.fromkeys([*scope, *keep])]
     mentions = keyed.select(
-        *scope, F.col(ord_col).alias("item_ord"), F.lit(0).alias("phase"), F.lit(0).alias("pos"),
-        F.col("_kind").alias("kind"), F.col(value).alias("raw"), "norm_key",
+        *kept, order.alias("item_ord"), F.lit(0).alias("phase"), F.lit(0).alias("pos"), F.col("_kind").alias("kind"),
+        F.col(value).alias("raw"), R.norm_key(F.col("_kind"), F.col(value)).alias("norm_key"),
     )
-    tokens = assign_tokens(mentions, scope, aliases=False).select(*scope, "norm_key", F.col("token").alias("mark_token"))
-    return null_safe_join(keyed, tokens, [*scope, "norm_key"]).select(*scope, item, "mark_token")
+    named, every = token_mentions(mentions, no_tokens(mentions, scope) if tokens is None else tokens, scope)
+    return named.select(*kept, F.col("kind").alias("mark_kind"), F.col("token").alias("mark_token")), every
+
+
+def field_detections(
+    fields: DataFrame, overrides: DataFrame, tokens: DataFrame, scope: str = "page_id", ord_col: str = "node_ord"
+) -> tuple[DataFrame, DataFrame]:
+    """Fields of the review list as their detections and the decisions about them leave them; and the scope's map.
+
+    ``fields``: scope, item_id, order, label, type, value, kind, token, locked,
+    authentication.  Sign-in fields are left out.  A field is listed when it has a
+    record (it is locked, detected and not unmarked, or marked and not empty) or when
+    someone decided about it; ``has_record`` tells which.
+    """
+    keys = [scope, "item_id"]
+    d = null_safe_join(fields.filter(~F.col("authentication")), latest_overrides(overrides, keys), keys, "left")
+    decided = F.col("is_marked").isNotNull() & ~F.col("locked")
+    filled = R.trim(F.coalesce("value", F.lit(""))) != ""
+    by_hand = d.filter(decided & F.col("is_marked") & F.col("kind").isNull() & filled)
+    marks, every = mark_tokens(by_hand, [scope], ord_col, "value", tokens, keep=["item_id"])
+    d = null_safe_join(d, marks, keys, "left")
+    found = F.col("kind").isNotNull() & filled & ~(decided & ~F.coalesce("is_marked", F.lit(False)))
+    record = F.col("locked") | found | F.col("mark_token").isNotNull()
+    listed = d.filter(record | decided)
+    return listed.select(
+        scope, "item_id", F.lit("field").alias("source"), "label",
+        F.when(record, F.coalesce("kind", "mark_kind")).otherwise(F.lit("PRIVATE")).alias("kind"),
+        F.when(~F.col("locked"), F.col("value")).alias("original"),
+        F.when(F.col("locked"), F.lit("")).when(record, F.coalesce("token", "mark_token")).otherwise(F.lit("")).alias("redacted"),
+        "locked", record.alias("has_record"),
+    ), every
 
 
 def display_kinds(reviewed: DataFrame, shown: int | None = None) -> DataFrame:

@@ -70,6 +70,22 @@ def redact_scopes(
     return named, tokens
 
 
+def redact_more(
+    items: DataFrame, tokens: DataFrame, scope: Sequence[str], ord_col: str = "item_ord", text: str = "text", *, radix: Sequence[int] = DENSE, **options
+) -> tuple[DataFrame, DataFrame]:
+    """Rewrite further items of scopes whose token map is there already; returns (items with ``redacted``, whole token map).
+
+    Known values and names keep their tokens, new ones go on after the highest; an
+    item sees all names whose first place is not behind its own.
+    """
+    scope = list(scope)
+    found = checkpointed(item_entities(items, scope, ord_col, text, **options))
+    tokens = checkpointed(tokens.unionByName(extend_tokens(tokens, found, scope, radix=radix)))
+    done, found, tokens = _rewritten(items, found, tokens, scope, ord_col, text, radix, options)
+    people = tokens.filter(F.col("kind") == "PERSON").select(*scope, "first_seq.*", "norm_key")
+    return substitute_names(done, people, tokens, scope, ord_col, text, False, radix), tokens
+
+
 def _rewritten(
     items: DataFrame, found: DataFrame, tokens: DataFrame, scope: list[str], ord_col: str, text: str, radix: Sequence[int], options: dict
 ) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -116,6 +116,22 @@ def extend_tokens(
     )
 
 
+def token_mentions(mentions: DataFrame, tokens: DataFrame, scope: Sequence[str] = (), **options) -> tuple[DataFrame, DataFrame]:
+    """``mentions`` with the ``token`` of each, and the token map that holds them all.
+
+    Mentions are entities with any further columns: marks that people set, details
+    seen on pictures.  They share the scope's numbers with what the map holds.
+    """
+    scope = list(scope)
+    every = checkpointed(tokens.unionByName(extend_tokens(tokens, mentions, scope, **options)))
+    return null_safe_join(mentions, every.select(*scope, "kind", "norm_key", "token"), [*scope, "kind", "norm_key"]), every
+
+
+def no_tokens(entities: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
+    """An empty token map for the scopes of an entity table."""
+    return assign_tokens(entities.limit(0), scope, aliases=False)
+
+
 def resolve_person_aliases(
     persons: DataFrame, scope: Sequence[str], radix: Sequence[int] = DENSE, before: DataFrame | None = None
 ) -> DataFrame:

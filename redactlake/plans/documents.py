@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from redactlake.functions import rules as R
+from redactlake.operators import leaks as L
 from redactlake.operators import redaction as X
 from redactlake.operators import tokens as T
 from redactlake.plans import duck as D
@@ -78,34 +79,51 @@ def corpus_tokens(spark, folder):
     return tokens.select("kind", "norm_key", "n", "token", "mentions")
 
 
-@query("SELECT CAST(count(*) AS BIGINT) AS items, CAST(0 AS BIGINT) AS unsafe FROM documents")
+# Outgoing texts of which some are not what they should be: every fourth document goes out as it is.
+_OUT = "CASE WHEN d.doc_id % 4 = 0 THEN d.text ELSE r.t END"
+
+
+def _outgoing(spark, folder):
+    rows = X.redact_rows(_docs(spark, folder)).select("doc_id", "text", "redacted", "entities")
+    return rows.withColumn("sent", F.when(F.col("doc_id") % 4 == 0, F.col("text")).otherwise(F.col("redacted")))
+
+
+@query(
+    f"""{_NUMBERED} SELECT count(*) AS items, count(*) FILTER (d.doc_id % 4 = 0 AND d.text <> r.t) AS unsafe,
+    list_sort(list(d.doc_id) FILTER (d.doc_id % 4 = 0 AND d.text <> r.t)) AS blocked FROM documents d JOIN t_DOB r ON r.id = d.doc_id"""
+)
 def doc_leak_audit(spark, folder):
-    """Redacting the redacted text again changes nothing, in any document."""
-    rows = X.redact_rows(_docs(spark, folder)).select("doc_id", "redacted")
-    audited = X.leak_audit(rows)
-    return audited.agg(F.count(F.lit(1)).alias("items"), F.count_if(~F.col("is_safe")).alias("unsafe"))
+    """Redacting a redacted text again changes nothing; what still holds a detail is blocked."""
+    audited = X.leak_audit(_outgoing(spark, folder).select("doc_id", "sent"), "sent")
+    unsafe = ~F.col("is_safe")
+    return audited.agg(
+        F.count(F.lit(1)).alias("items"), F.count_if(unsafe).alias("unsafe"), F.sort_array(F.collect_list(F.when(unsafe, F.col("doc_id")))).alias("blocked")
+    )
 
 
 @query(
-    f"""{_NUMBERED}, v AS (SELECT DISTINCT id, trim(m) m FROM (SELECT id, raw m FROM ({_ENTITIES})) WHERE length(trim(m)) >= 3)
-    SELECT DISTINCT v.id AS doc_id, v.m AS value FROM v JOIN t_DOB r ON r.id = v.id AND contains(r.t, v.m)"""
+    f"""{_NUMBERED}, v AS (SELECT id, kind, norm_key, arg_max(trim(raw), (phase, pos)) m FROM ({_ENTITIES}) GROUP BY id, kind, norm_key)
+    SELECT DISTINCT d.doc_id, v.m AS value FROM documents d JOIN t_DOB r ON r.id = d.doc_id JOIN v ON v.id = d.doc_id
+    WHERE length(v.m) >= 3 AND contains({_OUT}, v.m)"""
 )
 def doc_known_value_leaks(spark, folder):
-    """Raw values of a document that its redacted text still contains."""
-    rows = X.redact_rows(_docs(spark, folder)).select("doc_id", "redacted", "entities")
-    values = F.array_distinct(F.transform("entities", lambda e: R.trim(e["raw"])))
-    left = F.filter(values, lambda v: (F.length(v) >= 3) & F.contains(F.col("redacted"), v))
-    return rows.select("doc_id", F.explode_outer(left).alias("value")).filter(F.col("value").isNotNull())
+    """Stored values of a document that its outgoing text still contains."""
+    items = _outgoing(spark, folder)
+    found = items.select("doc_id", F.col("doc_id").alias("item_ord"), F.inline_outer("entities")).filter("kind IS NOT NULL").drop("token")
+    tokens = T.assign_tokens(found, ["doc_id"], aliases=False)
+    return L.known_value_leaks(items.select("doc_id", "sent"), tokens, ["doc_id"], [], "sent").select("doc_id", "value")
 
 
-@query("SELECT doc_id, text AS restored FROM documents")
+@query(f"{_NUMBERED} SELECT d.doc_id, CASE WHEN d.doc_id % 5 = 0 AND d.text <> r.t THEN r.t || ' edited' ELSE d.text END AS restored FROM documents d JOIN t_DOB r ON r.id = d.doc_id")
 def doc_restore_roundtrip(spark, folder):
-    """Vault of the changed documents, then restore: gives the original texts."""
+    """Vault of the changed documents, then restore: gives the original texts, but for those that someone edited since."""
     rows = X.redact_rows(_docs(spark, folder)).select("doc_id", "text", "redacted")
     vault = rows.filter(F.col("redacted") != F.col("text")).select(
         "doc_id", F.col("text").alias("original"), F.col("redacted").alias("shown")
     )
-    return T.restore(rows.select("doc_id", "redacted"), vault, ["doc_id"]).select("doc_id", "restored")
+    edited = (F.col("doc_id") % 5 == 0) & (F.col("redacted") != F.col("text"))
+    now = rows.select("doc_id", F.when(edited, F.concat("redacted", F.lit(" edited"))).otherwise(F.col("redacted")).alias("redacted"))
+    return T.restore(now, vault, ["doc_id"]).select("doc_id", "restored")
 
 
 # --- line rules on derived texts ---------------------------------------------

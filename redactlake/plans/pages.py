@@ -201,7 +201,42 @@ def _derived_pages(spark, folder):
     return pageview.resolved_pages(derive(spark, folder, fx.HTML_PAGES))
 
 
-@query()
+_K = "c_custkey"
+_ONE_PAGE = {
+    "page_fields": (
+        (0, 21, "'Email'", fx.email(_K), "email", False, False), (0, 24, "'Mobile'", fx.phone(_K), "text", False, False),
+        (1, 4, "'Email'", "''", "email", False, True), (1, 7, "'Password'", "''", "password", True, False),
+        (3, 12, "'Full name'", fx.full_name(f"{_K} + 1"), "text", False, False), (3, 15, "'OTP'", "''", "text", True, False),
+    ),
+    # what the rules leave of each page of the four sorts, by place of the text
+    "texts": {
+        0: {7: "Overview", 11: "Customer name", 13: "PERSON_1", 16: "Account No", 18: "ACCOUNT_1", 20: "Email ", 23: "Mobile ", 27: "UPI ID: UPI_1"},
+        1: {3: "Email ", 6: "Password ", 9: "Sign in", 11: "Name: PERSON_1", 13: "Call MOBILE_1"},
+        2: {3: "Account holder", 5: "A/c no", 7: "Balance", 11: "PERSON_1", 13: "ACCOUNT_1", 15: "90.00", 17: "Hello PERSON_1"},
+        3: {2: "Name:", 4: "PERSON_1", 7: "Cell phone:", 9: "MOBILE_1", 11: "Full name ", 14: "OTP ", 17: "PERSON_2 was here"},
+    },
+    "fields": {0: ["Email: EMAIL_1", "Mobile: MOBILE_1"], 1: ["Password: [HIDDEN]"], 2: [], 3: ["Full name: PERSON_2", "OTP: [HIDDEN]"]},
+}
+
+
+# the field's name is the first one's alias if they have a word in common
+_SECOND = f"CASE WHEN len(list_intersect(string_split({fx.full_name(_K)}, ' '), string_split({fx.full_name(_K + ' + 1')}, ' '))) > 0 THEN 'PERSON_1' ELSE 'PERSON_2' END"
+
+
+def _per_page(rows: list[str]) -> str:
+    return " UNION ALL ".join(rows)
+
+
+def _said(text: str) -> str:
+    return f"replace({D.q(text)}, 'PERSON_2', {_SECOND})" if "PERSON_2" in text else D.q(text)
+
+
+@query(
+    _per_page([
+        f"SELECT {_K} AS page_id, CAST({n} AS INT) AS node_ord, {_K} || ':{n}' AS field_id, {label} AS label, {value} AS value, '{kind}' AS type, {locked} AS locked,"
+        f" {signs} AS authentication FROM customer WHERE {_K} % 4 = {sort}" for sort, n, label, value, kind, locked, signs in _ONE_PAGE["page_fields"]
+    ])
+)
 def page_fields(spark, folder):
     return pageview.page_fields(_derived_pages(spark, folder))
 
@@ -218,14 +253,31 @@ def page_redacted_nodes(spark, folder):
     return texts.select("page_id", "node_ord", "redacted")
 
 
-@query()
+@query(
+    _per_page([
+        f"SELECT {_K} AS page_id, CAST({n} AS INT) AS node_ord, {_said(text)} AS redacted FROM customer WHERE {_K} % 4 = {sort}"
+        for sort, texts in _ONE_PAGE["texts"].items() for n, text in texts.items()
+    ])
+)
 def form_pages_redacted(spark, folder):
     """Derived pages with forms, tables and label pairs."""
     texts, _, _ = _whole_pages(spark, folder)
     return texts.select("page_id", "node_ord", "redacted")
 
 
-@query()
+@query(
+    _per_page([
+        f"SELECT {_K} AS page_id, concat_ws(chr(10), {', '.join(_said(t.strip()) for t in [*texts.values(), *_ONE_PAGE['fields'][sort]])}"
+        + f" {', ' + D.q('free: PERSON_1 and MOBILE_') + ' || CASE WHEN ' + _K + ' % 4 IN (0, 1, 3) THEN 2 ELSE 1 END' if sort in (1, 3) else ''}) AS safe_context,"
+        f" true AS is_safe FROM customer WHERE {_K} % 4 = {sort}" for sort, texts in _ONE_PAGE["texts"].items()
+    ])
+)
 def safe_contexts(spark, folder):
-    texts, fields, _ = _whole_pages(spark, folder)
-    return P.page_contexts(texts, fields)
+    """Outgoing contexts; pages of two sorts have a further field whose value no rule knows, with a known name and a new number in it."""
+    texts, fields, tokens = _whole_pages(spark, folder)
+    lone = derive(spark, folder, f"SELECT {_K} AS page_id, {fx.full_name(_K)} || ' and ' || {fx.phone(_K + ' + 5')} AS value FROM customer WHERE {_K} % 4 IN (1, 3)")
+    lone = lone.select(
+        "page_id", F.lit(10_000).alias("node_ord"), F.lit("free").alias("field_id"), F.lit("free").alias("label"), "value", F.lit("text").alias("type"),
+        F.lit(False).alias("locked"), F.lit(False).alias("authentication"), F.lit(None).cast("string").alias("kind"), F.lit(None).cast("string").alias("token"),
+    )
+    return P.page_contexts(texts, fields.select(lone.columns).unionByName(lone), tokens)

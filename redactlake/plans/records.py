@@ -112,18 +112,23 @@ def ocr_candidates(spark, folder):
     return V.ocr_candidates(_ocr(spark, folder), 2.0)
 
 
+_SHEET = "(image_id - image_id % 20)"
+
+
 @query(
-    f"""{_OCR}, m AS (SELECT image_id, line_ord, kind, {D.norm_key('kind', 'raw')} k, x, y FROM o3 WHERE kind IS NOT NULL),
-    n AS (SELECT kind, k, row_number() OVER (PARTITION BY kind ORDER BY min((image_id, line_ord))) n FROM m GROUP BY kind, k)
-    SELECT image_id, line_ord, kind, kind || '_' || n AS token, x, y FROM m JOIN n USING (kind, k)"""
+    f"""{_OCR}, c AS (SELECT {_SHEET} sheet, image_id, line_ord, kind, {D.norm_key('kind', 'raw')} k, x, y FROM o3 WHERE kind IS NOT NULL AND kind <> 'PERSON'),
+    old AS (SELECT sheet, kind, k, row_number() OVER (PARTITION BY sheet, kind ORDER BY min((image_id, line_ord))) n FROM c WHERE image_id % 20 < 10 GROUP BY sheet, kind, k),
+    new AS (SELECT sheet, kind, k, coalesce((SELECT max(n) FROM old o WHERE o.sheet = c.sheet AND o.kind = c.kind), 0)
+      + row_number() OVER (PARTITION BY sheet, kind ORDER BY min((image_id, line_ord))) n
+      FROM c WHERE image_id % 20 >= 10 AND NOT EXISTS (FROM old o WHERE o.sheet = c.sheet AND o.kind = c.kind AND o.k = c.k) GROUP BY sheet, kind, k)
+    SELECT c.sheet, image_id, line_ord, kind, kind || '_' || n AS token, x, y FROM c JOIN (FROM old UNION ALL FROM new) USING (sheet, kind, k) WHERE image_id % 20 >= 10"""
 )
 def register_visual(spark, folder):
-    """Tokens for recognised lines; the raw text is dropped from the output."""
-    found = V.with_norm_key(V.ocr_candidates(_ocr(spark, folder)))
-    mentions = found.select(
-        F.col("image_id").alias("item_ord"), F.lit(0).alias("phase"), F.col("line_ord").alias("pos"), "kind", "raw", "norm_key"
-    )
-    tokens = T.assign_tokens(mentions, [], aliases=False)
-    return found.join(tokens.select("kind", "norm_key", "token"), ["kind", "norm_key"]).select(
-        "image_id", "line_ord", "kind", "token", "x", "y"
+    """Recognised lines of a sheet's later pictures share the token map that its earlier ones made; their text is dropped."""
+    found = V.ocr_candidates(_ocr(spark, folder)).filter("kind <> 'PERSON'").withColumn("sheet", F.col("image_id") - F.col("image_id") % 20)
+    early = V.with_norm_key(found.filter("image_id % 20 < 10")).select(
+        "sheet", F.col("image_id").alias("item_ord"), F.lit(0).alias("phase"), F.col("line_ord").alias("pos"), "kind", "raw", "norm_key"
     )
+    tokens = T.assign_tokens(early, ["sheet"])
+    named, _ = V.register_visual(found.filter("image_id % 20 >= 10"), tokens, ["sheet"])
+    return named.select("sheet", "image_id", "line_ord", "kind", "token", "x", "y")
