@@ -14,6 +14,7 @@ from redactlake.plans.documents import _NUMBERED
 from redactlake.plans.registry import query
 from redactlake.plans.tables import derive, table
 from redactlake.streaming import jobs as S
+from redactlake.streaming import state as Z
 
 # kinds in order of appearance, from the tokens of the redacted text
 _KIND_LIST = r"""CASE WHEN len(regexp_extract_all(redacted, '\b[A-Z]+_[0-9]+\b')) = 0 THEN 'PRIVATE' ELSE array_to_string(list_transform(list_filter(
@@ -210,7 +211,10 @@ def prune_missing(spark, folder):
     return W.prune_missing(*_two_scans(spark, folder), ["doc_id"]).select("doc_id", "redacted")
 
 
-@query()
+_AGAIN = f"{_STATE}, {_NEXT}, src2 AS (SELECT doc_id AS id, current AS t FROM nx),{D.pattern_passes('src2', prefix='again_')}"
+
+
+@query(f"{_AGAIN} SELECT doc_id, current, CASE WHEN current = redacted THEN current ELSE r.t END AS redacted FROM nx JOIN st USING (doc_id) JOIN again_t_DOB r ON r.id = doc_id")
 def rescan_changed(spark, folder):
     """Only the replaced documents are redacted again; the others keep their text."""
     return W.rescan(*_two_scans(spark, folder), ["doc_id"])
@@ -266,8 +270,26 @@ def recent_events_40(spark, folder):
     return W.recent_audit(events, ["user_id"], "ts", "event_id").drop("ts")
 
 
-@query()
-def redact_stream(spark, folder):
-    """Conversation turns arriving as a stream; tokens stay stable per conversation."""
-    items = derive(spark, folder, fx.CONVERSATION_ITEMS)
-    return S.run_redact_stream(spark, items)
+@query(
+    f"""{_AGAIN} SELECT CAST(d.doc_id AS VARCHAR) AS scope, CASE WHEN st.doc_id IS NULL THEN 'plain' WHEN st.doc_id % 3 = 1 THEN 'replaced' WHEN st.doc_id % 5 = 0 THEN 'unmarked' ELSE 'ours' END AS change,
+    CASE WHEN st.doc_id IS NULL OR (st.doc_id % 3 = 2 AND st.doc_id % 5 = 0) THEN d.text WHEN st.doc_id % 3 = 1 THEN r.t ELSE st.redacted END AS shown,
+    coalesce(st.doc_id % 3 = 1 OR st.doc_id % 5 <> 0, false) AS is_private
+    FROM documents d LEFT JOIN st USING (doc_id) LEFT JOIN again_t_DOB r ON r.id = d.doc_id WHERE st.doc_id IS NULL OR st.doc_id % 3 <> 0"""
+)
+def revised_stream(spark, folder):
+    """Documents in three revisions: put; removed, replaced or shown as we wrote them; some unmarked."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    state, now = _two_scans(spark, folder)
+
+    def events(rows, rev, event, text):
+        scope = F.col("doc_id").cast("string")
+        order = F.lit(0).cast("bigint").alias("item_ord")
+        return rows.select(
+            scope.alias("scope"), F.lit("d").alias("item_id"), F.lit(rev).cast("bigint").alias("rev"), order, F.lit(event).alias("event"), text.alias("text")
+        )
+
+    none = F.lit(None).cast("string")
+    second = events(now, 2, "put", F.col("current")).unionByName(events(state.filter("doc_id % 3 = 0"), 2, "delete", none))
+    third = events(state.filter("doc_id % 3 = 2 AND doc_id % 5 = 0"), 3, "unmark", none)
+    records = S.run_revisions(spark, [events(docs, 1, "put", F.col("text")), second, third])
+    return Z.latest_items(records).select("scope", "change", "shown", "is_private")

@@ -142,8 +142,10 @@ def _sec_account(label: str, value: str) -> str:
     )
 
 
-def line_phases(source: str) -> str:
-    """CTEs for account lines, label lines and greetings over (id, t); tokens are KIND_0."""
+def line_phases(source: str, placed: bool = False) -> str:
+    """CTEs for account lines, label lines and greetings over (id, t); tokens are KIND_0, if ``placed`` each with its spot."""
+    spot = lambda phase, i: f" || {D.spot(phase, i)}" if placed else ""
+    bare = f"regexp_replace(v, '{D.ANY_SPOT}', '', 'g')" if placed else "v"
     g = lambda i: f"regexp_extract(x, {D.q(_INLINE)}, {i})"
     la = lambda i: D.trim(f"regexp_extract(x, {D.q(_LABEL)}, {i})")
     common = ", ".join(f"'{w}'" for w in R.COMMON_WORDS)
@@ -153,19 +155,19 @@ l1 AS MATERIALIZED (SELECT *, {D.has('x', _INLINE)} AND {_sec_account(g(1), g(3)
 l2 AS MATERIALIZED (SELECT *, CASE WHEN fired THEN false ELSE coalesce(NOT lag(fired) OVER w AND {_sec_account('coalesce(lag(x) OVER w, chr(0))', 'x')}, false) END paired
   FROM l1 WINDOW w AS (PARTITION BY id ORDER BY i)),
 ea AS MATERIALIZED (SELECT id, i, 'ACCOUNT' kind, CASE WHEN fired THEN {g(3)} ELSE {D.trim('x')} END raw FROM l2 WHERE fired OR paired),
-l3 AS MATERIALIZED (SELECT id, i, CASE WHEN fired THEN {g(1)} || {g(2)} || 'ACCOUNT_0' || {g(4)}
-  WHEN paired THEN replace(x, {D.trim('x')}, 'ACCOUNT_0') ELSE x END x FROM l2),
+l3 AS MATERIALIZED (SELECT id, i, CASE WHEN fired THEN {g(1)} || {g(2)} || 'ACCOUNT_0'{spot(1, 'i')} || {g(4)}
+  WHEN paired THEN replace(x, {D.trim('x')}, 'ACCOUNT_0'{spot(1, 'i')}) ELSE x END x FROM l2),
 b1 AS MATERIALIZED (SELECT id, i, x, {la(1)} label, {la(2)} own, {D.trim("coalesce(lead(x) OVER (PARTITION BY id ORDER BY i), '')")} below, {D.has('x', _LABEL)} is_label FROM l3),
 b2 AS MATERIALIZED (SELECT *, CASE WHEN own <> '' THEN own ELSE below END v, {D.label_kind('label')} bl FROM b1),
 b3 AS MATERIALIZED (SELECT *, CASE WHEN is_label AND {D.few_words('label')} AND NOT {D.prompt_like('v')}
-  AND NOT {D.has('v', f'(?i)^[A-Z]+_[0-9]+({D.SP}+[A-Z]+_[0-9]+)*$')} THEN {D.decide('label', 'bl', 'v', 'v', "''")} END kind FROM b2),
+  AND NOT {D.has(bare, f'(?i)^[A-Z]+_[0-9]+({D.SP}+[A-Z]+_[0-9]+)*$')} THEN {D.decide('label', 'bl', 'v', 'v', "''")} END kind FROM b2),
 b4 AS MATERIALIZED (SELECT *, kind IS NOT NULL AND own = '' takes FROM b3),
 b5 AS MATERIALIZED (SELECT *, sum(CASE WHEN takes THEN 0 ELSE 1 END) OVER (PARTITION BY id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) run FROM b4),
 b6 AS MATERIALIZED (SELECT *, coalesce(lag(takes) OVER w AND (count(*) FILTER (takes) OVER (PARTITION BY id, coalesce(run, 0) ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) % 2 = 1, false) taken
   FROM b5 WINDOW w AS (PARTITION BY id ORDER BY i)),
 eb AS MATERIALIZED (SELECT id, i, kind, v raw FROM b6 WHERE kind IS NOT NULL AND NOT taken),
-b7 AS MATERIALIZED (SELECT id, i, CASE WHEN taken THEN CASE WHEN lag(kind) OVER w IN ('PASSWORD', 'OTP') THEN '[HIDDEN]' ELSE lag(kind) OVER w || '_0' END
-  WHEN kind IS NOT NULL AND own <> '' THEN regexp_extract(x, '^[^:-]*[:-]', 0) || ' ' || CASE WHEN kind IN ('PASSWORD', 'OTP') THEN '[HIDDEN]' ELSE kind || '_0' END
+b7 AS MATERIALIZED (SELECT id, i, CASE WHEN taken THEN CASE WHEN lag(kind) OVER w IN ('PASSWORD', 'OTP') THEN '[HIDDEN]' ELSE lag(kind) OVER w || '_0'{spot(2, 'lag(i) OVER w')} END
+  WHEN kind IS NOT NULL AND own <> '' THEN regexp_extract(x, '^[^:-]*[:-]', 0) || ' ' || CASE WHEN kind IN ('PASSWORD', 'OTP') THEN '[HIDDEN]' ELSE kind || '_0'{spot(2, 'i')} END
   ELSE x END x FROM b6 WINDOW w AS (PARTITION BY id ORDER BY i)),
 tb AS MATERIALIZED (SELECT id, string_agg(x, chr(10) ORDER BY i) t FROM b7 GROUP BY id),
 g1 AS MATERIALIZED (SELECT id, t, regexp_split_to_array(t, {D.q(_GREET)}) ps, regexp_extract_all(t, {D.q(_GREET)}) ms FROM tb),
@@ -173,7 +175,7 @@ g2 AS MATERIALIZED (SELECT id, i, ps[i] piece, ms[i] m, regexp_extract(ms[i], {D
   regexp_extract(ms[i], {D.q(_GREET)}, 3) nm FROM (SELECT *, unnest(range(1, len(ps) + 1)) i FROM g1)),
 eg AS MATERIALIZED (SELECT id, i, 'PERSON' kind, nm raw FROM g2 WHERE m IS NOT NULL
   AND len(list_filter(string_split_regex(nm, {D.q(D.SP + '+')}), lambda w: lower(w) NOT IN ({common}))) > 0),
-tg AS MATERIALIZED (SELECT g.id, string_agg(piece || CASE WHEN e.raw IS NOT NULL THEN pre || 'PERSON_0' ELSE coalesce(m, '') END, '' ORDER BY g.i) t
+tg AS MATERIALIZED (SELECT g.id, string_agg(piece || CASE WHEN e.raw IS NOT NULL THEN pre || 'PERSON_0'{spot(3, 'g.i')} ELSE coalesce(m, '') END, '' ORDER BY g.i) t
   FROM g2 g LEFT JOIN eg e ON e.id = g.id AND e.i = g.i GROUP BY g.id)"""
 
 

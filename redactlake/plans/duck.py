@@ -8,6 +8,8 @@ characters and patterns match against the marks.
 
 from __future__ import annotations
 
+import re
+
 SP = r"[ \t\n\r\f\x0b\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
 SP_IN = SP[1:-1]
 
@@ -178,10 +180,19 @@ def _mark(v: str) -> str:
     return f"regexp_replace({runs}, '([ -])\\x01', chr(3) || '\\1' || chr(1), 'g')"
 
 
-def pattern_passes(source: str, style: str = "numbered", kinds: tuple[str, ...] = TEXT_KINDS) -> str:
+def spot(phase: int, i: str) -> str:
+    """A private character that tells one token of an item from all others, for texts whose tokens are numbered later."""
+    return f"chr(CAST(57344 + {400 * phase} + {i} AS INT))"
+
+
+ANY_SPOT = r"[\x{e000}-\x{f8ff}]"
+
+
+def pattern_passes(source: str, style: str = "numbered", kinds: tuple[str, ...] = TEXT_KINDS, prefix: str = "") -> str:
     """CTEs ``e_<kind>`` (accepted matches) and ``t_<kind>`` (text after the pass).
 
-    ``source`` names a relation (id, t).  Each item is its own scope.
+    ``source`` names a relation (id, t).  Each item is its own scope; in style
+    ``placed`` tokens are KIND_0 and a :func:`spot`.
     """
     ctes, prev = [], source
     for kind in kinds:
@@ -194,8 +205,9 @@ def pattern_passes(source: str, style: str = "numbered", kinds: tuple[str, ...]
             ok += f" AND NOT {valid('EMAIL', 'v')}"
         if kind in ("EMAIL", "UPI"):
             ok += f" AND NOT {has('v', '(?i)' + chr(92) + 'bINR' + chr(92) + 'b')}"
-        token = f"'{kind}_0'" if style == "kind_only" else f"'{kind}_' || n.n"
-        ctes.append(f"""
+        placed = f"'{kind}_0' || {spot(4 + TEXT_KINDS.index(kind), 'e.i')}"
+        token = {"kind_only": f"'{kind}_0'", "placed": placed}.get(style, f"'{kind}_' || n.n")
+        step = f"""
 x_{kind} AS MATERIALIZED (
   SELECT id, t, regexp_split_to_array({base}, {q(shape)}) ps, regexp_extract_all({base}, {q(shape)}) ms FROM {prev}),
 y_{kind} AS MATERIALIZED (
@@ -210,8 +222,9 @@ n_{kind} AS MATERIALIZED (
 t_{kind} AS MATERIALIZED (
   SELECT y.id, string_agg(y.piece || CASE WHEN e.k IS NOT NULL THEN {token} ELSE coalesce(y.m, '') END, '' ORDER BY y.i) t
   FROM y_{kind} y LEFT JOIN e_{kind} e ON y.id = e.id AND y.i = e.i LEFT JOIN n_{kind} n ON e.id = n.id AND e.k = n.k
-  GROUP BY y.id)""")
-        prev = f"t_{kind}"
+  GROUP BY y.id)"""
+        ctes.append(re.sub(rf"\b([xyent])_{kind}\b", rf"{prefix}\1_{kind}", step))
+        prev = f"{prefix}t_{kind}"
     return ",".join(ctes)
 
 
