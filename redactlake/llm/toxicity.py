@@ -1,23 +1,29 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-Words are mapped to classes by small transducers, the class sequence of each
-clause runs through a composed automaton, and the document's score combines the
-weights of the matched clauses.
+Every word is a symbol: insult, threat, target, negation, reporting verb, passive
+verb, or none of these; punctuation ends a clause.  Small transducers, each a
+table of states and symbols, are composed into one table of transitions, which
+reads a text once:
 
-* insult: stems with learned weights, and a few fixed words;
-* threat: a threat word counts only when a target follows in its clause;
-* target: a person word in the clause of an insult raises it;
-* negation: an insult within three words after a negation is *denied*;
-* reported speech: an insult after a reporting verb in its clause is *reported*.
+* negation: an insult or threat within three words after a negation is *denied*;
+* report: after a reporting verb everything in the clause is *reported*;
+* threat: a threat that is not denied, with a target after it, or before it and a
+  passive verb between them;
+* target: a person word in the clause of an insult raises it.
+
+An insult's weight goes to the lane of its marks as it is read; a clause's end adds
+what its state says.  Insults are stems with learned weights and a few fixed words.
 
 Affirmed, denied and reported matches are summed apart; a logistic model
 fitted on labelled rows turns the three sums into a score, so that the labels
 decide how much a denied or reported insult counts.
 
 Learning uses a bounded sample (``sample_rows``) of labelled rows outside the
-held-out fifth, those with the smallest hash of their id.  A stem is the most
-specific word prefix that keeps 95 % of the support of a significant one.  The
-score of a document depends on its text alone.
+held-out fifth, those with the smallest hash of their id.  A prefix, or a whole word
+of any length, is learned if toxic texts hold it far more often than chance would
+have it; near copies count as one text.  A stem is the most specific prefix that
+keeps 95 % of the support of a significant one.  The score of a document depends on
+its text alone.
 
 Defined cases: null text counts as empty; empty texts get the score of no
 match; null ids are scored and not held out, labels without id or toxic are ignored, of several
@@ -43,15 +49,23 @@ from redactlake.llm.tables import replace_columns, small_batches, tidied
 
 SAMPLE_ROWS = 20_000
 _SHORTEST, _LONGEST = 4, 12
+_SURPRISE = 18.0
 _MOST_STEMS = 2_000
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?|[.!?;\n]")
 
 # Words of the grammar in the languages of the corpus.
 INSULTS = ("idiot", "moron", "imbecile", "stupid", "scum", "scumbag", "bastard", "asshole", "loser", "worthless", "pathetic", "disgusting", "trash", "dumb", "dumbass")
-THREATS = ("kill", "murder", "hurt", "destroy", "burn", "shoot", "stab", "strangle", "töten", "umbringen", "tuer", "matar")
+THREATS = (
+    "kill", "murder", "hurt", "destroy", "burn", "shoot", "stab", "strangle", "töten", "umbringen", "tuer", "matar",
+    "killed", "murdered", "destroyed", "burned", "shot", "stabbed", "strangled", "getötet", "umgebracht", "tué", "matado",
+)
 TARGETS = ("you", "your", "yours", "he", "she", "him", "her", "they", "them", "their", "people", "du", "dich", "dir", "ihr", "euch", "tu", "toi", "vous", "te", "ustedes", "vosotros")
-NEGATIONS = ("not", "no", "never", "isn't", "aren't", "wasn't", "don't", "doesn't", "nicht", "kein", "keine", "nie", "pas", "jamais", "nunca", "ni")
+NEGATIONS = (
+    "not", "no", "never", "isn't", "aren't", "wasn't", "don't", "doesn't", "cannot", "can't", "won't", "nobody", "none", "nothing", "neither", "nor", "hardly", "barely",
+    "scarcely", "nicht", "kein", "keine", "nie", "niemand", "kaum", "pas", "jamais", "personne", "nunca", "ni", "nadie", "apenas",
+)
 REPORTS = ("said", "says", "called", "calls", "wrote", "quoted", "quote", "claimed", "reported", "sagte", "nannte", "schrieb", "dit", "appelé", "écrit", "dijo", "llamó", "escribió")
+PASSIVES = ("be", "being", "been", "get", "gets", "got", "werden", "wirst", "wird", "werdet", "sera", "seras", "serez", "seront", "será", "serás", "serán")
 
 _NEGATION_REACH = 3
 _TARGET_BONUS, _THREAT_WEIGHT, _FIXED_WEIGHT = 1.25, 6.0, 3.0
@@ -72,55 +86,112 @@ class Grammar:
         return weight
 
 
+# --- transducers ---------------------------------------------------------------
+OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, PASSIVE, END = range(8)
+SYMBOLS = range(END)
+DENIED, REPORTED = 1, 2  # marks that a word is given
+AFFIRMED_LANE, DENIED_LANE, REPORTED_LANE = range(3)
+
+#: A transducer's table: for each state and symbol the next state and the marks of the word.
+Table = list[list[tuple[int, int]]]
+
+
+def negation_table(reach: int = _NEGATION_REACH) -> Table:
+    """The state counts the words that a negation still reaches."""
+    return [[(reach if x == NEGATION else max(state - 1, 0), DENIED if state and x in (INSULT, THREAT) else 0) for x in SYMBOLS] for state in range(reach + 1)]
+
+
+def report_table() -> Table:
+    return [[(int(state or x == REPORT), REPORTED if state else 0) for x in SYMBOLS] for state in (0, 1)]
+
+
+def target_table() -> Table:
+    return [[(int(state or x == TARGET), 0) for x in SYMBOLS] for state in (0, 1)]
+
+
+#: States of the threat by what has been read in this order; a target after a threat completes it, so does a threat after target and passive.
+NOTHING, THREATENED, AIMED, AIMED_PASSIVE, AIMED_THREATENED, AIMED_THREATENED_PASSIVE, COMPLETE = range(7)
+_THREAT_MOVES = {
+    (NOTHING, THREAT): THREATENED, (NOTHING, TARGET): AIMED, (THREATENED, TARGET): COMPLETE,
+    (AIMED, PASSIVE): AIMED_PASSIVE, (AIMED, THREAT): AIMED_THREATENED, (AIMED_PASSIVE, THREAT): COMPLETE,
+    (AIMED_THREATENED, TARGET): COMPLETE, (AIMED_THREATENED, PASSIVE): AIMED_THREATENED_PASSIVE,
+    (AIMED_THREATENED_PASSIVE, TARGET): COMPLETE, (AIMED_THREATENED_PASSIVE, THREAT): COMPLETE,
+}
+
+
+def threat_table() -> Table:
+    return [[(_THREAT_MOVES.get((state, x), state), 0) for x in SYMBOLS] for state in range(COMPLETE + 1)]
+
+
+def composed(first: Table, second: Table, hides: bool = False) -> Table:
+    """Both transducers side by side: states are pairs, numbered ``first * size + second``, and marks add up.
+
+    With ``hides`` the second one does not see threats that the first one marks as denied.
+    """
+    size, out = len(second), []
+    for i in range(len(first) * size):
+        a, b = divmod(i, size)
+        row = []
+        for x in SYMBOLS:
+            to_a, marks_a = first[a][x]
+            to_b, marks_b = second[b][OTHER if hides and x == THREAT and marks_a & DENIED else x]
+            row.append((to_a * size + to_b, marks_a | marks_b))
+        out.append(row)
+    return out
+
+
+def grammar_table() -> tuple[Table, list[tuple[bool, bool, bool]]]:
+    """All transducers in one table, and for each of its states whether a report, a complete threat and a target have been read."""
+    table = composed(composed(composed(negation_table(), threat_table(), hides=True), report_table()), target_table())
+    states = []
+    for i in range(len(table)):
+        rest, target = divmod(i, 2)
+        rest, report = divmod(rest, 2)
+        states.append((bool(report), rest % (COMPLETE + 1) == COMPLETE, bool(target)))
+    return table, states
+
+
 class Automaton:
-    """Runs the composed transducers over one text."""
+    """Runs the composed table over one text."""
 
     def __init__(self, grammar: Grammar):
         self.grammar = grammar
-        self.kinds: dict[str, tuple[str, float]] = {}
-        for kind, words in (("report", REPORTS), ("negation", NEGATIONS), ("target", TARGETS), ("threat", THREATS)):
-            self.kinds |= dict.fromkeys(words, (kind, 0.0))
-        self.kinds |= {w: ("end", 0.0) for w in ".!?;\n"}
-        self.cache: dict[str, tuple[str, float]] = dict(self.kinds)
+        self.table, self.states = grammar_table()
+        self.fixed: dict[str, tuple[int, float]] = {}
+        for symbol, words in ((PASSIVE, PASSIVES), (REPORT, REPORTS), (NEGATION, NEGATIONS), (TARGET, TARGETS), (THREAT, THREATS), (END, ".!?;\n")):
+            self.fixed |= dict.fromkeys(words, (symbol, 0.0))
+        self.cache: dict[str, tuple[int, float]] = dict(self.fixed)
 
-    def kind(self, word: str) -> tuple[str, float]:
+    def symbol(self, word: str) -> tuple[int, float]:
         found = self.cache.get(word)
         if found is None:
             weight = self.grammar.insult(word)
-            found = ("insult", weight) if weight else ("other", 0.0)
+            found = (INSULT, weight) if weight else (OTHER, 0.0)
             if len(self.cache) > 200_000:
-                self.cache = dict(self.kinds)
+                self.cache = dict(self.fixed)
             self.cache[word] = found
         return found
 
     def features(self, text: str | None) -> tuple[float, float, float]:
         """Affirmed, denied and reported weight of the matched clauses."""
-        total = [0.0, 0.0, 0.0]
-        clause: list[tuple[int, float]] = []
-        reported, denied, target, threat = False, 0, False, 0  # threat: 1 after a threat word, 2 with its target
+        total, clause, state = [0.0, 0.0, 0.0], [0.0, 0.0, 0.0], 0
         for word in [*_WORD.findall((text or "").lower()), "."]:
-            kind, weight = self.kind(word)
-            if kind == "other":
-                denied -= denied > 0
-            elif kind == "end":
-                if threat == 2:
-                    clause.append((2 if reported else 0, _THREAT_WEIGHT))
-                for lane, w in clause:
-                    total[lane] += w * (_TARGET_BONUS if target else 1.0)
-                clause, reported, denied, target, threat = [], False, 0, False, 0
-            elif kind == "insult":
-                clause.append((2 if reported else 1 if denied else 0, weight))
-                denied -= denied > 0
-            elif kind == "negation":
-                denied = _NEGATION_REACH
-            elif kind == "report":
-                reported = True
-            elif kind == "target":
-                target = True
-                threat = 2 if threat else 0
-                denied -= denied > 0
-            else:
-                threat = max(threat, int(not denied))
+            symbol, weight = self.symbol(word)
+            if symbol != END:
+                state, marks = self.table[state][symbol]
+                if symbol == INSULT:
+                    clause[REPORTED_LANE if marks & REPORTED else DENIED_LANE if marks & DENIED else AFFIRMED_LANE] += weight
+                continue
+            if state:
+                report, threat, target = self.states[state]
+                if threat:
+                    clause[REPORTED_LANE if report else AFFIRMED_LANE] += _THREAT_WEIGHT
+                if target:
+                    clause = [_TARGET_BONUS * w for w in clause]
+                state = 0
+            if any(clause):
+                total = [t + w for t, w in zip(total, clause, strict=True)]
+                clause = [0.0, 0.0, 0.0]
         return total[0], total[1], total[2]
 
     def score(self, text: str | None) -> float:
@@ -148,8 +219,11 @@ def _sample(docs: DataFrame, labels: DataFrame, text: str, ident: str, rows: int
 
 
 def _prefix_counts(sample: DataFrame) -> DataFrame:
-    """Documents of either label in which a word prefix occurs; exact copies count once."""
-    distinct = sample.groupBy(F.sha2(F.coalesce("text", F.lit("")), 256).alias("h")).agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+    """Documents of either label in which a word prefix occurs; near copies, which share their least shingle, count once."""
+    words = F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+")
+    starts = F.sequence(F.lit(1), F.greatest(F.size(words) - 4, F.lit(1)))
+    least = F.array_min(F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(words, i, F.lit(5)), " "))))
+    distinct = sample.groupBy(least.alias("h")).agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
 
     def count(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, Counter] = {0: Counter(), 1: Counter()}
@@ -182,12 +256,12 @@ def _stems(counts: list[tuple[str, int, int]], positives: int, negatives: int) -
     for p in by:
         if not p.startswith("$") and len(p) > _SHORTEST:
             longer.setdefault(p[:-1], []).append(p)
-        elif p.startswith("$"):
+        elif p.startswith("$") and len(p) > _SHORTEST:
             longer.setdefault(p[1 : 1 + _LONGEST], []).append(p)
     chosen: dict[str, float] = {}
     for p in by:
-        if p.startswith("$") or p[:-1] in by:
-            continue  # reached from a shorter one, if at all
+        if len(p) > _SHORTEST if p.startswith("$") else p[:-1] in by:
+            continue  # reached from a shorter one, if at all; words too short for a prefix stand for themselves
         heads = [p]
         while heads:
             q = heads.pop()
@@ -228,9 +302,11 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", ident: str = "
         positives, negatives = sizes.get(1, 0), sizes.get(0, 0)
         if not positives or not negatives:
             return Grammar()
-        support = max(4, round(0.015 * positives))
         odds = F.log((F.col("pos") + 0.5) / (positives + 1) / ((F.col("neg") + 0.5) / (negatives + 1)))
-        strong = _prefix_counts(sample).filter((F.col("pos") >= support) & (odds >= 3.0))
+        # how far beyond chance: a bound of the logarithm of the probability to see as many in toxic texts
+        chance = (F.col("pos") + F.col("neg")) * (positives / (positives + negatives))
+        surprise = F.col("pos") * F.log(F.col("pos") / chance) - F.col("pos") + chance
+        strong = _prefix_counts(sample).filter((F.col("pos") > 0) & (odds >= 3.0) & (surprise >= _SURPRISE))
         strong = strong.orderBy(F.desc("pos"), "prefix").limit(_MOST_STEMS * 10)
         stems = _stems([tuple(r) for r in strong.collect()], positives, negatives)
         whole = {p[1:]: w for p, w in stems.items() if p.startswith("$")}
