@@ -7,7 +7,9 @@ Spans follow from the data alone, so a recomputed task gives the same result.
 
 ``radix`` lists the bit shifts of the span levels.  ``(16,)`` suits dense orders
 (row numbers, turns); ``(16, 32, 48)`` bounds every window to 65,536 summaries
-for arbitrary 64-bit orders.
+for arbitrary 64-bit orders.  ``LOAD`` cuts at quantiles of the order column
+instead: at most ``LOAD_SPANS`` spans of about equal load, however the values lie,
+for hashed ids and other sparse orders; it costs a pass over that column.
 """
 
 from __future__ import annotations
@@ -21,9 +23,33 @@ from redactlake.operators.joins import null_safe_join
 
 DENSE = (16,)
 SPARSE = (16, 32, 48)
+LOAD = (-1,)
+LOAD_SPANS = 1024
+
+
+def _by_load(df: DataFrame, ord_col: str) -> Column:
+    """Number of the quantiles that are not above a row's order; equal orders share it, and it never falls."""
+    order = F.col(ord_col).cast("double")
+    shares = [i / LOAD_SPANS for i in range(1, LOAD_SPANS)]
+    found = df.select(order.alias("o")).approxQuantile("o", shares, 0.5 / LOAD_SPANS)
+    bounds = sorted(set(found))
+    if not bounds:
+        return F.lit(0).cast("bigint")
+    listed = F.split(F.lit(",".join(map(repr, bounds))), ",").cast("array<double>")  # folded to one constant
+
+    def halve(span: Column, _: Column) -> Column:
+        middle = F.floor((span["lo"] + span["hi"]) / 2).cast("int")
+        reached = (span["lo"] < span["hi"]) & F.coalesce(F.get(listed, middle) <= order, F.lit(False))
+        return F.struct(F.when(reached, middle + 1).otherwise(span["lo"]).alias("lo"), F.when(reached, span["hi"]).otherwise(middle).alias("hi"))
+
+    steps = F.sequence(F.lit(0), F.lit(len(bounds).bit_length()))
+    start = F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi"))
+    return F.aggregate(steps, start, halve, lambda span: span["lo"].cast("bigint"))
 
 
 def _spans(df: DataFrame, ord_col: str, radix: Sequence[int]) -> DataFrame:
+    if tuple(radix) == LOAD:
+        return df.withColumn("_span0", _by_load(df, ord_col))
     return df.withColumns(
         {f"_span{i}": F.shiftright(F.col(ord_col).cast("bigint"), b) for i, b in enumerate(radix)}
     )

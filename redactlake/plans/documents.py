@@ -8,6 +8,7 @@ from redactlake.functions import rules as R
 from redactlake.operators import leaks as L
 from redactlake.operators import redaction as X
 from redactlake.operators import tokens as T
+from redactlake.operators.ordered import LOAD
 from redactlake.plans import duck as D
 from redactlake.plans import fixtures as fx
 from redactlake.plans.registry import query
@@ -75,7 +76,7 @@ def doc_tokens(spark, folder):
 @query(f"{_NUMBERED}, e AS (SELECT id AS item_ord, * FROM ({_ENTITIES})) {_numbers('')}")
 def corpus_tokens(spark, folder):
     found = X.find_entities(_docs(spark, folder), ["doc_id"]).withColumnRenamed("doc_id", "item_ord")
-    tokens = T.assign_tokens(found, [], aliases=False)
+    tokens = T.assign_tokens(found, [], aliases=False, radix=LOAD)  # one scope for all; ids may lie anywhere
     return tokens.select("kind", "norm_key", "n", "token", "mentions")
 
 

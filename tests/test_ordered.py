@@ -4,7 +4,8 @@ import random
 
 import pytest
 
-from redactlake.operators.ordered import DENSE, SPARSE, carry_last, ordered_rank
+from redactlake.operators import ordered
+from redactlake.operators.ordered import DENSE, LOAD, SPARSE, carry_last, ordered_rank
 
 
 def _rows(wide):
@@ -13,7 +14,7 @@ def _rows(wide):
     return [("hot" if i % 3 else f"g{i % 7}", o, rng.choice([None, f"v{i}"])) for i, o in enumerate(orders)]
 
 
-@pytest.mark.parametrize("radix,wide", [(DENSE, False), (SPARSE, True)])
+@pytest.mark.parametrize("radix,wide", [(DENSE, False), (SPARSE, True), (LOAD, True), (LOAD, False)])
 def test_rank_and_carry(spark, radix, wide):
     rows = _rows(wide)
     df = spark.createDataFrame(rows, "g string, o long, v string").repartition(7)
@@ -27,3 +28,11 @@ def test_rank_and_carry(spark, radix, wide):
     assert {(r.g, r.o): r.n for r in got} == rank
     got = carry_last(df, ["g"], "o", ["o"], "v", "c", radix=radix).collect()
     assert {(r.g, r.o): r.c for r in got} == carried
+
+
+def test_hashed_orders_make_few_spans(spark):
+    df = spark.range(20_000).selectExpr("xxhash64(id) AS o", "1 AS g")
+    assert ordered._spans(df, "o", LOAD).select("_span0").distinct().count() <= ordered.LOAD_SPANS
+    sizes = ordered._spans(df, "o", LOAD).groupBy("_span0").count().agg({"count": "max"}).first()[0]
+    assert sizes < 5 * 20_000 / ordered.LOAD_SPANS
+    assert ordered._spans(df.limit(0), "o", LOAD).count() == 0
