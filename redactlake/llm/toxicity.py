@@ -45,6 +45,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from redactlake.llm.near import shingle_set
 from redactlake.llm.tables import replace_columns, small_batches, tidied
 
 SAMPLE_ROWS = 20_000
@@ -220,10 +221,15 @@ def _sample(docs: DataFrame, labels: DataFrame, text: str, ident: str, rows: int
 
 def _prefix_counts(sample: DataFrame) -> DataFrame:
     """Documents of either label in which a word prefix occurs; near copies, which share their least shingle, count once."""
-    words = F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+")
-    starts = F.sequence(F.lit(1), F.greatest(F.size(words) - 4, F.lit(1)))
-    least = F.array_min(F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(words, i, F.lit(5)), " "))))
-    distinct = sample.groupBy(least.alias("h")).agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+
+    def key(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            sets = map(shingle_set, batch.column(0).to_pylist())
+            least = pa.array([int(x[0]) - (1 << 63) if len(x) else 0 for x in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([least, *batch.columns], names=["h", "text", "toxic"])
+
+    keyed = small_batches(sample.select("text", "toxic")).mapInArrow(tidied(key), "h long, text string, toxic int")
+    distinct = keyed.groupBy("h").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
 
     def count(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, Counter] = {0: Counter(), 1: Counter()}
