@@ -1,4 +1,9 @@
-"""Connected components of an edge table that never leaves the executors."""
+"""Connected components of an edge table that never leaves the executors.
+
+Defined cases: an edge from a node to itself makes it a component of its own;
+repeated edges and both directions count once; ends must not be null; an empty
+table gives an empty result; other columns are ignored.
+"""
 
 from __future__ import annotations
 

@@ -3,6 +3,10 @@
 The order is cut into a fixed number of slices of equal range.  A row's rank is
 the count of the earlier slices plus its place in its own slice, so a group of
 any size is ranked by many tasks, and a lost task repeats only its slices.
+
+Defined cases: rows that agree in the order get different ranks, in any order
+among them; an empty table gives an empty result; other columns are carried, those
+named like a result replaced; group columns must not hold nulls (see ``group_key``).
 """
 
 from __future__ import annotations
