@@ -11,7 +11,8 @@ FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 SAMPLE = [
     "doc_entities", "doc_redacted_numbered", "text_redacted", "text_entities", "page_chunks", "page_nodes", "page_restricted_texts",
     "table_headers", "neighbour_labels", "field_labels", "authentication_fields", "classify_values", "luhn_check", "verhoeff_check",
-    "validate_records", "raw_pii_gate", "latest_revision", "debounce_events", "apply_overrides", "role_change",
+    "validate_records", "raw_pii_gate", "latest_revision", "debounce_events", "apply_overrides", "role_change", "page_fields",
+    "name_substitution", "doc_known_value_leaks",
 ]
 if os.environ.get("TEST_ALL_QUERIES"):
     SAMPLE = sorted(entry.oracle_sql())
