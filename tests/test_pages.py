@@ -24,9 +24,9 @@ PAGES = [
 def redacted(spark):
     pages = checkpointed(resolve.resolved_pages(spark.createDataFrame(PAGES, "page_id long, html string")))
     fields = resolve.page_fields(pages)
-    texts, judged, _ = P.redact_nodes(resolve.page_texts(pages), fields)
+    texts, judged, tokens = P.redact_nodes(resolve.page_texts(pages), fields)
     texts, judged = checkpointed(texts), checkpointed(judged)
-    return texts, fields, judged
+    return texts, fields, judged, tokens
 
 
 def _texts(texts, page):
@@ -58,7 +58,16 @@ def test_fields(redacted):
 
 
 def test_safe_context(redacted):
-    texts, _, judged = redacted
-    out = {r.page_id: r.safe_context for r in P.page_contexts(texts, judged).collect()}
-    assert "Verification code: [HIDDEN]" in out[1] and "Oona" not in out[1]
-    assert "bram.t@example.test" not in out[2]
+    """Contexts know the page's people and values, whatever field they stand in, and tell what is left."""
+    texts, _, judged, tokens = redacted
+    stray = judged.limit(0).unionByName(
+        judged.sparkSession.createDataFrame([(1, 900, "memo", "memo", "ask Oona or 6123400000", "text", False, False, None, None), (2, 901, "raw", "raw", "xxbram.t@example.testyy", "text", False, False, None, None)],
+                                            judged.schema), allowMissingColumns=False)
+    out = {r.page_id: r for r in P.page_contexts(texts, judged.unionByName(stray), tokens).collect()}
+    assert "Verification code: [HIDDEN]" in out[1].safe_context and "Oona" not in out[1].safe_context
+    assert "memo: ask PERSON_1 or MOBILE_2" in out[1].safe_context and out[1].is_safe
+    assert "bram.t@example.test" not in out[2].safe_context and all(r.is_safe for r in out.values())
+    left = P.known_value_leaks(
+        judged.sparkSession.createDataFrame([(1, "Oona Pell was here"), (2, "fine")], "page_id long, sent string"), tokens, ["page_id"], [], "sent"
+    ).collect()
+    assert [(r.page_id, r.value) for r in left] == [(1, "Oona Pell")]
