@@ -133,22 +133,20 @@ def _meet_person(how: "_Style"):
     return step
 
 
+_STEPS = ", ".join(str(1 << i) for i in range(23, -1, -1))
+
+
 def _place(entries: Column, key: Column, field: str = "k") -> Column:
     """Place of the first entry not below ``key`` in an array sorted by ``field``.
 
-    A binary search: an array or a map would be read from its start for every key.
+    A binary search by halving steps: an array or a map would be read from its
+    start for every key.
     """
-    size = F.size(entries)
-    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(size, F.lit(1)))).cast("int"))
 
-    def halve(span: Column, _: Column) -> Column:
-        middle = F.floor((span["lo"] + span["hi"]) / 2).cast("int")
-        below = F.coalesce(F.get(entries, middle)[field] < key, F.lit(False)) & (span["lo"] < span["hi"])
-        return F.struct(
-            F.when(below, middle + 1).otherwise(span["lo"]).alias("lo"), F.when(below, span["hi"]).otherwise(middle).alias("hi")
-        )
+    def advance(at: Column, step: Column) -> Column:
+        return F.when(F.get(entries, at + step)[field] < key, at + step).otherwise(at)
 
-    return F.aggregate(steps, F.struct(F.lit(0).alias("lo"), size.alias("hi")), halve, lambda span: span["lo"])
+    return F.aggregate(F.expr(f"array({_STEPS})"), F.lit(-1), advance) + 1
 
 
 def _sorted_lookup(entries: Column, key: Column) -> Column:
