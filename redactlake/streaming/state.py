@@ -29,7 +29,9 @@ from __future__ import annotations
 
 import json
 import re
+from collections import namedtuple
 from collections.abc import Iterator
+from functools import lru_cache
 from hashlib import blake2b
 
 import pandas as pd
@@ -152,6 +154,34 @@ class Scope:
 
 
 _ORDER = ["rev", "item_ord", "item_id"]
+
+
+@lru_cache(maxsize=8)
+def _row_type(columns: tuple[str, ...]) -> type:
+    return namedtuple("Row", columns)
+
+
+def _whole(x: float | None) -> int | None:
+    """Numbers come as floats where a group has nulls among them."""
+    return None if x is None or x != x else int(x)
+
+
+def _in_order(batches: Iterator[pd.DataFrame]) -> list:
+    """The rows of a group by ``_ORDER``, nulls first, in plain Python: most groups have a row or two, and pandas takes longer to sort those than the job does."""
+    rows = []
+    for batch in batches:
+        columns = [list(map(_whole, batch[c].tolist())) if c in ("rev", "item_ord") else batch[c].tolist() for c in batch.columns]
+        rows.extend(map(_row_type(tuple(batch.columns))._make, zip(*columns, strict=True)))
+    if len(rows) > 1:
+        rows.sort(key=lambda r: [(getattr(r, c) is not None, getattr(r, c)) for c in _ORDER])
+    return rows
+
+
+def _frame(rows: list[tuple], schema: str) -> pd.DataFrame:
+    """Rows for Spark; Arrow makes the types, nulls and all."""
+    return pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")], dtype=object)
+
+
 _TOKENED = "scope string, item_id string, rev bigint, item_ord bigint, event string, text string, known string, names string, parts string"
 
 
@@ -162,9 +192,8 @@ def _with_tokens(events: DataFrame, salt: str) -> DataFrame:
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         scope = Scope(salt, json.loads(state.get[0]) if state.exists else None)
-        rows = pd.concat(list(batches)).sort_values(_ORDER, na_position="first")
         out = []
-        for r in rows.itertuples(index=False):
+        for r in _in_order(batches):
             known, names, parts = {}, [], []
             if r.event == PUT and isinstance(r.text, str):
                 for e in json.loads(r.entities):  # in order of phase and place
@@ -173,7 +202,7 @@ def _with_tokens(events: DataFrame, salt: str) -> DataFrame:
             dumped = (json.dumps(x, ensure_ascii=False) for x in (known, names, parts))
             out.append((key[0], r.item_id, r.rev, r.item_ord, r.event, r.text, *dumped))
         state.update((json.dumps(scope.saved()),))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in _TOKENED.split(", ")]).astype({"rev": "Int64", "item_ord": "Int64"})
+        yield _frame(out, _TOKENED)
 
     return rows.groupBy("scope").applyInPandasWithState(step, _TOKENED, "state string", "append", GroupStateTimeout.NoTimeout)
 
@@ -231,8 +260,8 @@ def _recorded(rows: DataFrame, keep_texts: bool) -> DataFrame:
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         item = Item(state.get if state.exists else None, keep_texts)
         out = []
-        for r in pd.concat(list(batches)).sort_values(_ORDER, na_position="first").itertuples(index=False):
-            rev = None if pd.isna(r.rev) else int(r.rev)
+        for r in _in_order(batches):
+            rev = r.rev
             if item.rev is not None and (rev is None or rev < item.rev):
                 out.append((*key, rev, r.item_ord, r.event, "stale", None, False))
                 continue
@@ -246,7 +275,7 @@ def _recorded(rows: DataFrame, keep_texts: bool) -> DataFrame:
                 done = item.decide(r.event == MARK)
             out.append((*key, rev, r.item_ord, r.event, *done))
         state.update(item.saved())
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in _SHOWN.split(", ")]).astype({"rev": "Int64", "item_ord": "Int64"})
+        yield _frame(out, _SHOWN)
 
     record = "rev bigint, original string, redacted string, is_private boolean"
     return rows.groupBy("scope", "item_id").applyInPandasWithState(step, _SHOWN, record, "append", GroupStateTimeout.NoTimeout)

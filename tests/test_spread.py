@@ -1,11 +1,14 @@
-"""Stored tables of one row group are work for all tasks."""
+"""Stored tables of one row group are work for all tasks, and shared steps are worked out once."""
 
+import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
+from redactlake.plans import changes
 from redactlake.plans.tables import derive, table
 from redactlake.sources.tables import FEW_ROWS, spread
+from redactlake.streaming import state as Z
 
 
 def _stored(folder, name, rows, row_group=None):
@@ -49,3 +52,22 @@ def test_small_and_even_tables_are_left_alone(spark, tmp_path):
     assert spread(even) is even
     none = spark.createDataFrame([], "a long")
     assert spread(none) is none
+
+
+DOCS = [{"doc_id": i, "text": f"call 98765{i:05d}" if i % 2 else "nothing", "lang": "en", "source": "s", "n_chars": 9} for i in range(30)]
+
+
+def test_documents_are_redacted_once_for_both_scans(spark, tmp_path):
+    _stored(tmp_path, "documents", DOCS)
+    for part in changes._two_scans(spark, str(tmp_path)):
+        assert "parquet" not in _plan(part)
+    got = {r.doc_id: r.change for r in changes.changed_items(spark, str(tmp_path)).collect()}
+    assert got == {i: ("removed", "replaced", "ours")[i % 3] for i in range(1, 30, 2)}
+
+
+def test_events_of_a_group_are_sorted_as_before():
+    rows = [(2**60 + 1, 0, "b"), (None, 5, "a"), (3, None, None), (3, None, "a"), (3, 1, "z"), (2**60, 0, "c")]
+    mixed = [pd.DataFrame(r, columns=["rev", "item_ord", "item_id"]) for r in (rows[:1], rows[1:5], rows[5:])]
+    assert [tuple(r) for r in Z._in_order(iter(mixed))] == [rows[1], rows[2], rows[3], rows[4], rows[5], rows[0]]
+    out = Z._frame([("s", None, 1, None, "put", "t", "{}", "[]", "[]")], Z._TOKENED)
+    assert list(out.columns)[:4] == ["scope", "item_id", "rev", "item_ord"] and out["item_ord"][0] is None
