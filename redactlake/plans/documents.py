@@ -13,6 +13,7 @@ from redactlake.plans import duck as D
 from redactlake.plans import fixtures as fx
 from redactlake.plans.registry import query
 from redactlake.plans.tables import derive, table
+from redactlake.session import checkpointed
 
 _DOCS = "WITH src AS (SELECT doc_id id, text t FROM documents),"
 _NUMBERED = _DOCS + D.pattern_passes("src")
@@ -109,7 +110,7 @@ def doc_leak_audit(spark, folder):
 )
 def doc_known_value_leaks(spark, folder):
     """Stored values of a document that its outgoing text still contains."""
-    items = _outgoing(spark, folder)
+    items = checkpointed(_outgoing(spark, folder).select("doc_id", "sent", "entities"))  # read for values, pieces and texts
     found = items.select("doc_id", F.col("doc_id").alias("item_ord"), F.inline_outer("entities")).filter("kind IS NOT NULL").drop("token")
     tokens = T.assign_tokens(found, ["doc_id"], aliases=False)
     return L.known_value_leaks(items.select("doc_id", "sent"), tokens, ["doc_id"], [], "sent").select("doc_id", "value")

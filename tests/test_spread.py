@@ -5,7 +5,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
-from redactlake.plans import changes
+from redactlake.plans import changes, documents
 from redactlake.plans.tables import derive, table
 from redactlake.sources.tables import FEW_ROWS, spread
 from redactlake.streaming import state as Z
@@ -65,6 +65,15 @@ def test_documents_are_redacted_once_for_both_scans(spark, tmp_path):
     assert got == {i: ("removed", "replaced", "ours")[i % 3] for i in range(1, 30, 2)}
 
 
+def test_outgoing_documents_are_redacted_once_for_leaks(spark, tmp_path):
+    _stored(tmp_path, "documents", DOCS)
+    found = documents.doc_known_value_leaks(spark, str(tmp_path))
+    assert "parquet" not in _plan(found)
+    assert found.collect() == []  # documents that go out as they are have even numbers, and nothing to hide
+    _stored(tmp_path, "documents", [{**d, "text": "call 9876543210"} for d in DOCS])
+    assert {(r.doc_id, r.value) for r in documents.doc_known_value_leaks(spark, str(tmp_path)).collect()} == {(i, "9876543210") for i in range(0, 30, 4)}
+
+
 def test_events_of_a_group_are_sorted_as_before():
     rows = [(2**60 + 1, 0, "b"), (None, 5, "a"), (3, None, None), (3, None, "a"), (3, 1, "z"), (2**60, 0, "c")]
     mixed = [pd.DataFrame(r, columns=["rev", "item_ord", "item_id"]) for r in (rows[:1], rows[1:5], rows[5:])]
