@@ -6,7 +6,8 @@ is 0.8 or more; the result names each document's component.
 1. Documents with equal sets form one *class*; everything below is about
    classes, so copies cost no pairs.
 2. A count sketch of fixed size over all shingles of all documents orders the
-   shingles of a set from rare to common (ties by hash).
+   shingles of a set from rare to common (ties by hash).  The fewer shingles
+   fall to one counter, the fewer lists hold shingles that many classes share.
 3. Two sets that overlap enough share at least ``l`` shingles within their
    prefixes of ``n - ceil(0.8 n) + l`` shingles, for every ``l``.  Each class
    lengthens its prefix to the ``l`` of the least estimated cost (lists to read
@@ -17,7 +18,8 @@ is 0.8 or more; the result names each document's component.
    members with one pivot, links are verified on complete sets, and lists whose
    members are all in one component are done.  What is left between different
    components is joined in full, so no link between different sets is lost; there
-   the places of the shared shingles bound the overlap that a pair can reach.
+   the places of the shared shingles bound the overlap that a pair can reach,
+   and a run of shared shingles makes as many rows as the pair must share.
 
 Shingles are compared as 64-bit hashes of their five words, classes as 128-bit
 digests of their sets.
@@ -32,7 +34,9 @@ columns are ignored or, where rows are kept, carried.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -46,10 +50,10 @@ from redactlake.llm.tables import group_key, small_batches, staged, tidied
 
 WORDS, PERCENT = 5, 80
 LONGEST = 4  # largest number of shared prefix shingles that a class may ask for
-SKETCH_BITS = 18
+SKETCH_BITS = 22
 PIVOT_ROUNDS = 2
 BROADCAST_ROWS = 200_000  # rows of a few numbers that may be broadcast; more are joined by shuffles
-_SLICES = 16
+_SLICES = 64
 _MULTIPLIER, _FINISH = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -118,7 +122,7 @@ def linked(common: int, n: int, m: int) -> bool:
 def prefix(shingles: np.ndarray, sketch: np.ndarray, noise: int) -> tuple[np.ndarray, int]:
     """Prefix shingles from rare to common, and the chosen level."""
     n = len(shingles)
-    count = sketch[place(shingles)]
+    count = sketch[place(shingles)].astype(np.int64)
     order = np.lexsort((shingles, count))
     least = least_overlap(n)
     levels = min(LONGEST, least)
@@ -147,40 +151,51 @@ def _signatures(rows: DataFrame) -> DataFrame:
     """A row for each document, and each task's part of the sketch."""
     schema = T.StructType([
         rows.schema["ident"], T.StructField("k", T.LongType()), T.StructField("n", T.LongType()), T.StructField("sig", T.BinaryType()),
-        T.StructField("c", T.LongType()), T.StructField("slice", T.IntegerType()), T.StructField("counts", T.ArrayType(T.LongType())),
+        T.StructField("c", T.LongType()), T.StructField("slice", T.IntegerType()), T.StructField("counts", T.BinaryType()),
     ])
 
     def work(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch, kind = np.zeros(1 << SKETCH_BITS, np.int64), None
+        sketch, kind = np.zeros(1 << SKETCH_BITS, np.uint32), None
         for batch in _slices(source):
             kind = batch.schema.field(0).type
             sizes, sigs = [], []
             for text in batch.column(1).to_pylist():
                 s = shingle_set(text)
-                np.add.at(sketch, place(s), 1)
+                np.add.at(sketch, place(s), np.uint32(1))
                 sizes.append(len(s))
                 sigs.append(digest(s) if len(s) else None)
             m = batch.num_rows
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary()),
-                pa.array([x and owner(x) for x in sigs], pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.list_(pa.int64())),
+                pa.array([x and owner(x) for x in sigs], pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()),
             ], names=schema.names)
         if kind is not None:
             yield pa.RecordBatch.from_arrays([
                 pa.nulls(_SLICES, kind), pa.nulls(_SLICES, pa.int64()), pa.nulls(_SLICES, pa.int64()), pa.nulls(_SLICES, pa.binary()), pa.nulls(_SLICES, pa.int64()),
-                pa.array(range(_SLICES), pa.int32()), pa.array(list(sketch.reshape(_SLICES, -1)), pa.list_(pa.int64())),
+                pa.array(range(_SLICES), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in sketch.reshape(_SLICES, -1)], pa.binary()),
             ], names=schema.names)
 
     return rows.select("ident", "t", "k").mapInArrow(tidied(work), schema)
 
 
 def _sketch(signatures: DataFrame) -> np.ndarray:
-    """The summed sketch: a fixed number of counters."""
-    parts = signatures.filter("slice IS NOT NULL").select("slice", F.posexplode("counts").alias("at", "n"))
-    total = parts.filter("n > 0").groupBy("slice", "at").agg(F.sum("n").alias("n")).toPandas()
-    sketch = np.zeros(1 << SKETCH_BITS, np.int64)
-    sketch[total["slice"].to_numpy(np.int64) * (len(sketch) // _SLICES) + total["at"].to_numpy(np.int64)] = total["n"].to_numpy(np.int64)
-    return sketch
+    """The summed sketch: a fixed number of counters, added up slice by slice in tasks of their own."""
+    parts = small_batches(signatures.filter("slice IS NOT NULL").select("slice", "counts")).repartition(_SLICES, "slice")
+
+    def work(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in source:
+            for at, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                more = np.frombuffer(zlib.decompress(counts.as_buffer()), np.uint32)
+                total[at] = total[at] + more if at in total else more
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["slice", "counts"]
+        )
+
+    sketch = np.zeros((_SLICES, (1 << SKETCH_BITS) // _SLICES), np.uint32)
+    for row in parts.mapInArrow(tidied(work), "slice int, counts binary").collect():
+        sketch[row["slice"]] = np.frombuffer(row["counts"], np.uint32)
+    return sketch.reshape(-1)
 
 
 def _postings(rows: DataFrame, sketch: np.ndarray) -> DataFrame:
@@ -350,15 +365,42 @@ def _pivot_pairs(lists: DataFrame, salt: int) -> DataFrame:
     return often.groupBy("a").agg(F.max(F.struct("n", "b")).alias("best")).select("a", "best.b")
 
 
-def _all_pairs(lists: DataFrame) -> DataFrame:
-    """Pairs of different components that share as many prefix shingles as the smaller of their levels."""
-    lists = _mixed(_reachable(lists))
-    x = lists.select("token", F.col("sig").alias("a"), F.col("label").alias("la"), F.col("meta").alias("ma"))
-    y = lists.select("token", F.col("sig").alias("b"), F.col("label").alias("lb"), F.col("meta").alias("mb"))
+def _with_former(lists: DataFrame) -> DataFrame:
+    """``lists`` with ``f1``, ``f2`` ...: the shingles before this one in the class's own lists, as many as its level, null where it has fewer."""
+    own = Window.partitionBy("sig").orderBy(_at("meta"))
+    return lists.select("*", *[F.when(_asks("meta") >= k, F.lag("token", k).over(own)).alias(f"f{k}") for k in range(1, LONGEST + 1)])
+
+
+def _met_enough(x: str, y: str, asked: Column) -> Column:
+    """The last ``asked`` former shingles of both sides are the same ones."""
+    same = [F.coalesce(F.col(f"{x}{k}") == F.col(f"{y}{k}"), F.lit(False)) | (asked < k) for k in range(1, LONGEST + 1)]
+    return reduce(Column.__and__, same)
+
+
+def _meetings(lists: DataFrame) -> DataFrame:
+    """``a, b, asked``: a row for a shared prefix shingle of a pair, but for the later ones of a run of them.
+
+    All classes order their shingles alike and what fits in a list fits in the
+    former ones.  A pair whose last ``asked`` former lists are the same ones has
+    met there as often as it must, so it makes no row any more.
+    """
+    lists = _with_former(_mixed(_reachable(lists)))
+
+    def side(c: str) -> DataFrame:
+        former = [F.col(f"f{k}").alias(f"f{c}{k}") for k in range(1, LONGEST + 1)]
+        return lists.select("token", F.col("sig").alias(c), F.col("label").alias(f"l{c}"), F.col("meta").alias(f"m{c}"), *former)
+
     asked = F.least(_asks("ma"), _asks("mb"))
     fits = (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & _within("ma", asked) & _within("mb", asked) & _can_link("ma", "mb", asked)
-    met = x.withColumnRenamed("token", "t").join(y, (F.col("t") == F.col("token")) & fits)
-    return met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.min(asked).alias("asked")).filter("shared >= asked").select("a", "b")
+    fits = fits & ~_met_enough("fa", "fb", asked)
+    met = side("a").withColumnRenamed("token", "t").join(side("b"), (F.col("t") == F.col("token")) & fits)
+    return met.select("a", "b", asked.alias("asked"))
+
+
+def _all_pairs(lists: DataFrame) -> DataFrame:
+    """Pairs of different components that share as many prefix shingles as the smaller of their levels."""
+    shared = _meetings(lists).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.min("asked").alias("asked"))
+    return shared.filter("shared >= asked").select("a", "b")
 
 
 def _classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -1,6 +1,7 @@
 """Exact and near duplicates and fingerprints against brute force."""
 
 import hashlib
+import itertools
 import random
 
 import numpy as np
@@ -70,6 +71,51 @@ def test_near_matches_brute_force(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == cases.near_components(rows)
 
 
+def _lists(spark, classes):
+    """Members of the lists of classes, given as name: (size, level, places and shingles of the prefix)."""
+    rows = [(token, sig, sig, (n << 34) + (at << 4) + level) for sig, (n, level, chosen) in classes.items() for at, token in chosen]
+    return spark.createDataFrame(rows, "token long, sig string, label string, meta long").repartition(3)
+
+
+def test_runs_of_shared_shingles_make_few_rows(spark):
+    """Forty classes of 300 common prefix shingles: a row a pair at level 1, four at level 4 and not 300."""
+    for level in (1, near.LONGEST):
+        lists = _lists(spark, {f"c{i:02}": (1500, level, list(enumerate(range(300)))) for i in range(40)})
+        assert near._meetings(lists).count() == level * 40 * 39 // 2
+        assert near._all_pairs(lists).count() == 40 * 39 // 2
+
+
+def test_pairs_of_lists_match_brute_force(spark):
+    rng, classes = random.Random(12), {}
+    for i in range(150):
+        n, level = rng.randint(40, 60), rng.randint(1, near.LONGEST)
+        order = sorted(rng.sample(range(400), 25) + rng.choice([[], list(range(100, 112)), list(range(105, 125))]))
+        classes[f"c{i:03}"] = n, level, list(enumerate(dict.fromkeys(order)))[: n - near.least_overlap(n) + level]
+    expected = set()
+    for a, b in itertools.combinations(sorted(classes), 2):
+        (n, k, x), (m, j, y) = classes[a], classes[b]
+        asked, y = min(k, j), {token: at for at, token in y}
+        fit = 100 * min(n, m) >= near.PERCENT * max(n, m)
+        needed = -(-near.PERCENT * (n + m) // (100 + near.PERCENT))
+        shared = [
+            token for at, token in x if fit and token in y and at < n - near.least_overlap(n) + asked and y[token] < m - near.least_overlap(m) + asked
+            and min(n - at, m - y[token]) + asked - 1 >= needed
+        ]
+        if len(shared) >= asked:
+            expected.add((a, b))
+    assert len(expected) > 100 and {tuple(r) for r in near._all_pairs(_lists(spark, classes)).collect()} == expected
+
+
+def test_sketch_tells_a_common_shingle_from_rare_ones(spark):
+    """The count of a shingle that 30 texts share stays far from those of the others, though each text has 2,000 of its own."""
+    rows = [(i, "one two three four five " + " ".join(f"w{i}x{j}" for j in range(2000))) for i in range(30)]
+    signatures = near._signatures(near._rows(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), "text", "doc_id"))
+    sketch = near._sketch(signatures)
+    counts = np.sort(sketch[near.place(near.shingle_set(rows[0][1]))])
+    assert counts[-1] >= 30 and counts[-2] < 10 and int(sketch.sum()) == sum(len(near.shingle_set(t)) for _, t in rows)
+    assert np.mean(counts > 1) < 0.05
+
+
 def test_near_edge_rows(spark):
     rows = near.near_groups(cases.edge(spark)).collect()
     assert len(rows) == len(cases.TEXTS)
