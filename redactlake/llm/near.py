@@ -18,8 +18,11 @@ is 0.8 or more; the result names each document's component.
    members with one pivot, links are verified on complete sets, and lists whose
    members are all in one component are done.  What is left between different
    components is joined in full, so no link between different sets is lost; there
-   the places of the shared shingles bound the overlap that a pair can reach,
-   and a run of shared shingles makes as many rows as the pair must share.
+   the places of the shared shingles and the former ones that a pair does not
+   share bound the overlap that it can reach, and a run of shared shingles makes
+   as many rows as the pair must share.
+6. Parities of all classes are kept from the first pass; complete sets are taken
+   from the texts anew, for the classes of plausible pairs only.
 
 Shingles are compared as 64-bit hashes of their five words, classes as 128-bit
 digests of their sets.
@@ -148,31 +151,32 @@ def _slices(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _signatures(rows: DataFrame) -> DataFrame:
-    """A row for each document, and each task's part of the sketch."""
+    """A row for each document with the parities of its set, and each task's part of the sketch."""
     schema = T.StructType([
         rows.schema["ident"], T.StructField("k", T.LongType()), T.StructField("n", T.LongType()), T.StructField("sig", T.BinaryType()),
-        T.StructField("c", T.LongType()), T.StructField("slice", T.IntegerType()), T.StructField("counts", T.BinaryType()),
+        T.StructField("c", T.LongType()), T.StructField("parity", T.BinaryType()), T.StructField("slice", T.IntegerType()), T.StructField("counts", T.BinaryType()),
     ])
 
     def work(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch, kind = np.zeros(1 << SKETCH_BITS, np.uint32), None
         for batch in _slices(source):
             kind = batch.schema.field(0).type
-            sizes, sigs = [], []
+            sizes, sigs, marks = [], [], []
             for text in batch.column(1).to_pylist():
                 s = shingle_set(text)
                 np.add.at(sketch, place(s), np.uint32(1))
                 sizes.append(len(s))
                 sigs.append(digest(s) if len(s) else None)
+                marks.append(parities(s) if len(s) else None)
             m = batch.num_rows
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary()),
-                pa.array([x and owner(x) for x in sigs], pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()),
+                pa.array([x and owner(x) for x in sigs], pa.int64()), pa.array(marks, pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()),
             ], names=schema.names)
         if kind is not None:
             yield pa.RecordBatch.from_arrays([
                 pa.nulls(_SLICES, kind), pa.nulls(_SLICES, pa.int64()), pa.nulls(_SLICES, pa.int64()), pa.nulls(_SLICES, pa.binary()), pa.nulls(_SLICES, pa.int64()),
-                pa.array(range(_SLICES), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in sketch.reshape(_SLICES, -1)], pa.binary()),
+                pa.nulls(_SLICES, pa.binary()), pa.array(range(_SLICES), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in sketch.reshape(_SLICES, -1)], pa.binary()),
             ], names=schema.names)
 
     return rows.select("ident", "t", "k").mapInArrow(tidied(work), schema)
@@ -238,7 +242,7 @@ def _small(df: DataFrame) -> DataFrame:
 
 
 def _sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``c, sig, n, parity, shingles`` of the classes whose first row ``wanted`` names by ``g, k``.
+    """``sig, shingles`` of the classes whose first row ``wanted`` names by ``g, k``.
 
     A row that repeats may give its class more than once; nothing later depends on that.
     """
@@ -253,12 +257,10 @@ def _sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
                 seen.clear()
             seen.update(sets)
             yield pa.RecordBatch.from_arrays([
-                pa.array([owner(d) for d in sets], pa.int64()), pa.array(list(sets), pa.binary()),
-                pa.array([len(s) for s in sets.values()], pa.int64()), pa.array([parities(s) for s in sets.values()], pa.binary()),
-                pa.array([s.tobytes() for s in sets.values()], pa.binary()),
-            ], names=["c", "sig", "n", "parity", "shingles"])
+                pa.array(list(sets), pa.binary()), pa.array([s.tobytes() for s in sets.values()], pa.binary()),
+            ], names=["sig", "shingles"])
 
-    return texts.select("t").mapInArrow(tidied(work), "c long, sig binary, n long, parity binary, shingles binary")
+    return texts.select("t").mapInArrow(tidied(work), "sig binary, shingles binary")
 
 
 # --- pairs -------------------------------------------------------------------------
@@ -284,17 +286,26 @@ def _within(meta: str, level: Column) -> Column:
     return _at(meta) < _size(meta) - least + level
 
 
+def _needed(x: str, y: str) -> Column:
+    """Shingles that linked sets of these sizes share."""
+    return F.expr(f"({PERCENT} * (shiftright({x}, 34) + shiftright({y}, 34)) + {99 + PERCENT}) div {100 + PERCENT}")
+
+
 def _can_link(x: str, y: str, asked: Column) -> Column:
     """By sizes, and by what is left from a shingle on that is among the first ``asked`` shared ones."""
     n, m = _size(x), _size(y)
-    needed = F.expr(f"({PERCENT} * (shiftright({x}, 34) + shiftright({y}, 34)) + {99 + PERCENT}) div {100 + PERCENT}")
     fit = 100 * F.least(n, m) >= PERCENT * F.greatest(n, m)
-    return fit & (F.least(n - _at(x), m - _at(y)) + asked - 1 >= needed)
+    return fit & (F.least(n - _at(x), m - _at(y)) + asked - 1 >= _needed(x, y))
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    """The digests ``sig`` of a stored table of pairs."""
+    return staged(pairs.select(F.col("a").alias("sig")).union(pairs.select(F.col("b").alias("sig"))).distinct(), "ends")
 
 
-def _plausible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs ``a, b`` that their parities do not rule out."""
-    marks = sets.select("sig", "n", "parity").dropDuplicates(["sig"])
+def _plausible(pairs: DataFrame, marks: DataFrame) -> DataFrame:
+    """The pairs ``a, b``, of a stored table of pairs, that their parities do not rule out."""
+    marks = marks.join(_small(_ends(pairs)), "sig", "left_semi").dropDuplicates(["sig"])
     side = lambda x: marks.select(F.col("sig").alias(x), F.col("n").alias(f"n{x}"), F.col("parity").alias(f"p{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "pa", "pb")
 
@@ -309,10 +320,11 @@ def _plausible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.mapInArrow(tidied(work), "a binary, b binary")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs ``a, b`` of digests that link, of a stored table of pairs."""
+    wanted = staged(classes.join(_small(_ends(pairs)), "sig", "left_semi").select("g", "k").distinct(), "wanted")
+    whole = staged(_sets(rows, _small(wanted)), "sets")
     pairs = _small(pairs)
-    whole = sets.select("sig", "shingles")
     first = whole.join(pairs, F.col("sig") == F.col("a")).select("a", "b", F.col("shingles").alias("sa"))
     ends = _small(staged(pairs.select(F.col("b").alias("sig")).distinct(), "ends"))
     second = whole.join(ends, "sig", "left_semi").select(F.col("sig").alias("b"), F.col("shingles").alias("sb"))
@@ -336,13 +348,17 @@ def _open_lists(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     return _mixed(named)
 
 
+def _reach(alone: str) -> Column:
+    """The largest partner of a set that has ``alone`` shingles which the partner lacks."""
+    return F.expr(f"(shiftright(meta, 34) - ({alone})) * {100 + PERCENT} div {PERCENT} - shiftright(meta, 34)")
+
+
 def _reachable(lists: DataFrame) -> DataFrame:
-    """Without the members that no other size in their list can link with."""
+    """Without the members that no other size in their list can link with; ``least`` is the smallest size."""
     each = Window.partitionBy("token")
-    # the largest partner that the shingles from here on suffice for
-    reach = F.expr(f"(shiftright(meta, 34) - {_at_sql('meta')} + {LONGEST - 1}) * {100 + PERCENT} div {PERCENT} - shiftright(meta, 34)")
-    sized = lists.withColumn("_least", F.min(_size("meta")).over(each)).withColumn("_most", F.max(_size("meta")).over(each))
-    return sized.filter((reach >= F.col("_least")) & (100 * F.col("_most") >= PERCENT * _size("meta"))).drop("_least", "_most")
+    sized = lists.withColumn("least", F.min(_size("meta")).over(each)).withColumn("_most", F.max(_size("meta")).over(each))
+    reach = _reach(f"{_at_sql('meta')} - {LONGEST - 1}")
+    return sized.filter((reach >= F.col("least")) & (100 * F.col("_most") >= PERCENT * _size("meta"))).drop("_most")
 
 
 def _mixed(lists: DataFrame) -> DataFrame:
@@ -371,6 +387,24 @@ def _with_former(lists: DataFrame) -> DataFrame:
     return lists.select("*", *[F.when(_asks("meta") >= k, F.lag("token", k).over(own)).alias(f"f{k}") for k in range(1, LONGEST + 1)])
 
 
+def _with_alone(lists: DataFrame) -> DataFrame:
+    """``lists`` with ``alone``, the shingles before this one that are in no list, and ``bits`` of the former ones that are in lists.
+
+    What a linked pair shares before one of its first shared shingles is in
+    lists of both, so no partner of this list has any of ``alone``.
+    """
+    own = Window.partitionBy("sig").orderBy(_at("meta"))
+    bit = F.expr("shiftleft(1L, CAST(token & 63 AS INT))")
+    former = F.coalesce(F.bit_or(bit).over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("bigint"))
+    return lists.select("*", (_at("meta") - F.row_number().over(own) + 1).alias("alone"), former.alias("bits"))
+
+
+def _can_share(x: str, y: str) -> Column:
+    """By the former shingles that the other side lacks: those in no list, and at least one for each bit that it does not have."""
+    left = lambda a, b: _size(f"m{a}") - F.col(f"g{a}") - F.expr(f"bit_count(bits{a} & ~bits{b})")
+    return F.least(left(x, y), left(y, x)) >= _needed(f"m{x}", f"m{y}")
+
+
 def _met_enough(x: str, y: str, asked: Column) -> Column:
     """The last ``asked`` former shingles of both sides are the same ones."""
     same = [F.coalesce(F.col(f"{x}{k}") == F.col(f"{y}{k}"), F.lit(False)) | (asked < k) for k in range(1, LONGEST + 1)]
@@ -382,17 +416,21 @@ def _meetings(lists: DataFrame) -> DataFrame:
 
     All classes order their shingles alike and what fits in a list fits in the
     former ones.  A pair whose last ``asked`` former lists are the same ones has
-    met there as often as it must, so it makes no row any more.
+    met there as often as it must, so it makes no row any more.  Nor does a pair
+    whose former shingles tell that too few can be shared: a member whose own
+    ones tell so for any size leaves the list before it is joined.
     """
-    lists = _with_former(_mixed(_reachable(lists)))
+    lists = _with_alone(_with_former(_mixed(_reachable(lists))))
+    lists = _mixed(lists.filter(_reach("alone") >= F.col("least")).drop("least"))
 
     def side(c: str) -> DataFrame:
         former = [F.col(f"f{k}").alias(f"f{c}{k}") for k in range(1, LONGEST + 1)]
-        return lists.select("token", F.col("sig").alias(c), F.col("label").alias(f"l{c}"), F.col("meta").alias(f"m{c}"), *former)
+        known = [F.col(x).alias(f"{y}{c}") for x, y in (("label", "l"), ("meta", "m"), ("alone", "g"), ("bits", "bits"))]
+        return lists.select("token", F.col("sig").alias(c), *known, *former)
 
     asked = F.least(_asks("ma"), _asks("mb"))
     fits = (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & _within("ma", asked) & _within("mb", asked) & _can_link("ma", "mb", asked)
-    fits = fits & ~_met_enough("fa", "fb", asked)
+    fits = fits & _can_share("a", "b") & ~_met_enough("fa", "fb", asked)
     met = side("a").withColumnRenamed("token", "t").join(side("b"), (F.col("t") == F.col("token")) & fits)
     return met.select("a", "b", asked.alias("asked"))
 
@@ -408,6 +446,7 @@ def _classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     signatures = staged(_signatures(rows), "signatures")
     sketch = _sketch(signatures)
     own = signatures.filter("slice IS NULL").select("ident", "k", "n", "sig", "c")
+    marks = signatures.filter("sig IS NOT NULL").select("sig", "n", "parity")
     each = Window.partitionBy("token")
     met = _reachable(_postings(rows, sketch)).withColumn("_lo", F.min("c").over(each)).withColumn("_hi", F.max("c").over(each))
     shared = staged(met.filter("_lo <> _hi").select("token", "c", "meta").distinct(), "postings")
@@ -415,16 +454,16 @@ def _classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.min("ident").alias("first"), F.min(F.struct(F.col("ident").isNull().alias("none"), "ident", "k")).alias("row")
     )
     classes = staged(classes.select("sig", "c", "first", "row.*", group_key("row.ident").alias("g")), "classes")
-    # one row for each class of a shared list
-    wanted = staged(classes.join(shared.select("c").distinct(), "c", "left_semi").select("g", "k").distinct(), "wanted")
-    sets = staged(_sets(rows, _small(wanted)), "sets")
-    members = staged(shared.join(sets.select("c", "sig").distinct(), "c").select("token", "sig", "meta"), "members")
+    members = staged(shared.join(classes.select("c", "sig"), "c").select("token", "sig", "meta"), "members")
 
     links, labels = None, None
     for salt in range(PIVOT_ROUNDS + 1):
         lists = _open_lists(members, labels)
-        pairs = _pivot_pairs(lists, salt) if salt < PIVOT_ROUNDS else _all_pairs(lists)
-        found = staged(_verified(staged(_plausible(pairs, sets), "pairs"), sets), "links")
+        met = staged(_pivot_pairs(lists, salt) if salt < PIVOT_ROUNDS else _all_pairs(lists), "met")
+        pairs = staged(_plausible(met, marks), "pairs")
+        if pairs.isEmpty():
+            continue
+        found = staged(_verified(pairs, rows, classes), "links")
         if found.isEmpty():
             continue
         links = found if links is None else links.union(found)

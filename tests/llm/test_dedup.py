@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from redactlake.llm import components, exact, near, queries, sketch
 from tests.llm import cases
@@ -106,6 +107,40 @@ def test_pairs_of_lists_match_brute_force(spark):
     assert len(expected) > 100 and {tuple(r) for r in near._all_pairs(_lists(spark, classes)).collect()} == expected
 
 
+def test_classes_with_too_much_of_their_own_are_not_paired_with_a_large_group(spark):
+    """Twenty classes of 17 own shingles, one of which one of sixty linked near copies has too: each meets that copy only."""
+    classes = {}
+    for i in range(60):
+        own = [10_020 + i] if i < 20 else []
+        own += [20_000 + 10 * i + j for j in range(5 - len(own))]
+        classes[f"m{i:02}"] = 146, near.LONGEST, list(enumerate(own + list(range(50_000, 50_028))))
+    for i in range(20):
+        own = [10_020 + i] + [30_000 + 20 * i + j for j in range(16)]
+        classes[f"x{i:02}"] = 146, near.LONGEST, list(enumerate(own + list(range(50_000, 50_016))))
+    lists = _lists(spark, classes).withColumn("label", F.when(F.col("sig").startswith("m"), "m00").otherwise(F.col("sig")))
+    met = {(r.a, r.b) for r in near._meetings(lists).collect()}
+    assert met == {(f"m{i:02}", f"x{i:02}") for i in range(20)}
+    assert {tuple(r) for r in near._all_pairs(lists).collect()} == met
+
+
+def test_complete_sets_are_staged_for_plausible_pairs_only(spark, monkeypatch):
+    """Forty texts that share a half with the next one, and two near copies: the sets of these two alone are written."""
+    staged, sets = near.staged, []
+    part = lambda i: [f"p{i}x{j}" for j in range(30)]
+    rows = [(i, " ".join(part(i) + part((i + 1) % 40))) for i in range(40)] + [(100, " ".join(part(50) + part(51))), (101, " ".join(part(50) + part(51) + ["more"]))]
+
+    def watched(df, label):
+        out = staged(df, label)
+        if label == "sets":
+            sets.append(out.count())
+        return out
+
+    monkeypatch.setattr(near, "staged", watched)
+    got = near.near_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == cases.near_components(rows)
+    assert sets == [2]
+
+
 def test_sketch_tells_a_common_shingle_from_rare_ones(spark):
     """The count of a shingle that 30 texts share stays far from those of the others, though each text has 2,000 of its own."""
     rows = [(i, "one two three four five " + " ".join(f"w{i}x{j}" for j in range(2000))) for i in range(30)]
