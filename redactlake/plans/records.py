@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from redactlake.functions import rules as R
 from redactlake.operators import records as V
 from redactlake.operators import tokens as T
 from redactlake.plans import duck as D
@@ -113,10 +114,23 @@ def ocr_candidates(spark, folder):
 
 
 _SHEET = "(image_id - image_id % 20)"
+_COMMON = ", ".join(D.q(w) for w in R.COMMON_WORDS)
+# people of a sheet folded in order: which earlier person a line's name stands for
+_VISUAL = f"""{_OCR.replace("WITH", "WITH RECURSIVE", 1)}, f AS MATERIALIZED (SELECT {_SHEET} sheet, image_id, line_ord, kind, {D.norm_key('kind', 'raw')} k, x, y FROM o3 WHERE kind IS NOT NULL),
+ pm AS MATERIALIZED (SELECT sheet, k, row_number() OVER (PARTITION BY sheet ORDER BY image_id, line_ord) s, string_split_regex(k, {D.q(D.SP + '+')}) ws,
+  list_distinct(list_filter(list_transform(regexp_extract_all(k, {D.q(chr(92) + "p{L}[" + chr(92) + "p{L}" + "'’-]*")}), lambda p: lower(p)), lambda p: length(p) >= 3 AND p NOT IN ({_COMMON}))) ps
+  FROM f WHERE kind = 'PERSON'),
+ fold AS (SELECT sheet, CAST(0 AS BIGINT) s, CAST('' AS VARCHAR) k, CAST('' AS VARCHAR) leader, CAST(MAP {{}} AS MAP(VARCHAR, VARCHAR)) names, CAST(MAP {{}} AS MAP(VARCHAR, VARCHAR)) parts
+    FROM (SELECT DISTINCT sheet FROM pm)
+  UNION ALL SELECT sheet, s, k, lead, map_concat(names, MAP {{k: lead}}), map_concat(parts, map_from_entries(list_transform(ps, lambda p: {{'k': p, 'v': lead}})))
+  FROM (SELECT sheet, s, k, ps, names, parts, CASE WHEN names[k] IS NOT NULL THEN names[k] WHEN len(known) = 1 THEN known[1] ELSE k END lead
+    FROM (SELECT m.*, names, parts, list_distinct(list_filter(list_transform(ws, lambda w: parts[w]), lambda x: x IS NOT NULL)) known FROM fold o JOIN pm m ON m.sheet = o.sheet AND m.s = o.s + 1))),
+ c AS MATERIALIZED (SELECT f.sheet, image_id, line_ord, kind, coalesce(l.leader, f.k) k, x, y FROM f LEFT JOIN (SELECT DISTINCT sheet, k, leader FROM fold WHERE s > 0) l
+  ON kind = 'PERSON' AND l.sheet = f.sheet AND l.k = f.k)"""
 
 
 @query(
-    f"""{_OCR}, c AS (SELECT {_SHEET} sheet, image_id, line_ord, kind, {D.norm_key('kind', 'raw')} k, x, y FROM o3 WHERE kind IS NOT NULL AND kind <> 'PERSON'),
+    f"""{_VISUAL},
     old AS (SELECT sheet, kind, k, row_number() OVER (PARTITION BY sheet, kind ORDER BY min((image_id, line_ord))) n FROM c WHERE image_id % 20 < 10 GROUP BY sheet, kind, k),
     new AS (SELECT sheet, kind, k, coalesce((SELECT max(n) FROM old o WHERE o.sheet = c.sheet AND o.kind = c.kind), 0)
       + row_number() OVER (PARTITION BY sheet, kind ORDER BY min((image_id, line_ord))) n
@@ -125,7 +139,7 @@ _SHEET = "(image_id - image_id % 20)"
 )
 def register_visual(spark, folder):
     """Recognised lines of a sheet's later pictures share the token map that its earlier ones made; their text is dropped."""
-    found = V.ocr_candidates(_ocr(spark, folder)).filter("kind <> 'PERSON'").withColumn("sheet", F.col("image_id") - F.col("image_id") % 20)
+    found = V.ocr_candidates(_ocr(spark, folder)).withColumn("sheet", F.col("image_id") - F.col("image_id") % 20)
     early = V.with_norm_key(found.filter("image_id % 20 < 10")).select(
         "sheet", F.col("image_id").alias("item_ord"), F.lit(0).alias("phase"), F.col("line_ord").alias("pos"), "kind", "raw", "norm_key"
     )

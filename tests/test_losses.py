@@ -3,15 +3,20 @@
 import html
 from datetime import datetime, timedelta
 
+import duckdb
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from redactlake.operators import records as V
 from redactlake.operators import review as W
 from redactlake.operators import scopes as C
 from redactlake.sources import html as H
 from redactlake.sources import tables as S
 from redactlake.streaming import jobs as J
+from tests.oracle import differences
 
 START = datetime(2024, 3, 1, 23, 50)
 
@@ -91,3 +96,17 @@ def test_overrides_hold_for_their_page_only(spark):
     marks = spark.createDataFrame([(1, "email", False, 1), (None, "email", True, 1), (None, "email", False, 2)], "page_id long, item_id string, is_private boolean, ts int")
     shown = {r.page_id: (r.is_private, r.shown) for r in W.apply_overrides(items, marks).collect()}
     assert shown == {1: (False, "a@b.example"), 2: (True, "EMAIL_1"), None: (False, "a@b.example")}
+
+
+def test_people_on_pictures_get_tokens_too(spark, tmp_path):
+    """Keys 0 and 2 modulo 6 are lines with names, 1 and 4 with numbers, the others hold nothing; later pictures of a sheet are those from its eleventh on."""
+    keys = [k for k in range(120) if k not in (0, 2, 6, 8)]  # the first sheet has no names before its later pictures
+    pq.write_table(pa.Table.from_pylist([{"c_custkey": k} for k in keys]), f"{tmp_path}/customer.parquet")
+    df = entry.queries()["register_visual"](spark, str(tmp_path))
+    got = {r.image_id: (r.kind, r.token) for r in df.collect()}
+    assert set(got) == {k for k in keys if k % 20 >= 10 and k % 6 in (0, 1, 2, 4)}
+    # the word "Full" of the line belongs to the first person of the sheet, so all names there are theirs
+    assert {v for k, v in got.items() if k % 6 in (0, 2)} == {("PERSON", "PERSON_1")}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW customer AS SELECT * FROM '{tmp_path}/customer.parquet'")
+    assert differences(df, con, entry.oracle_sql()["register_visual"]) == ""

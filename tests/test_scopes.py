@@ -36,6 +36,17 @@ def test_extending_a_token_map_goes_on_with_its_numbers_and_people(spark):
     assert named.count() == 10 and every.count() == tokens.count() + len(more)
 
 
+def test_new_names_meet_the_people_of_the_map_by_their_tokens(spark):
+    people = lambda scope, *names: [(scope, "PERSON", n) for n in names]
+    tokens = T.assign_tokens(_mentions(spark, people("a", "Oona Pell", "Oona Tull") + people("b", "Oona", "Bram Ray", "Oona Bram")), ["scope"])
+    assert {(r.scope, r.norm_key): r.token for r in tokens.collect()} == {
+        ("a", "oona pell"): "PERSON_1", ("a", "oona tull"): "PERSON_1", ("b", "oona"): "PERSON_1", ("b", "bram ray"): "PERSON_2", ("b", "oona bram"): "PERSON_3",
+    }
+    # two names of one person are one person; a name of the map keeps its token, whoever used its words since
+    new = _mentions(spark, people("a", "Pell Tull") + people("b", "Oona", "Oona Zed"))
+    assert {(r.scope, r.norm_key): r.token for r in T.extend_tokens(tokens, new, ["scope"]).collect()} == {("a", "pell tull"): "PERSON_1", ("b", "oona zed"): "PERSON_1"}
+
+
 def test_details_of_the_second_look_get_numbers_of_their_own(spark):
     maker, name = Maker(4), lambda n: "Q" + 3 * "abcdefghijklmnopqrst"[n]
     rows = [("s", n, f"hi {name(n)}") for n in range(12)]
