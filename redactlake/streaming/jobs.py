@@ -91,6 +91,6 @@ def run_revisions(spark: SparkSession, revisions: Sequence[DataFrame], keep_text
     base = _new_folder(spark, "revisions")
     records = None
     for events in revisions:
-        events.write.mode("append").parquet(f"{base}/in")
+        events.write.mode("append").option("compression", "zstd").parquet(f"{base}/in")
         records = state.run_events(spark, f"{base}/in", base, salt="demo", keep_texts=keep_texts, files=1000)
     return records

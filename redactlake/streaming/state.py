@@ -14,6 +14,11 @@ The second query reads what the first one has written.  State goes with a query'
 checkpoint, so a batch that runs again after a failure starts from the same state,
 and the file sink takes its rows once.
 
+Scopes are dealt to ``BUCKETS`` buckets by a hash.  Python is called once for each
+bucket that a batch holds rows of, and not once a scope, as a call costs more than
+the work on a scope with a row or two.  Within a bucket each scope and item still
+has a state of its own, looked up by its key; one that holds nothing is not stored.
+
 The state holds keyed hashes of values and names; a name is found in later texts by
 the hashes of its words, and its spelling is taken from the text itself.  Item
 records hold texts in clear only if ``keep_texts`` is set, as unmarking gives the
@@ -30,20 +35,22 @@ from __future__ import annotations
 import json
 import re
 from collections import namedtuple
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from functools import lru_cache
 from hashlib import blake2b
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from redactlake.functions import rules as R
 from redactlake.operators.redaction import redact_rows, replace_names
 
 PUT, DELETE, MARK, UNMARK = "put", "delete", "mark", "unmark"
+BUCKETS = 2048  # a checkpoint keeps to its number
 
 _RUN = re.compile(r"\w+")
 _PART = re.compile(r"[^\W\d_](?:[^\W\d_]|['’\-])*")
@@ -161,8 +168,8 @@ def _row_type(columns: tuple[str, ...]) -> type:
     return namedtuple("Row", columns)
 
 
-def _whole(x: float | None) -> int | None:
-    """Numbers come as floats where a group has nulls among them."""
+def _whole(x: float | str | None) -> int | None:
+    """Numbers come as floats where a group has nulls among them, or spelled out."""
     return None if x is None or x != x else int(x)
 
 
@@ -182,36 +189,74 @@ def _frame(rows: list[tuple], schema: str) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")], dtype=object)
 
 
+def _grouped(batches: Iterator[pd.DataFrame], by: Sequence[str]) -> dict[tuple, list]:
+    """The rows of a bucket by scope or item, each group in order."""
+    groups: dict[tuple, list] = {}
+    for r in _in_order(batches):
+        groups.setdefault(tuple(getattr(r, c) for c in by), []).append(r)
+    return groups
+
+
+def _in_buckets(rows: DataFrame, processor: StatefulProcessor, schema: str) -> DataFrame:
+    # numbers are spelled out: pandas makes floats of those that have nulls among them
+    dealt = rows.withColumns({"rev": F.col("rev").cast("string"), "item_ord": F.col("item_ord").cast("string"), "bucket": F.pmod(F.xxhash64("scope"), F.lit(BUCKETS))})
+    return dealt.groupBy("bucket").transformWithStateInPandas(processor, schema, "append", "none")
+
+
 _TOKENED = "scope string, item_id string, rev bigint, item_ord bigint, event string, text string, known string, names string, parts string"
 
 
-def _with_tokens(events: DataFrame, salt: str) -> DataFrame:
-    """Events with the tokens of what they mention and the known people in their texts."""
-    found = redact_rows(events, "text", own_names=False, out="_", entities="entities")
-    rows = found.select("scope", *_ORDER, "event", "text", F.to_json("entities").alias("entities"))
+class _Tokens(StatefulProcessor):
+    """The state of each scope, as JSON."""
+
+    def __init__(self, salt: str):
+        self.salt = salt
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        scope = Scope(salt, json.loads(state.get[0]) if state.exists else None)
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.held = handle.getMapState("scopes", "scope string", "saved string")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        any_held = self.held.exists()
         out = []
-        for r in _in_order(batches):
-            known, names, parts = {}, [], []
-            if r.event == PUT and isinstance(r.text, str):
-                for e in json.loads(r.entities):  # in order of phase and place
-                    known[f"{e['kind']}:{e['norm_key']}"] = scope.token(e["kind"], e["norm_key"])
-                names, parts = scope.people.found_in(r.text)
-            dumped = (json.dumps(x, ensure_ascii=False) for x in (known, names, parts))
-            out.append((key[0], r.item_id, r.rev, r.item_ord, r.event, r.text, *dumped))
-        state.update((json.dumps(scope.saved()),))
+        for (name,), events in _grouped(rows, ["scope"]).items():
+            at = (json.dumps(name),)
+            saved = self.held.getValue(at) if any_held else None
+            scope, met = Scope(self.salt, json.loads(saved[0]) if saved else None), False
+            for r in events:
+                known, names, parts = None, [], []
+                if r.event == PUT and isinstance(r.text, str):
+                    if isinstance(r.entities, str):
+                        known = {}
+                        for e in json.loads(r.entities):  # in order of phase and place
+                            known[f"{e['kind']}:{e['norm_key']}"] = scope.token(e["kind"], e["norm_key"])
+                            met = True
+                    names, parts = scope.people.found_in(r.text)
+                dumped = (json.dumps(x, ensure_ascii=False) if x is not None else None for x in (known, names or None, parts or None))
+                out.append((name, r.item_id, r.rev, r.item_ord, r.event, r.text, *dumped))
+            if met:
+                self.held.updateValue(at, (json.dumps(scope.saved()),))
         yield _frame(out, _TOKENED)
 
-    return rows.groupBy("scope").applyInPandasWithState(step, _TOKENED, "state string", "append", GroupStateTimeout.NoTimeout)
+    def close(self) -> None:
+        pass
+
+
+def _with_tokens(events: DataFrame, salt: str) -> DataFrame:
+    """Events with the tokens of what they mention and the known people in their texts; ``known`` is null where a text holds no detail."""
+    found = redact_rows(events, "text", own_names=False, out="_", entities="entities")
+    detailed = (F.size("entities") > 0) | (F.col("_") != F.col("text"))
+    rows = found.select("scope", *_ORDER, "event", "text", F.when(detailed, F.to_json("entities")).alias("entities"))
+    return _in_buckets(rows, _Tokens(salt), _TOKENED)
 
 
 def _rewritten(tokened: DataFrame) -> DataFrame:
+    """Events with ``redacted``; a text without details is not looked through again."""
     pair = lambda x, name: F.struct(x[0].alias(name), x[1].alias("token"))
-    pairs = lambda c, name: F.transform(F.from_json(c, "array<array<string>>"), lambda x: pair(x, name))
-    done = redact_rows(tokened, "text", known=F.from_json("known", "map<string,string>"), own_names=False, late="hash")
-    return done.withColumn("redacted", replace_names(F.col("redacted"), pairs("names", "key"), pairs("parts", "part"))).drop("known", "names", "parts", "entities")
+    pairs = lambda c, name: F.transform(F.from_json(F.coalesce(c, F.lit("[]")), "array<array<string>>"), lambda x: pair(x, name))
+    detailed = tokened.withColumn("detailed", F.when(F.col("known").isNotNull(), F.col("text")))
+    done = redact_rows(detailed, "detailed", known=F.from_json("known", "map<string,string>"), own_names=False, late="hash")
+    shown = F.when(F.col("known").isNotNull(), F.col("redacted")).otherwise(F.col("text"))
+    return done.withColumn("redacted", replace_names(shown, pairs("names", "key"), pairs("parts", "part"))).drop("detailed", "known", "names", "parts", "entities")
 
 
 _SHOWN = "scope string, item_id string, rev bigint, item_ord bigint, event string, change string, shown string, is_private boolean"
@@ -254,31 +299,40 @@ class Item:
         return self.rev, self.original, self.redacted, self.is_private
 
 
-def _recorded(rows: DataFrame, keep_texts: bool) -> DataFrame:
-    """What each event does to its item."""
+class _Records(StatefulProcessor):
+    """What each event does to its item, and the record of each item."""
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        item = Item(state.get if state.exists else None, keep_texts)
+    def __init__(self, keep_texts: bool):
+        self.keep_texts = keep_texts
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.held = handle.getMapState("items", "item string", "rev bigint, original string, redacted string, is_private boolean")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        any_held = self.held.exists()
         out = []
-        for r in _in_order(batches):
-            rev = r.rev
-            if item.rev is not None and (rev is None or rev < item.rev):
-                out.append((*key, rev, r.item_ord, r.event, "stale", None, False))
-                continue
-            item.rev = rev
-            if r.event == PUT:
-                done = item.put(r.text, r.redacted)
-            elif r.event == DELETE:
-                item = Item((rev, None, None, None), keep_texts)  # its revision stays, so late events of older ones are told
-                done = ("removed", None, False)
-            else:
-                done = item.decide(r.event == MARK)
-            out.append((*key, rev, r.item_ord, r.event, *done))
-        state.update(item.saved())
+        for name, events in _grouped(rows, ["scope", "item_id"]).items():
+            at = (json.dumps(name),)
+            item = Item(self.held.getValue(at) if any_held else None, self.keep_texts)
+            for r in events:
+                rev = r.rev
+                if item.rev is not None and (rev is None or rev < item.rev):
+                    out.append((*name, rev, r.item_ord, r.event, "stale", None, False))
+                    continue
+                item.rev = rev
+                if r.event == PUT:
+                    done = item.put(r.redacted if r.text is None else r.text, r.redacted)
+                elif r.event == DELETE:
+                    item = Item((rev, None, None, None), self.keep_texts)  # its revision stays, so late events of older ones are told
+                    done = ("removed", None, False)
+                else:
+                    done = item.decide(r.event == MARK)
+                out.append((*name, rev, r.item_ord, r.event, *done))
+            self.held.updateValue(at, item.saved())
         yield _frame(out, _SHOWN)
 
-    record = "rev bigint, original string, redacted string, is_private boolean"
-    return rows.groupBy("scope", "item_id").applyInPandasWithState(step, _SHOWN, record, "append", GroupStateTimeout.NoTimeout)
+    def close(self) -> None:
+        pass
 
 
 EVENTS = "scope string, item_id string, rev bigint, item_ord bigint, event string, text string"
@@ -302,21 +356,50 @@ def item_records(rows: DataFrame, keep_texts: bool = False) -> DataFrame:
     later revision was there before); ``shown`` is the text, ``is_private`` whether
     it hides something.
     """
-    return _recorded(rows.select("scope", *_ORDER, "event", "text", "redacted"), keep_texts)
+    return _in_buckets(_texts_once(rows.select("scope", *_ORDER, "event", "text", "redacted")), _Records(keep_texts), _SHOWN)
+
+
+def _texts_once(rows: DataFrame) -> DataFrame:
+    """``text`` only where ``redacted`` differs from it; both are null together."""
+    return rows.withColumn("text", F.when(~F.col("text").eqNullSafe(F.col("redacted")), F.col("text")))
+
+
+#: States by key need RocksDB.  Its stores are many and small: no space is taken ahead, and all those of an executor share their memory.
+_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+}
+
+
+@contextmanager
+def _settings(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
+    """Settings for a query that starts meanwhile; it takes a copy, and the session gets its own back."""
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def start(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     """Write what has come so far, and go on after the last checkpoint."""
-    sink = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
-    return sink.outputMode("append").trigger(availableNow=True).start()
+    sink = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).option("compression", "zstd")
+    with _settings(stream.sparkSession, _STORE):
+        return sink.outputMode("append").trigger(availableNow=True).start()
 
 
 def run_events(spark: SparkSession, source: str, base: str, salt: str = "", keep_texts: bool = False, files: int = 1) -> DataFrame:
     """Take the events that have been put into the folder ``source`` since the last run; the records of all events."""
     events = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", files).parquet(source)
     rewritten = redact_events(events, salt)
-    start(rewritten, f"{base}/redacted", f"{base}/redacted-checkpoint").awaitTermination()
-    rows = spark.readStream.schema(rewritten.schema).parquet(f"{base}/redacted")
+    start(_texts_once(rewritten), f"{base}/redacted", f"{base}/redacted-checkpoint").awaitTermination()
+    rows = spark.readStream.schema(rewritten.schema).parquet(f"{base}/redacted").withColumn("text", F.coalesce("text", "redacted"))
     start(item_records(rows, keep_texts), f"{base}/records", f"{base}/records-checkpoint").awaitTermination()
     return spark.read.schema(_SHOWN).parquet(f"{base}/records")
 

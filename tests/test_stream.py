@@ -1,7 +1,9 @@
 """Stream jobs: keyed state over batches, replay, restart, revisions, and the same result as the batch job."""
 
+import json
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,3 +81,52 @@ def test_stream_is_the_batch_job_in_order_of_arrival(spark, tmp_path, seed):
     _feed(spark, tmp_path, *([e for e in events if n <= e[2] < n + 3] for n in (0, 3, 6)))
     assert {(s, rev): t for (s, _, rev), t in _redacted(spark, tmp_path).items()} == want
     assert spark.read.parquet(f"{tmp_path}/work/redacted").filter(F.col("redacted").rlike("_0\\b")).count() == 0
+
+
+class _Map(dict):
+    """A state by key, as the state store keeps it."""
+
+    exists = dict.__len__
+    getValue = dict.get
+    updateValue = dict.__setitem__
+
+
+def _called(processor, held, rows, columns):
+    processor.held = held
+    frames = [pd.DataFrame(rows[:2], columns=columns), pd.DataFrame(rows[2:], columns=columns)]
+    return [tuple(r) for f in processor.handleInputRows((7,), iter(frames), None) for r in f.itertuples(index=False)]
+
+
+def test_one_call_takes_all_scopes_of_a_bucket():
+    columns = ["scope", "item_id", "rev", "item_ord", "event", "text", "entities"]
+    oona, held = json.dumps([{"kind": "PERSON", "norm_key": "oona pell"}]), _Map()
+    rows = [("a", "2", str(2**60 + 1), "0", "put", "ask PELL", None), (None, "1", None, None, "put", "Name: Oona Pell", oona), ("a", "1", str(2**60), "0", "put", "Name: Oona Pell", oona), ("b", "1", "1", "0", "put", "Pell", None)]
+    got = _called(Z._Tokens("k"), held, rows, columns)
+    assert sorted(got, key=repr) == sorted([
+        ("a", "1", 2**60, 0, "put", "Name: Oona Pell", '{"PERSON:oona pell": "PERSON_1"}', '[["oona pell", "PERSON_1"]]', '[["oona", "PERSON_1"], ["pell", "PERSON_1"]]'),
+        ("a", "2", 2**60 + 1, 0, "put", "ask PELL", None, None, '[["pell", "PERSON_1"]]'), ("b", "1", 1, 0, "put", "Pell", None, None, None),
+        (None, "1", None, None, "put", "Name: Oona Pell", '{"PERSON:oona pell": "PERSON_1"}', '[["oona pell", "PERSON_1"]]', '[["oona", "PERSON_1"], ["pell", "PERSON_1"]]'),
+    ], key=repr)
+    assert set(held) == {('"a"',), ("null",)}  # a scope that holds nothing is not stored
+    assert _called(Z._Tokens("k"), held, [("a", "3", "9", "0", "put", "oona", None), ("b", "3", "9", "0", "put", "oona", None)], columns) == [
+        ("a", "3", 9, 0, "put", "oona", None, None, '[["oona", "PERSON_1"]]'), ("b", "3", 9, 0, "put", "oona", None, None, None),
+    ]
+    columns, held = ["scope", "item_id", "rev", "item_ord", "event", "text", "redacted"], _Map()
+    rows = [("a", "x", "2", "0", "unmark", None, None), ("a", "x", "1", "0", "put", "call 1", "call M"), ("b", "x", "1", "0", "put", None, "plain"), ("b", "x", "0", "0", "put", None, "late")]
+    assert sorted(_called(Z._Records(True), held, rows, columns)) == [
+        ("a", "x", 1, 0, "put", "new", "call M", True), ("a", "x", 2, 0, "unmark", "unmarked", "call 1", False), ("b", "x", 0, 0, "put", "plain", "late", False), ("b", "x", 1, 0, "put", "plain", "plain", False),
+    ]
+    assert held == {('["a", "x"]',): (2, "call 1", "call M", False), ('["b", "x"]',): (1, None, None, None)}
+
+
+def test_python_is_called_by_bucket_and_plain_texts_are_not_looked_through_again(spark, tmp_path):
+    provider = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    put = lambda s, t: (s, "d", 1, 0, "put", t)
+    texts = {f"s{n}": ("nothing here", f"call 98765{n:05d}", "Password: plum", None)[n % 4] for n in range(400)}
+    records = {r.scope: (r.change, r.shown, r.is_private) for r in _feed(spark, tmp_path, [put(s, t) for s, t in texts.items()], keep_texts=True).collect()}
+    shown = (("plain", "nothing here", False), ("new", "call MOBILE_1", True), ("new", "Password: [HIDDEN]", True), ("plain", None, False))
+    assert records == {f"s{n}": shown[n % 4] for n in range(400)}
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == provider
+    stream = Z.redact_events(spark.readStream.schema(Z.EVENTS).parquet(f"{tmp_path}/in"))
+    plan = stream._jdf.queryExecution().analyzed().toString()
+    assert "TransformWithStateInPySpark" in plan and "FlatMapGroupsInPandasWithState" not in plan and "bucket" in plan
