@@ -51,6 +51,7 @@ from redactlake.operators.redaction import redact_rows, replace_names
 
 PUT, DELETE, MARK, UNMARK = "put", "delete", "mark", "unmark"
 BUCKETS = 2048  # a checkpoint keeps to its number
+STORES_A_CORE = 4  # state stores at most, by the cores at the first run
 
 _RUN = re.compile(r"\w+")
 _PART = re.compile(r"[^\W\d_](?:[^\W\d_]|['’\-])*")
@@ -390,7 +391,10 @@ def _settings(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
 def start(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     """Write what has come so far, and go on after the last checkpoint."""
     sink = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).option("compression", "zstd")
-    with _settings(stream.sparkSession, _STORE):
+    spark = stream.sparkSession
+    # opening a store and its Python worker takes most of a second, in every run
+    parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), STORES_A_CORE * spark.sparkContext.defaultParallelism)
+    with _settings(spark, _STORE | {"spark.sql.shuffle.partitions": str(parts)}):
         return sink.outputMode("append").trigger(availableNow=True).start()
 
 
